@@ -195,26 +195,36 @@ class WordIdCache:
     again when full, so its memory is bounded.
     """
 
-    def __init__(self, path: str, dtype: str, separator: str = "<|endoftext|>", most: int = 600_000):
+    def __init__(self, path: str, dtype: str, separator: str = "<|endoftext|>", most: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.separator, self.dtype, self.most = separator, dtype, most
         self.separator_id = self.tokenizer.token_to_id(separator)
         self.known: dict[bytes, bytes] = {b"": b""}
+        self.marks = {c.encode(): self._ids(c) for c in ".,;:!?"}
 
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _stem(self, word: bytes) -> bytes:
+        """A word whose ids begin those of the given one: lower case, without one closing mark after an ASCII letter."""
+        if word[-1:] in self.marks and word[-2:-1].isalpha():
+            word = word[:-1]
+        return word.lower()
+
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.most:
+        """Make the ids of all these words known."""
+        new = words.difference(self.known)
+        if len(self.known) + 2 * len(new) > self.most:
             self.known = {b"": b""}
-            new = list(words)
-        plain = [w for w in new if b"<|" not in w]
+            new = words
+        special = {w for w in new if b"<|" in w}
+        stems = {w: self._stem(w) for w in new if w not in special} if special else {w: self._stem(w) for w in new}
+        plain = list(set(stems.values()).difference(self.known))
         for at in range(0, len(plain), 20_000):
             part = plain[at : at + 20_000]
-            text = self.separator.join(w.decode("utf-8", "replace") for w in part)
+            text = self.separator.join([w.decode("utf-8", "replace") for w in part])
             ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
             cuts = np.flatnonzero(ids == self.separator_id)
             if len(cuts) != len(part) - 1:
@@ -222,16 +232,18 @@ class WordIdCache:
             size, raw = ids.itemsize, ids.tobytes()
             edges = [0, *((cuts + 1) * size).tolist(), len(raw) + size]
             self.known.update((w, raw[edges[i] : edges[i + 1] - size]) for i, w in enumerate(part))
-        for w in new:
-            if b"<|" in w:
-                self.known[w] = self._ids(w.decode("utf-8", "replace"))
+        known = self.known
+        for w, stem in stems.items():
+            known[w] = known[stem] if len(w) == len(stem) else known[stem] + self.marks[w[-1:]]
+        for w in special:
+            known[w] = self._ids(w.decode("utf-8", "replace"))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, end to end, as bytes."""
         out = []
         for at in range(0, len(texts), 256):
             split = [t.split() for t in texts[at : at + 256]]
-            self.learn({w for words in split for w in words})
+            self.learn(set().union(*split))
             get = self.known.__getitem__
             out += [b"".join(map(get, words)) for words in split]
         return out
