@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import packing
+from tracewell.llm import oracles, ordinal, packing, rules, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +21,26 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_packing": op1_packing}
-ORACLES: dict[str, str] = {}
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ordinal.fit_on(docs, table(spark, sf_dir, "labels"))
+    scored = ordinal.score(docs, model)
+    return scored.select("doc_id", "expected_grade", "p_1", "p_2", (scored["p_2"] >= ordinal.KEEP).alias("kept"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rules.judge(docs, rules.ratio_table(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op7_quality_rules": op7_quality_rules,
+    "op10_secret_scans": op10_secret_scans,
+}
+ORACLES: dict[str, str] = {"op10_secret_scans": oracles.secret_scans()}
