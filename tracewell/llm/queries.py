@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import oracles, ordinal, packing, rules, secret_scan
+from tracewell.llm import jaccard, oracles, ordinal, packing, rules, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, rules.ratio_table(docs, table(spark, sf_dir, "labels"))).drop("text")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_secret_scans": op10_secret_scans,
 }
-ORACLES: dict[str, str] = {"op10_secret_scans": oracles.secret_scans()}
+ORACLES: dict[str, str] = {"op9_jaccard_join": oracles.JACCARD, "op10_secret_scans": oracles.secret_scans()}

@@ -100,12 +100,14 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Spans of secrets of every document of ``docs`` (doc_id, text).
 
-    Returns each row's doc_id, text and ``found``, an array of (start, rank,
-    kind, end) by start, then rule order. Null text counts as empty; a null
-    doc_id is a value like others; repeated rows each get the same result;
-    further columns are dropped; an empty table gives no rows.
+    Returns each row's columns and ``found``, an array of (start, rank, kind,
+    end) by start, then rule order. Null text counts as empty; a null doc_id
+    is a value like others; repeated rows each get the same result; further
+    columns stay, but for those named as the ones added here; an empty table
+    gives no rows.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    own = [c for c in docs.columns if c not in ("text_hash", "cand_id", "cand_hash", "rules", "found")]
+    docs = docs.select(*own).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("text_hash", F.xxhash64("text"))
     ranked = list(enumerate(rules))
     indexed = [(i, r) for i, r in ranked if trigrams.query_of(r.pattern)]
     full = [(i, r) for i, r in ranked if not trigrams.query_of(r.pattern)]
@@ -115,7 +117,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     text = F.col("text")
     spans = [F.when(F.array_contains("rules", r.kind), _spans(text, r, i)).otherwise(none) for i, r in indexed]
     spans += [F.when(text.rlike(r.pattern), _spans(text, r, i)).otherwise(none) for i, r in full]
-    return joined.select("doc_id", "text", F.array_sort(F.flatten(F.array(*spans))).alias("found"))
+    return joined.select(*own, F.array_sort(F.flatten(F.array(*spans))).alias("found"))
 
 
 def digest(found: Column) -> Column:
@@ -137,7 +139,7 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[{}]") -> DataFrame:
-    """doc_id and the text with each secret replaced by its kind; overlapping spans become one, named by the first."""
+    """The same rows with each secret in the text replaced by its kind; overlapping spans become one, named by the first."""
     found = F.col("found")
 
     def step(acc: Column, s: Column) -> Column:
@@ -148,4 +150,5 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[{}]")
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     whole = F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length(F.col("text")))))
-    return scan_secrets(docs, rules).select("doc_id", F.when(F.size(found) == 0, F.col("text")).otherwise(whole).alias("text"))
+    clean = F.when(F.size(found) == 0, F.col("text")).otherwise(whole)
+    return scan_secrets(docs, rules).withColumn("text", clean).drop("found")
