@@ -45,3 +45,22 @@ p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.
 l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 85 * (nx.n + ny.n - k)),
 r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.c FROM r JOIN l ON r.doc_id = l.x)
 SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.c) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
+
+URL_LISTS = """WITH p AS (
+  SELECT page_id, regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1) AS host, regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path,
+         DATE '2024-01-01' + CAST(page_id * 7919 % 366 AS INTEGER) AS seen FROM pages),
+q AS (SELECT *, string_split(host, '.') AS l, list_filter(string_split(path, '/'), lambda s: s <> '') AS g FROM p WHERE host <> ''),
+a AS (SELECT page_id, seen, depth, pattern FROM (
+  SELECT page_id, seen, 0 AS depth, unnest(CASE WHEN len(l) >= 2 THEN list_transform(range(1, len(l)), lambda i: array_to_string(l[i:], '.')) ELSE [host] END) AS pattern FROM q
+  UNION ALL SELECT page_id, seen, 1, host || '/' || g[1] FROM q WHERE len(g) >= 1
+  UNION ALL SELECT page_id, seen, 2, host || '/' || g[1] || '/' || g[2] FROM q WHERE len(g) >= 2)),
+h AS (SELECT pattern, CAST('0x' || substr(md5(pattern), 1, 6) AS BIGINT) AS h FROM (SELECT DISTINCT pattern FROM a WHERE depth <= 1)),
+d AS (SELECT *, CASE WHEN h % 2 = 0 THEN 'spam' ELSE 'legal' END AS list FROM h WHERE h % 3 <> 0),
+e AS (SELECT list, pattern, DATE '2024-01-01' + CAST(h % 300 AS INTEGER) AS listed_at, 'add' AS action FROM d
+  UNION ALL SELECT list, pattern, DATE '2024-01-01' + CAST(h % 300 + 1 + h % 97 AS INTEGER), 'remove' FROM d
+  UNION ALL SELECT list, pattern, DATE '2024-01-01' + CAST(h % 300 + 1 + h % 97 + h % 11 AS INTEGER), 'add' FROM d),
+o AS (SELECT list, pattern, listed_at, max(action) AS action FROM e GROUP BY ALL),
+s AS (SELECT DISTINCT a.page_id, o.list, o.pattern FROM a JOIN o ON o.pattern = a.pattern
+  WHERE o.action = 'add' AND o.listed_at = (SELECT max(x.listed_at) FROM o x WHERE x.pattern = a.pattern AND x.list = o.list AND x.listed_at <= a.seen))
+SELECT p.page_id, count(s.pattern) AS n_active, coalesce(string_agg(DISTINCT s.list, ',' ORDER BY s.list), '') AS lists, count(s.pattern) > 0 AS blocked
+FROM p LEFT JOIN s USING (page_id) GROUP BY p.page_id"""
