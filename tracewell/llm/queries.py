@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import jaccard, media, oracles, ordinal, packing, rules, secret_scan, shared, token_files, url_lists
+from tracewell.llm import jaccard, media, oracles, ordinal, packing, rules, secret_scan, shared, token_files, unigram, url_lists
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def captures_and_list(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """pages with a fetch day each, and a dated list over their hosts and first path segments.
 
@@ -80,6 +84,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_url_filters": op3_url_filters,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_counts": op6_token_counts,
