@@ -105,6 +105,20 @@ def test_join_sets_is_exact(seed, n, parted):
     assert parts(mine) == parts(links)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 300), st.integers(2, 12))
+def test_bits_drop_no_link(seed, size, n):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**63, size).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(size) > rng.random() * 0.2], rng.integers(0, 2**63, rng.integers(1, 2 + size // 8)).astype(np.uint64)])) for _ in range(n)]
+    how = jaccard.Shingling()
+    kept = jaccard.paired([len(s) for s in sets], [jaccard.parity_bits(s) for s in sets], how)
+    for i in range(n):
+        for j in range(i):
+            if how.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j])):
+                assert kept[i] and kept[j]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1060)]

@@ -11,6 +11,9 @@ linked sets x, y lie within t = 1 - r of each other, and:
    or their ranked heads would be disjoint and their distance above t.
 2. *Cells.* Regions with the same least member are one cell, whose pivot that
    member is: copies of one text share dozens of shingles, but few cells.
+   A light pass drops members without a partner: each set has a bit vector of
+   shingle-count parities, and the bits in which two differ are at most the
+   shingles in which they do, which bounds their distance from below.
 3. *Joins in cells.* A cell is joined exactly in one task. Distances to pivots
    give windows: |d(x, p) - d(y, p)| > t rules a pair out. Links are returned
    as a spanning forest, so a cell of n sets gives fewer than n rows.
@@ -106,17 +109,51 @@ def digests(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0].view(np.int64), out[1].view(np.int64)
 
 
+def parity_bits(s: np.ndarray) -> bytes:
+    """For each of 64 or more hash classes, about one a shingle, whether the set has an odd number in it."""
+    size = 1 << max(6, int(len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
+
+
+def _folded(bits: np.ndarray) -> np.ndarray:
+    """Parities of half as many classes."""
+    half = bits.shape[-1] // 2
+    return bits[..., :half] ^ bits[..., half:]
+
+
+def paired(sizes: list[int], bits: list[bytes], how: Shingling) -> np.ndarray:
+    """Which sets may link with another of them, by size and parity bits; never drops a link."""
+    n = np.array(sizes)
+    order = np.argsort(n, kind="stable")
+    out = np.zeros(len(n), bool)
+    words = [np.frombuffer(bits[i], np.uint64) for i in order]
+    n = n[order]
+    for i in range(len(n) - 1):
+        j = i + 1
+        while j < len(n) and 100 * n[i] >= how.percent * n[j]:
+            mine, other = words[i], words[j]
+            while len(other) > len(mine):
+                other = _folded(other)
+            apart = int(np.bitwise_count(mine ^ other).sum())
+            if apart * (100 + how.percent) <= (100 - how.percent) * int(n[i] + n[j]):
+                out[order[i]] = out[order[j]] = True
+            j += 1
+    return out
+
+
 def signatures(docs: DataFrame, how: Shingling) -> DataFrame:
-    """doc_id, the set's digest (d1, d2) and its size n; one row a document."""
+    """doc_id, the set's digest (d1, d2), its size n and its parity bits; one row a document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offsets in textscan.chunks(b.column(1)):
                 h, first = shingle_sets(data, offsets, how.words)
                 d1, d2 = digests(h, first)
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(d1), pa.array(d2), pa.array(np.diff(first))], ["doc_id", "d1", "d2", "n"])
+                bits = [parity_bits(h[first[d] : first[d + 1]]) for d in range(hi - lo)]
+                made = [pa.array(d1), pa.array(d2), pa.array(np.diff(first)), pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], *made], ["doc_id", "d1", "d2", "n", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, d1 long, d2 long, n long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, d1 long, d2 long, n long, bits binary")
 
 
 def common_shingles(docs: DataFrame, how: Shingling, most: int = COMMON) -> np.ndarray:
@@ -414,8 +451,39 @@ def similar_components(docs: DataFrame, how: Shingling = Shingling(), cell: int
     common = common_shingles(docs, how)
     where = cells(heads(docs.filter("doc_id is not null"), how, common), how)
     # the least document of each distinct set stands for it
-    first = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.first("n").cast("int").alias("n"))
-    stands = where.groupBy("d1").agg(F.collect_set("cell").alias("cells")).join(first, "d1").select(F.col("doc_id").alias("rep"), "d1", "d2", "n", "cells")
+    first = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("bits").alias("bits"))
+    light = kept(where.join(first, "d1").select("cell", "d1", "d2", "rep", "n", "bits"))
+    sizes = light.groupBy("cell").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).filter("size > 1")
+    sizes = kept(sizes.withColumn("large", (F.col("size") > cell) | (F.col("weight") > CELL_SHINGLES) & (F.col("size") > 2)))
+    large = sizes.filter("large")
+    names = ["cell", "d1", "d2", "rep", "n"]
+
+    def partners(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by cell; those without a partner go."""
+        held: pa.Table | None = None
+
+        def chosen(t: pa.Table) -> pa.Table:
+            c = t["cell"].to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(c[1:] != c[:-1]) + 1, [len(c)]])
+            n, bits = t["n"].to_pylist(), t["bits"].to_pylist()
+            keep = np.concatenate([paired(n[i:j], bits[i:j], how) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
+            return t.filter(pa.array(keep)).select(names)
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+            c = t["cell"].to_numpy()
+            whole = int(np.searchsorted(c, c[-1])) if len(c) else 0
+            if whole:
+                yield from chosen(t.slice(0, whole)).to_batches()
+            held = t.slice(whole)
+        if held is not None and held.num_rows:
+            yield from chosen(held).to_batches()
+
+    small = light.join(sizes.filter("not large").select("cell"), "cell").select(*names, "bits").repartition("cell").sortWithinPartitions("cell")
+    small = small.mapInArrow(partners, "cell long, d1 long, d2 long, rep long, n int")
+    joined_cells = small.union(light.join(large.select("cell"), "cell").select(*names))
+    stands = joined_cells.groupBy("d1", "d2").agg(F.first("rep").alias("rep"), F.first("n").alias("n"), F.collect_set("cell").alias("cells"))
 
     def squeeze(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -433,19 +501,15 @@ def similar_components(docs: DataFrame, how: Shingling = Shingling(), cell: int
     held = packed.join(stands, (packed["doc_id"] == F.col("rep")) & (F.col("t1") == F.col("d1")) & (F.col("t2") == F.col("d2")))
     members = kept(held.select(F.explode("cells").alias("cell"), "doc_id", "d1", "d2", "n", "text"))
 
-    sizes = members.groupBy("cell").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).filter("size > 1")
-    sizes = sizes.withColumn("large", (F.col("size") > cell) | (F.col("weight") > CELL_SHINGLES) & (F.col("size") > 2))
-    sizes = kept(sizes)
-    small = members.join(sizes.filter("not large").select("cell"), "cell").withColumn("side", F.lit(1))
-    edges = join_cells(small, how)
-    large = sizes.filter("large")
+    few = members.join(large.select("cell"), "cell", "left_anti").withColumn("side", F.lit(1))
+    edges = join_cells(few, how)
     if large.take(1):
         placed = kept(to_pivots(members, large, how, pivots))
         to_pivot = placed.select(F.col("doc_id").alias("a"), F.explode("links").alias("b"))
         joined = components(to_pivot)
         edges = edges.union(to_pivot).union(join_cells(in_regions(placed, joined, cell), how))
     joined = components(kept(edges.distinct()))
-    label = first.join(joined, first["doc_id"] == joined["node"], "left").select("d1", "d2", F.coalesce("label", "doc_id").alias("label"))
+    label = first.join(joined, first["rep"] == joined["node"], "left").select("d1", "d2", F.coalesce("label", "rep").alias("label"))
     s = signed.alias("s")
     done = s.join(label.alias("l"), (F.col("s.d1") == F.col("l.d1")) & (F.col("s.d2") == F.col("l.d2")) & (F.col("s.n") > 0), "left")
     return done.select(F.col("s.doc_id").alias("doc_id"), F.col("s.n").alias("n_shingles"), F.when(F.col("s.doc_id").isNotNull(), F.coalesce("l.label", "s.doc_id")).alias("component_id"))
