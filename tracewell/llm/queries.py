@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import jaccard, media, oracles, ordinal, packing, rules, secret_scan, shared, token_files, unigram, url_lists
+from tracewell.llm import jaccard, media, oracles, ordinal, packing, pseudo_lm, rules, secret_scan, shared, token_files, unigram, url_lists
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.judge(*captures_and_list(spark, sf_dir))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudo_lm.score(docs, *pseudo_lm.fit(docs)).drop("text")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = ordinal.fit_on(docs, table(spark, sf_dir, "labels"))
@@ -86,6 +91,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_url_filters": op3_url_filters,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_counts": op6_token_counts,
     "op7_quality_rules": op7_quality_rules,

@@ -58,8 +58,9 @@ class DoubleArray:
                 continue
             while check[free] >= 0:
                 free += 1
-            slot = free
+            slot, tried = free, 0
             while True:
+                tried += 1
                 b = slot - kids[0]
                 need = b + kids[-1] + 1
                 if need > len(check):
@@ -70,6 +71,8 @@ class DoubleArray:
                 slot += 1
                 while slot < len(check) and check[slot] >= 0:
                     slot += 1
+            if tried > 48:  # too full to search again
+                free = slot
             s = place[node]
             base[s] = b
             for c in kids:
