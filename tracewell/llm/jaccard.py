@@ -180,7 +180,7 @@ def common_shingles(docs: DataFrame, how: Shingling, most: int = COMMON) -> np.n
                 h = np.concatenate([h[first[d] : first[d + 1]] for d in own])
                 held.append(h)
                 size += len(h)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield told()
                     size = 0
         if held:
@@ -210,7 +210,7 @@ def ranked_heads(hashes: np.ndarray, first: np.ndarray, how: Shingling, common:
 
 
 def heads(docs: DataFrame, how: Shingling, common: np.ndarray) -> DataFrame:
-    """(s, d1, n): each set's digest in each region that it belongs to."""
+    """(s, d1): each set's digest in each region that it belongs to."""
     order = np.argsort(common)
     table = (common[order], order)
 
@@ -222,19 +222,18 @@ def heads(docs: DataFrame, how: Shingling, common: np.ndarray) -> DataFrame:
                 # exact copies in this run of rows say the same
                 _, own = np.unique(d1, return_index=True)
                 own = set(own.tolist())
-                size = np.diff(first)
                 parts = [x if d in own else x[:0] for d, x in enumerate(ranked_heads(h, first, how, table))]
                 lens = np.array([len(x) for x in parts], np.int64)
                 if lens.sum():
                     s = np.concatenate(parts)
-                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.repeat(d1, lens)), pa.array(np.repeat(size, lens).astype(np.int32))], ["s", "d1", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.repeat(d1, lens))], ["s", "d1"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "s long, d1 long, n int")
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "s long, d1 long")
 
 
 def cells(rows: DataFrame, how: Shingling) -> DataFrame:
-    """(d1, cell): the cells of each set. A region that cannot hold a link makes none."""
-    regions = rows.groupBy("s").agg(F.min("d1").alias("cell"), F.max("d1").alias("most")).filter("cell <> most").select("s", "cell")
+    """(d1, cell): the cells of each set. A region of one row makes none."""
+    regions = rows.groupBy("s").agg(F.min("d1").alias("cell"), F.count("*").alias("rows")).filter("rows > 1").select("s", "cell")
     return rows.join(regions, "s").select("d1", "cell").distinct()
 
 
@@ -375,14 +374,13 @@ def join_cells(members: DataFrame, how: Shingling) -> DataFrame:
 PLACED = "cell long, doc_id long, d1 long, d2 long, n int, text binary, home int, near array<int>, links array<long>"
 
 
-def to_pivots(members: DataFrame, large: DataFrame, how: Shingling, pivots: int) -> DataFrame:
-    """Members of the cells in ``large`` with their exact distances to drawn pivots put to use.
+def to_pivots(inside: DataFrame, how: Shingling, pivots: int) -> DataFrame:
+    """Members of crowded cells with their exact distances to drawn pivots put to use.
 
     home: the nearest pivot; near: the pivots within 2 t of it; links: the doc
     ids of the pivots that the member links to.
     """
     t = 1 - how.percent / 100
-    inside = members.join(large.select("cell"), "cell")
     # of each residue of the members' hashes the least is a pivot: few rows leave each task
     drawn = inside.select("cell", F.xxhash64("d1", "d2", "cell").alias("h"), F.struct("doc_id", "text").alias("p"))
     drawn = drawn.groupBy("cell", F.pmod("h", F.lit(pivots)).alias("slot")).agg(F.min_by("p", "h").alias("p"))
@@ -482,8 +480,9 @@ def similar_components(docs: DataFrame, how: Shingling = Shingling(), cell: int
 
     small = light.join(sizes.filter("not large").select("cell"), "cell").select(*names, "bits").repartition("cell").sortWithinPartitions("cell")
     small = small.mapInArrow(partners, "cell long, d1 long, d2 long, rep long, n int")
-    joined_cells = small.union(light.join(large.select("cell"), "cell").select(*names))
-    stands = joined_cells.groupBy("d1", "d2").agg(F.first("rep").alias("rep"), F.first("n").alias("n"), F.collect_set("cell").alias("cells"))
+    crowded = light.join(large.select("cell"), "cell").select(*names, F.lit(True).alias("crowded"))
+    chosen = small.withColumn("crowded", F.lit(False)).union(crowded)
+    stands = chosen.groupBy("d1", "d2").agg(F.first("rep").alias("rep"), F.first("n").alias("n"), F.collect_set(F.struct("cell", "crowded")).alias("cells"))
 
     def squeeze(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -499,12 +498,13 @@ def similar_components(docs: DataFrame, how: Shingling = Shingling(), cell: int
 
     packed = docs.filter("doc_id is not null").mapInArrow(squeeze, "doc_id long, t1 long, t2 long, text binary")
     held = packed.join(stands, (packed["doc_id"] == F.col("rep")) & (F.col("t1") == F.col("d1")) & (F.col("t2") == F.col("d2")))
-    members = kept(held.select(F.explode("cells").alias("cell"), "doc_id", "d1", "d2", "n", "text"))
+    members = held.select(F.explode("cells").alias("at"), "doc_id", "d1", "d2", "n", "text")
+    members = kept(members.select("at.cell", "doc_id", "d1", "d2", "n", "text", "at.crowded"))
 
-    few = members.join(large.select("cell"), "cell", "left_anti").withColumn("side", F.lit(1))
+    few = members.filter("not crowded").withColumn("side", F.lit(1))
     edges = join_cells(few, how)
     if large.take(1):
-        placed = kept(to_pivots(members, large, how, pivots))
+        placed = kept(to_pivots(members.filter("crowded"), how, pivots))
         to_pivot = placed.select(F.col("doc_id").alias("a"), F.explode("links").alias("b"))
         joined = components(to_pivot)
         edges = edges.union(to_pivot).union(join_cells(in_regions(placed, joined, cell), how))
