@@ -31,7 +31,8 @@ def trajectories(ground: DataFrame, allow_extrapolated: bool = True) -> DataFram
 
 
 def error_codes(ground: DataFrame) -> DataFrame:
-    return quarantined(ground).groupBy("error_code").agg(F.count("*").alias("n_points"))
+    bad = ground.filter("not is_valid")
+    return bad.groupBy(F.coalesce("error_code", F.lit("UNKNOWN")).alias("error_code")).agg(F.count("*").alias("n_points"))
 
 
 def diagnostics(ground: DataFrame, allow_extrapolated: bool = True) -> DataFrame:
