@@ -4,8 +4,8 @@ Dated entries (add or remove a pattern) become validity intervals: an add
 opens one that the pattern's next entry closes. A capture's URL gives its
 candidate patterns, the suffixes of its host and the prefixes of its path. An
 equi-join on the pattern with an as-of condition on time finds the active
-ones. Both sides are plain shuffle joins, which Spark splits where a host is
-hot; a list under the session's broadcast threshold is broadcast by Spark itself.
+ones. One host may have most captures, so the join also has a salt: captures
+take one of ``SALTS`` values, and intervals, of which there are few, take all.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SALTS = 16
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 PATH = r"^[a-z][a-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
@@ -52,9 +53,10 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def active_entries(captures: DataFrame, entries: DataFrame, key: str = "page_id", url: str = "url", fetched: str = "fetched_at") -> DataFrame:
     """(key, list, pattern) of each capture's entries active at its fetch."""
-    asked = captures.select(F.col(key).alias("capture"), F.col(fetched).alias("at"), F.explode(patterns_of(F.col(url))).alias("asked"))
-    valid = intervals(entries)
-    met = (F.col("asked") == F.col("pattern")) & (F.col("at") >= F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until")))
+    salt = F.pmod(F.xxhash64(key, url, fetched), F.lit(SALTS)).cast("int").alias("salt")
+    asked = captures.select(F.col(key).alias("capture"), F.col(fetched).alias("at"), salt, F.explode(patterns_of(F.col(url))).alias("asked"))
+    valid = intervals(entries).withColumn("of_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    met = (F.col("asked") == F.col("pattern")) & (F.col("salt") == F.col("of_salt")) & (F.col("at") >= F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until")))
     return asked.join(valid, met).select(F.col("capture").alias(key), "list", "pattern")
 
 
