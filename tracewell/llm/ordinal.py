@@ -97,10 +97,11 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -50, 50)))
 
 
-def fit(ids: np.ndarray, first: np.ndarray, grades: np.ndarray, levels: int, epochs: int = 12, rate: float = 0.25, l1: float = 3e-4, l2: float = 1e-6, least: int = 8) -> Model:
+def fit(ids: np.ndarray, first: np.ndarray, grades: np.ndarray, levels: int, steps: int = 600, rate: float = 0.25, l1: float = 3e-4, l2: float = 1e-6, least: int = 8) -> Model:
     """Maximum likelihood of the cumulative-link model by AdaGrad over shuffled minibatches.
 
-    Features of fewer than ``least`` rows keep weight 0.
+    Features of fewer than ``least`` rows keep weight 0. Epochs are as many
+    as make ``steps`` minibatches, whatever the size of the sample.
     """
     rng = np.random.default_rng(7)
     n = len(first) - 1
@@ -113,7 +114,7 @@ def fit(ids: np.ndarray, first: np.ndarray, grades: np.ndarray, levels: int, epo
     kept = np.concatenate([[0], np.cumsum(common)])
     ids, first = ids[common], kept[first]
     sizes = np.diff(first)
-    for _ in range(epochs if n else 0):
+    for _ in range(max(1, round(steps * 256 / n)) if n else 0):
         order = rng.permutation(n)
         for at in range(0, n, 256):
             rows = order[at : at + 256]
