@@ -150,4 +150,4 @@ def test_reproducibility(spark):
     one = spark.createDataFrame([(0.654321, 5)], "mota double, n long")
     diff = lambda x, n: [(r.path, r.difference) for r in audit.reproducibility(audit.unpivot(one), audit.unpivot(spark.createDataFrame([(x, n)], "mota double, n long"))).collect()]
     assert diff(0.654322, 5) == [] and diff(0.654421, 5) == [("mota", "FLOAT_TOLERANCE_EXCEEDED")] and diff(0.654321, 6) == [("n", "EXACT_MISMATCH")]
-    assert "## a" in audit.markdown("t", {"a": one}) and audit.report_path("r", "all").endswith("EVALUATION_REPORT.md") and audit.report_path("r", "MOT17-09-FRCNN").endswith("_MOT17_09.md")
+    assert "## a" in audit.markdown("t", {"a": one}) and audit.report_path("r", "all").endswith("EVALUATION_REPORT.md") and audit.report_path("r", "CAM-09-A").endswith("_CAM_09.md")
