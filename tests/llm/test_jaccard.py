@@ -51,6 +51,25 @@ def test_documents(spark):
     assert got(docs) == plain_components(texts)
 
 
+def test_whole_cells_under_skew_splits(spark):
+    """Spark must not split a cell's partition when it splits skewed joins."""
+    texts = near_copies(150, 60, 8) | {k + 1000: v for k, v in near_copies(30, 80, 8, 2).items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(12)
+    forced = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64b", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64b", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in forced}
+    try:
+        for k, v in forced.items():
+            spark.conf.set(k, v)
+        assert got(docs) == plain_components(texts)
+        assert got(docs, cell=24, pivots=4) == plain_components(texts)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def near_copies(n, words, edits, seed=1):
     rng = random.Random(seed)
     base = [f"w{rng.randrange(500)}" for _ in range(words)]

@@ -365,9 +365,18 @@ def _link_rows(batches: Iterable[pa.RecordBatch], how: Shingling) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
 
 
+def whole_cells(rows: DataFrame, *columns: str) -> DataFrame:
+    """The rows with each cell whole in one partition, sorted by cell.
+
+    Dealt by a hash of the cell: a repartition by the cell itself would be
+    dropped behind a join on it, and such a join's partitions may be split.
+    """
+    return rows.select(*columns).repartition(F.xxhash64("cell", F.lit("deal"))).sortWithinPartitions("cell")
+
+
 def join_cells(members: DataFrame, how: Shingling) -> DataFrame:
     """Links (a, b) of doc ids within each cell of (cell, doc_id, d1, d2, text, side)."""
-    dealt = members.select("cell", "doc_id", "d1", "d2", "text", "side").repartition("cell").sortWithinPartitions("cell")
+    dealt = whole_cells(members, "cell", "doc_id", "d1", "d2", "text", "side")
     return dealt.mapInArrow(lambda batches: _link_rows(batches, how), "a long, b long")
 
 
@@ -478,8 +487,8 @@ def similar_components(docs: DataFrame, how: Shingling = Shingling(), cell: int
         if held is not None and held.num_rows:
             yield from chosen(held).to_batches()
 
-    small = light.join(sizes.filter("not large").select("cell"), "cell").select(*names, "bits").repartition("cell").sortWithinPartitions("cell")
-    small = small.mapInArrow(partners, "cell long, d1 long, d2 long, rep long, n int")
+    small = light.join(sizes.filter("not large").select("cell"), "cell").select(*names, "bits")
+    small = whole_cells(small, *names, "bits").mapInArrow(partners, "cell long, d1 long, d2 long, rep long, n int")
     crowded = light.join(large.select("cell"), "cell").select(*names, F.lit(True).alias("crowded"))
     chosen = small.withColumn("crowded", F.lit(False)).union(crowded)
     stands = chosen.groupBy("d1", "d2").agg(F.first("rep").alias("rep"), F.first("n").alias("n"), F.collect_set(F.struct("cell", "crowded")).alias("cells"))
