@@ -114,3 +114,11 @@ def test_turns(spark):
     for p in got:
         have[p.conv_id] = have.get(p.conv_id, 0) + p.length
     assert have == {k: v for k, v in want.items() if v}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abcdehinorstxyzßàáäçèéêñóöøüÿÉÀœŒ'’.,!-0 \n"), max_size=40))
+def test_words_of_letters(text):
+    cache = packing.word_ids(tokenizer_path(), "<u4")
+    assert cache.direct is not None
+    assert np.frombuffer(cache.encode([text.encode()])[0], "<u4").tolist() == plain_ids(text)[:-1]

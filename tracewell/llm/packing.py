@@ -15,10 +15,13 @@ and memory holds at most ``pool`` items, however many rows a task has.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -191,8 +194,8 @@ class WordIdCache:
 
     For tokenizers that drop white space, the ids of a text are those of its
     white-space separated words, end to end. Unknown words are encoded in one
-    call, parted by a special token. The cache holds ``most`` words and starts
-    again when full, so its memory is bounded.
+    call, parted by a special token. The cache holds ``most`` words; when full
+    it keeps those of the texts at hand, so its memory is bounded.
     """
 
     def __init__(self, path: str, dtype: str, separator: str = "<|endoftext|>", most: int = 600_000):
@@ -201,8 +204,36 @@ class WordIdCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.separator, self.dtype, self.most = separator, dtype, most
         self.separator_id = self.tokenizer.token_to_id(separator)
-        self.known: dict[bytes, bytes] = {b"": b""}
+        self.known: dict[bytes, bytes] = {}
         self.marks = {c.encode(): self._ids(c) for c in ".,;:!?"}
+        self.direct = self._merges_alone(path)
+
+    #: UTF-8 of lower-case letters of ASCII and Latin-1
+    LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+    def _merges_alone(self, path: str):
+        """The tokenizer's merges without what comes before them, if they mark the ends of words and bytes are spelled as characters."""
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        kinds = {x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])}
+        steps = [x["type"] for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        suffix = spec["model"].get("end_of_word_suffix")
+        if not (spec["model"]["type"] == "BPE" and suffix and kinds <= {"NFC", "Replace", "Lowercase"} and steps == ["Split", "ByteLevel"]):
+            return None
+        vocab = spec["model"]["vocab"]
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        # byte-level spelling: bytes that print stand for themselves, the others for characters from 256 on, in order
+        prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.spelling = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in prints)}
+        del self.spelling[32]  # stays between words
+        direct = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None}))
+        words = ["the", "über", "ça", "ñandú", "straße", "x", "éèêëïîœ"[:6]]
+        spelled = [w.encode().decode("latin-1").translate(self.spelling) for w in words]
+        same = direct.encode(spelled, is_pretokenized=True, add_special_tokens=False).ids == self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+        return direct if same else None
 
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -213,17 +244,10 @@ class WordIdCache:
             word = word[:-1]
         return word.lower()
 
-    def learn(self, words: set[bytes]) -> None:
-        """Make the ids of all these words known."""
-        new = words.difference(self.known)
-        if len(self.known) + 2 * len(new) > self.most:
-            self.known = {b"": b""}
-            new = words
-        special = {w for w in new if b"<|" in w}
-        stems = {w: self._stem(w) for w in new if w not in special} if special else {w: self._stem(w) for w in new}
-        plain = list(set(stems.values()).difference(self.known))
-        for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
+    def _learn_text(self, words: list[bytes]) -> None:
+        """Words of any kind, parted by the separator, through the whole tokenizer."""
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
             text = self.separator.join([w.decode("utf-8", "replace") for w in part])
             ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
             cuts = np.flatnonzero(ids == self.separator_id)
@@ -232,6 +256,38 @@ class WordIdCache:
             size, raw = ids.itemsize, ids.tobytes()
             edges = [0, *((cuts + 1) * size).tolist(), len(raw) + size]
             self.known.update((w, raw[edges[i] : edges[i + 1] - size]) for i, w in enumerate(part))
+
+    def _learn_letters(self, words: list[bytes]) -> None:
+        """Words of lower-case Latin letters alone: what comes before the merges leaves them whole."""
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            joined = b" ".join(part).decode("latin-1")
+            if not joined.isascii():
+                joined = joined.translate(self.spelling)
+            spelled = joined.split(" ")
+            ids = np.asarray(self.direct.encode_batch_fast([spelled], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int64)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):
+                raise ValueError("a word's end was not marked")
+            ids = ids.astype(self.dtype)
+            size, raw = ids.itemsize, ids.tobytes()
+            edges = [0, *(cuts * size).tolist()]
+            self.known.update((w, raw[edges[i] : edges[i + 1]]) for i, w in enumerate(part))
+
+    def learn(self, words: set[bytes]) -> None:
+        """Make the ids of these unknown words known."""
+        new = words
+        special = {w for w in new if b"<|" in w}
+        stems = {w: self._stem(w) for w in new if w not in special} if special else {w: self._stem(w) for w in new}
+        missing = set(stems.values()).difference(self.known)
+        if self.direct is not None:
+            ascii_words = [w for w in missing if w.isalpha()]  # of bytes: ASCII letters alone, lower case in stems
+            missing.difference_update(ascii_words)
+            accented = [w for w in missing if self.LETTERS.fullmatch(w)]
+            missing.difference_update(accented)
+            self._learn_letters(ascii_words)
+            self._learn_letters(accented)
+        self._learn_text(list(missing))
         known = self.known
         for w, stem in stems.items():
             known[w] = known[stem] if len(w) == len(stem) else known[stem] + self.marks[w[-1:]]
@@ -243,7 +299,11 @@ class WordIdCache:
         out = []
         for at in range(0, len(texts), 256):
             split = [t.split() for t in texts[at : at + 256]]
-            self.learn(set().union(*split))
+            missing = set(filterfalse(self.known.__contains__, chain.from_iterable(split)))
+            if len(self.known) + 2 * len(missing) > self.most:
+                # forget all but what is in use just now
+                self.known = {w: self.known[w] for w in set(chain.from_iterable(split)).difference(missing)}
+            self.learn(missing)
             get = self.known.__getitem__
             out += [b"".join(map(get, words)) for words in split]
         return out
