@@ -138,6 +138,16 @@ def test_bits_drop_no_link(seed, size, n):
                 assert kept[i] and kept[j]
 
 
+def test_filter_passes_what_is_chosen(spark):
+    rng = np.random.default_rng(9)
+    d = rng.integers(-(2**63), 2**63 - 1, 5000)
+    d[:3] = -1, 0, 63
+    chosen = spark.createDataFrame([(int(x),) for x in d[:3000]], "d1 long")
+    wanted = jaccard.digest_filter(chosen)
+    assert jaccard.passes(wanted, d[:3000]).all() and jaccard.passes(wanted, d[3000:]).mean() < 0.01
+    assert not jaccard.digest_filter(chosen.limit(0)).any()
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1060)]

@@ -51,6 +51,8 @@ CELL_SHINGLES = 4_000_000
 COMMON = 100_000
 #: occurrences in one task from which a shingle is proposed as common
 COMMON_IN_TASK = 2
+#: bits of the set that tells which texts may be wanted
+FILTER_BITS = 1 << 25
 #: pivots of a recursion step
 PIVOTS = 16
 
@@ -365,6 +367,22 @@ def _link_rows(batches: Iterable[pa.RecordBatch], how: Shingling) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
 
 
+def digest_filter(chosen: DataFrame) -> np.ndarray:
+    """A bit set of FILTER_BITS bits that has each chosen digest's bit. Its size is fixed; when it fills, it passes more."""
+    bit = F.col("d1").bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = chosen.select(F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast(d1 & 63 as int))").alias("m"))
+    got = words.groupBy("word").agg(F.bit_or("m").alias("m")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[got["word"].to_numpy()] = got["m"].to_numpy()
+    return out.view(np.uint64)
+
+
+def passes(wanted: np.ndarray, d1: np.ndarray) -> np.ndarray:
+    """Whether the bit of each digest is set."""
+    bit = d1.view(np.uint64) & np.uint64(FILTER_BITS - 1)
+    return (wanted[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+
+
 def whole_cells(rows: DataFrame, *columns: str) -> DataFrame:
     """The rows with each cell whole in one partition, sorted by cell.
 
@@ -490,7 +508,8 @@ def similar_components(docs: DataFrame, how: Shingling = Shingling(), cell: int
     small = light.join(sizes.filter("not large").select("cell"), "cell").select(*names, "bits")
     small = whole_cells(small, *names, "bits").mapInArrow(partners, "cell long, d1 long, d2 long, rep long, n int")
     crowded = light.join(large.select("cell"), "cell").select(*names, F.lit(True).alias("crowded"))
-    chosen = small.withColumn("crowded", F.lit(False)).union(crowded)
+    chosen = kept(small.withColumn("crowded", F.lit(False)).union(crowded))
+    wanted = digest_filter(chosen)
     stands = chosen.groupBy("d1", "d2").agg(F.first("rep").alias("rep"), F.first("n").alias("n"), F.collect_set(F.struct("cell", "crowded")).alias("cells"))
 
     def squeeze(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -501,9 +520,11 @@ def similar_components(docs: DataFrame, how: Shingling = Shingling(), cell: int
             for lo, hi, data, offsets in textscan.chunks(b.column(1)):
                 h, f = shingle_sets(data, offsets, how.words)
                 d1, d2 = digests(h, f)
+                at = np.flatnonzero(passes(wanted, d1))
                 raw = data.tobytes()
-                texts = [z.compress(raw[offsets[i] : offsets[i + 1]]) for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(d1), pa.array(d2), pa.array(texts, pa.binary())], ["doc_id", "t1", "t2", "text"])
+                texts = [z.compress(raw[offsets[i] : offsets[i + 1]]) for i in at]
+                made = [b.column(0)[lo:hi].take(pa.array(at)), pa.array(d1[at]), pa.array(d2[at]), pa.array(texts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(made, ["doc_id", "t1", "t2", "text"])
 
     packed = docs.filter("doc_id is not null").mapInArrow(squeeze, "doc_id long, t1 long, t2 long, text binary")
     held = packed.join(stands, (packed["doc_id"] == F.col("rep")) & (F.col("t1") == F.col("d1")) & (F.col("t2") == F.col("d2")))
