@@ -155,7 +155,7 @@ def signatures(docs: DataFrame, how: Shingling) -> DataFrame:
                 made = [pa.array(d1), pa.array(d2), pa.array(np.diff(first)), pa.array(bits, pa.binary())]
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], *made], ["doc_id", "d1", "d2", "n", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, d1 long, d2 long, n long, bits binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(textscan.tidy(run), "doc_id long, d1 long, d2 long, n long, bits binary")
 
 
 def common_shingles(docs: DataFrame, how: Shingling, most: int = COMMON) -> np.ndarray:
@@ -188,7 +188,7 @@ def common_shingles(docs: DataFrame, how: Shingling, most: int = COMMON) -> np.n
         if held:
             yield told()
 
-    seen = docs.select(F.col("text").cast("string")).mapInArrow(run, "s long, n long")
+    seen = docs.select(F.col("text").cast("string")).mapInArrow(textscan.tidy(run), "s long, n long")
     top = seen.groupBy("s").agg(F.sum("n").alias("n")).filter("n >= 8").orderBy(F.desc("n"), "s").limit(most).toArrow()
     return np.asarray(top["s"], np.int64)[::-1].view(np.uint64)
 
@@ -230,7 +230,7 @@ def heads(docs: DataFrame, how: Shingling, common: np.ndarray) -> DataFrame:
                     s = np.concatenate(parts)
                     yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.repeat(d1, lens))], ["s", "d1"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "s long, d1 long")
+    return docs.select(F.col("text").cast("string")).mapInArrow(textscan.tidy(run), "s long, d1 long")
 
 
 def cells(rows: DataFrame, how: Shingling) -> DataFrame:
@@ -395,7 +395,7 @@ def whole_cells(rows: DataFrame, *columns: str) -> DataFrame:
 def join_cells(members: DataFrame, how: Shingling) -> DataFrame:
     """Links (a, b) of doc ids within each cell of (cell, doc_id, d1, d2, text, side)."""
     dealt = whole_cells(members, "cell", "doc_id", "d1", "d2", "text", "side")
-    return dealt.mapInArrow(lambda batches: _link_rows(batches, how), "a long, b long")
+    return dealt.mapInArrow(textscan.tidy(lambda batches: _link_rows(batches, how)), "a long, b long")
 
 
 PLACED = "cell long, doc_id long, d1 long, d2 long, n int, text binary, home int, near array<int>, links array<long>"
@@ -433,7 +433,7 @@ def to_pivots(inside: DataFrame, how: Shingling, pivots: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:6], *made], names)
 
     rows = inside.join(chosen, "cell").select("cell", "doc_id", "d1", "d2", F.col("n").cast("int"), "text", "pivots")
-    return rows.mapInArrow(run, PLACED)
+    return rows.mapInArrow(textscan.tidy(run), PLACED)
 
 
 def in_regions(placed: DataFrame, joined: DataFrame, cell: int) -> DataFrame:
@@ -506,7 +506,7 @@ def similar_components(docs: DataFrame, how: Shingling = Shingling(), cell: int
             yield from chosen(held).to_batches()
 
     small = light.join(sizes.filter("not large").select("cell"), "cell").select(*names, "bits")
-    small = whole_cells(small, *names, "bits").mapInArrow(partners, "cell long, d1 long, d2 long, rep long, n int")
+    small = whole_cells(small, *names, "bits").mapInArrow(textscan.tidy(partners), "cell long, d1 long, d2 long, rep long, n int")
     crowded = light.join(large.select("cell"), "cell").select(*names, F.lit(True).alias("crowded"))
     chosen = kept(small.withColumn("crowded", F.lit(False)).union(crowded))
     wanted = digest_filter(chosen)
@@ -526,7 +526,7 @@ def similar_components(docs: DataFrame, how: Shingling = Shingling(), cell: int
                 made = [b.column(0)[lo:hi].take(pa.array(at)), pa.array(d1[at]), pa.array(d2[at]), pa.array(texts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(made, ["doc_id", "t1", "t2", "text"])
 
-    packed = docs.filter("doc_id is not null").mapInArrow(squeeze, "doc_id long, t1 long, t2 long, text binary")
+    packed = docs.filter("doc_id is not null").mapInArrow(textscan.tidy(squeeze), "doc_id long, t1 long, t2 long, text binary")
     held = packed.join(stands, (packed["doc_id"] == F.col("rep")) & (F.col("t1") == F.col("d1")) & (F.col("t2") == F.col("d2")))
     members = held.select(F.explode("cells").alias("at"), "doc_id", "d1", "d2", "n", "text")
     members = kept(members.select("at.cell", "doc_id", "d1", "d2", "n", "text", "at.crowded"))

@@ -115,7 +115,7 @@ def manifests(docs: DataFrame) -> DataFrame:
             made = [pa.array(n, pa.int64()), pa.array(medium, pa.binary()), pa.array(sha, pa.binary()), pa.array(lists, pa.list_(pa.binary()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *made], ["doc_id", "n_bytes", "medium", "payload_sha256", "chunks"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, MANIFEST)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(textscan.tidy(run), MANIFEST)
 
 
 def chunk_store(docs: DataFrame, seen_most: int = 500_000) -> DataFrame:
@@ -142,7 +142,7 @@ def chunk_store(docs: DataFrame, seen_most: int = 500_000) -> DataFrame:
             if names:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(bodies, pa.binary())], ["digest", "body"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "digest binary, body binary").groupBy("digest").agg(F.first("body").alias("body"))
+    return docs.select(F.col("text").cast("string")).mapInArrow(textscan.tidy(run), "digest binary, body binary").groupBy("digest").agg(F.first("body").alias("body"))
 
 
 MEDIA = "medium binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -225,7 +225,7 @@ def media_table(docs: DataFrame) -> DataFrame:
             yield told()
 
     part = "medium binary, seq int, count int, want binary, body binary, " + MEDIA.removeprefix("medium binary, ")
-    built = bodies.mapInArrow(single, part).repartition("medium").sortWithinPartitions("medium").mapInArrow(several, MEDIA)
+    built = bodies.mapInArrow(textscan.tidy(single), part).repartition("medium").sortWithinPartitions("medium").mapInArrow(textscan.tidy(several), MEDIA)
     built = built.withColumnRenamed("payload_sha256", "read_sha256").withColumnRenamed("medium", "built")
     joined = listed.select("doc_id", "n_bytes", "medium").join(built, F.col("medium") == F.col("built"))
     return joined.select("doc_id", "n_bytes", "payload_bytes", F.col("read_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature")

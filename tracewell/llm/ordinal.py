@@ -170,7 +170,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, most: int = 12_000, levels: int =
                 yield pa.RecordBatch.from_arrays([lists, b.column(1)[lo:hi], b.column(2)[lo:hi]], ["ids", "grade", "at"])
 
     # repeated rows of one id can exceed the bound: the limit holds for rows too
-    got = rated.mapInArrow(extract, "ids array<int>, grade int, at long").limit(2 * most).toArrow()
+    got = rated.mapInArrow(textscan.tidy(extract), "ids array<int>, grade int, at long").limit(2 * most).toArrow()
     got = got.sort_by([("at", "ascending"), ("grade", "ascending")])
     lists = got["ids"].combine_chunks()
     ids = np.concatenate([np.asarray(x.values, np.int32) for x in lists]) if len(lists) else np.zeros(0, np.int32)
@@ -199,4 +199,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = docs.select(*kept).schema
     for c in new:
         schema = schema.add(c, "double")
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(textscan.tidy(run), schema)

@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tracewell.llm import textscan
+
 END_ID = 2
 
 
@@ -198,7 +200,7 @@ class WordIdCache:
     it keeps those of the texts at hand, so its memory is bounded.
     """
 
-    def __init__(self, path: str, dtype: str, separator: str = "<|endoftext|>", most: int = 600_000):
+    def __init__(self, path: str, dtype: str, separator: str = "<|endoftext|>", most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -366,7 +368,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), e
         if rows:
             yield batch()
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(pack, PIECES)
+    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(textscan.tidy(pack), PIECES)
 
 
 def pack_turns(conversations: DataFrame, tokenizer: str, limits: Limits = Limits(), loss_role: str = "assistant") -> DataFrame:
@@ -420,4 +422,4 @@ def pack_turns(conversations: DataFrame, tokenizer: str, limits: Limits = Limits
         if rows:
             yield batch()
 
-    return grouped.mapInArrow(pack, "conv_id long, start long, length long, loss_tokens long, sequence_id long, offset long")
+    return grouped.mapInArrow(textscan.tidy(pack), "conv_id long, start long, length long, loss_tokens long, sequence_id long, offset long")

@@ -173,7 +173,7 @@ def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["bucket", "n"])
 
-    got = docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.select(F.col("text").cast("string")).mapInArrow(textscan.tidy(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(BUCKETS, np.int64)
     counts[got["bucket"].to_numpy()] = got["n"].to_numpy()
     order = np.lexsort((np.arange(BUCKETS), -counts))
@@ -224,8 +224,8 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, share: int = SHARE, parts: int =
                 blobs = [(x / n).astype(np.float32).tobytes() for x, n in sums.values()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(blobs, pa.binary())], ["part", "weights"])
 
-        copies = chosen.mapInArrow(run, "part int, task long, seen long, weights binary")
-        got = copies.repartition("part").sortWithinPartitions("part", "task").mapInArrow(mean, "part int, weights binary").toArrow()
+        copies = chosen.mapInArrow(textscan.tidy(run), "part int, task long, seen long, weights binary")
+        got = copies.repartition("part").sortWithinPartitions("part", "task").mapInArrow(textscan.tidy(mean), "part int, weights binary").toArrow()
         if got.num_rows:
             by = dict(zip(got["part"].to_pylist(), got["weights"].to_pylist(), strict=True))
             model = Model.of(np.concatenate([np.frombuffer(by[p], np.float32) for p in range(parts)]))
@@ -255,4 +255,4 @@ def score(docs: DataFrame, ids_of: np.ndarray, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in b.columns), pa.array(n.astype(np.int64)), pa.array(total), mean], [*kept, *new])
 
     schema = docs.select(*kept).schema.add("n_tokens", "long").add("pseudo_log_likelihood", "double").add("mean_log_probability", "double")
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(textscan.tidy(run), schema)

@@ -90,7 +90,7 @@ def _repeat_words(h: np.ndarray, first: np.ndarray, docs: int, n: int = 8) -> np
 
 
 def gram_ids(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n: bucket of every n-gram, and the document it lies in, or -1 if it spans two."""
+    """For each n: the bucket of the n-gram at every byte, and whether it lies within one document."""
     size = np.diff(offsets)
     left = np.repeat(offsets[1:], size) - np.arange(len(data))  # bytes from here to the document's end
     x = data.astype(np.uint32)
@@ -132,7 +132,7 @@ def ratio_table(docs: DataFrame, labels: DataFrame | None, target_rows: int = TA
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
-    sums = rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    sums = rows.mapInArrow(textscan.tidy(count), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[np.asarray(sums["bucket"])] = np.asarray(sums["raw"])
     target[np.asarray(sums["bucket"])] = np.asarray(sums["target"])
@@ -182,4 +182,4 @@ def judge(docs: DataFrame, table: np.ndarray, threshold: float = THRESHOLD) -> D
     schema = docs.select(*kept).schema
     for c in new:
         schema = schema.add(c, "long" if c in COLUMNS else "double" if c == "llr" else "boolean")
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(textscan.tidy(run), schema)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewell.llm import textscan
 from tracewell.llm.packing import word_ids
 
 #: a free id whose two bytes are one UTF-8 character, which Spark's text writer can put between rows
@@ -38,7 +39,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, separator: int = SE
                 yield pa.RecordBatch.from_arrays([pa.array(encoder.encode([t or b"" for t in texts[at : at + 1024]]), pa.binary())], ["ids"])
 
     mark = separator.to_bytes(2, "big").decode("utf-8")
-    ids = docs.select(F.col("text").cast("string")).mapInArrow(run, "ids binary")
+    ids = docs.select(F.col("text").cast("string")).mapInArrow(textscan.tidy(run), "ids binary")
     ids.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", mark).option("maxRecordsPerFile", ROWS_A_FILE).text(path)
 
 
@@ -68,7 +69,7 @@ def scan_blocks(files: DataFrame, separator: int, block_tokens: int) -> DataFram
             made = [pa.array(x, pa.int64()) for x in (tokens, first, last)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made, pa.array(inner, pa.list_(pa.int64()))], names)
 
-    return cut.mapInArrow(run, BLOCKS)
+    return cut.mapInArrow(textscan.tidy(run), BLOCKS)
 
 
 def stitch(blocks: DataFrame) -> DataFrame:

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.llm import textscan
+
 MARK = "▁".encode()
 #: the cost of a character without a piece, below the lowest score
 UNKNOWN_COST = 10.0
@@ -328,7 +330,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 ids = [None if t is None else np.frombuffer(i, "<u4").astype(np.int32) for t, i in zip(texts, seg.encode([t or b"" for t in texts]), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], [*kept, "ids"])
 
-    return docs.select(*kept).mapInArrow(run, docs.select(*kept).schema.add("ids", T.ArrayType(T.IntegerType())))
+    return docs.select(*kept).mapInArrow(textscan.tidy(run), docs.select(*kept).schema.add("ids", T.ArrayType(T.IntegerType())))
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
@@ -344,7 +346,7 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
                 texts = [None if x.as_py() is None else seg.decode(np.asarray(x.values)) for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*kept, "decoded"])
 
-    return tokens.select(*kept).mapInArrow(run, tokens.select(*kept).schema.add("decoded", "string"))
+    return tokens.select(*kept).mapInArrow(textscan.tidy(run), tokens.select(*kept).schema.add("decoded", "string"))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -369,4 +371,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *made, pa.array(same)], ["doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean")
+    return rows.mapInArrow(textscan.tidy(run), "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean")
