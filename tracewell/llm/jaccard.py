@@ -477,11 +477,11 @@ def similar_components(docs: DataFrame, how: Shingling = Shingling(), cell: int
     where = cells(heads(docs.filter("doc_id is not null"), how, common), how)
     # the least document of each distinct set stands for it
     first = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("bits").alias("bits"))
-    light = kept(where.join(first, "d1").select("cell", "d1", "d2", "rep", "n", "bits"))
+    names = ["cell", "d1", "d2", "rep", "n"]
+    light = kept(where.join(first.drop("bits"), "d1").select(*names))
     sizes = light.groupBy("cell").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).filter("size > 1")
     sizes = kept(sizes.withColumn("large", (F.col("size") > cell) | (F.col("weight") > CELL_SHINGLES) & (F.col("size") > 2)))
     large = sizes.filter("large")
-    names = ["cell", "d1", "d2", "rep", "n"]
 
     def partners(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by cell; those without a partner go."""
@@ -505,7 +505,8 @@ def similar_components(docs: DataFrame, how: Shingling = Shingling(), cell: int
         if held is not None and held.num_rows:
             yield from chosen(held).to_batches()
 
-    small = light.join(sizes.filter("not large").select("cell"), "cell").select(*names, "bits")
+    # bits travel once, to the cells' places
+    small = light.join(sizes.filter("not large").select("cell"), "cell").join(first.select("d1", "d2", "bits"), ["d1", "d2"])
     small = whole_cells(small, *names, "bits").mapInArrow(textscan.tidy(partners), "cell long, d1 long, d2 long, rep long, n int")
     crowded = light.join(large.select("cell"), "cell").select(*names, F.lit(True).alias("crowded"))
     chosen = kept(small.withColumn("crowded", F.lit(False)).union(crowded))
