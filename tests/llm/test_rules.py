@@ -81,3 +81,10 @@ def test_clean_documents_stay(spark):
     got = rules.judge(docs, rules.ratio_table(docs, labels)).drop("text").join(labels, "doc_id").filter("not base_failed").toPandas()
     clean = (got["quality"] == 1) & (got["toxic"] == 0)
     assert got["kept"][clean].mean() > 0.99 and got["kept"][got["quality"] == 0].mean() < 0.2
+
+
+def test_every_trusted_document_is_counted(spark):
+    docs = spark.range(21_000).selectExpr("id AS doc_id", "concat('word ', id, ' of ', id % 7) AS text")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    whole = rules.ratio_table(docs, None)
+    assert whole.any() and np.array_equal(rules.ratio_table(docs, labels), whole)

@@ -21,8 +21,6 @@ BUCKETS = 1 << 16
 GRAMS = (3, 4)
 #: mean log-likelihood ratio, in nats an n-gram, from which a document is kept
 THRESHOLD = -0.2
-#: trusted documents that make the target multinomial, at most
-TARGET_ROWS = 20_000
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -104,35 +102,39 @@ def gram_ids(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         yield (code >> np.uint32(16)).astype(np.int64), left[: len(code)] >= n
 
 
-def ratio_table(docs: DataFrame, labels: DataFrame | None, target_rows: int = TARGET_ROWS) -> np.ndarray:
-    """log(p_target / p_raw) of every bucket.
-
-    The raw corpus is all of ``docs``; the target is the rated documents of
-    the top grade, at most ``target_rows`` by hash of their id. Counts are
-    summed by bucket in Spark; the driver gets one row a bucket.
-    """
-    rows = docs.select("doc_id", "text")
-    if labels is not None:
-        trusted = labels.select(F.col("doc_id").alias("label_id"), ordinal.grade_of().alias("grade")).dropna().groupBy("label_id").agg(F.min("grade").alias("grade")).filter("grade = 2")
-        trusted = trusted.orderBy(F.xxhash64("label_id"), "label_id").limit(target_rows)
-        rows = rows.join(F.broadcast(trusted), F.col("doc_id") == F.col("label_id"), "left").select("text", F.col("label_id").isNotNull().alias("trusted"))
-    else:
-        rows = rows.select("text", F.lit(True).alias("trusted"))
+def gram_counts(texts: DataFrame, name: str) -> DataFrame:
+    """(bucket, ``name``): each task's counts of the n-grams of ``texts``, a row for each bucket it met."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            flags = np.asarray(b.column(1).to_numpy(zero_copy_only=False), bool)
-            for lo, hi, data, offsets in textscan.chunks(b.column(0)):
-                mine = np.repeat(flags[lo:hi], np.diff(offsets))
+            for _, _, data, offsets in textscan.chunks(b.column(0)):
                 for ids, inside in gram_ids(data, offsets):
-                    raw += np.bincount(ids[inside], minlength=BUCKETS)
-                    target += np.bincount(ids[inside & mine[: len(ids)]], minlength=BUCKETS)
-        at = np.flatnonzero(raw)
+                    counts += np.bincount(ids[inside], minlength=BUCKETS)
+        at = np.flatnonzero(counts)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["bucket", name])
+
+    return texts.mapInArrow(textscan.tidy(count), f"bucket long, {name} long")
 
-    sums = rows.mapInArrow(textscan.tidy(count), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+
+def ratio_table(docs: DataFrame, labels: DataFrame | None) -> np.ndarray:
+    """log(p_target / p_raw) of every bucket.
+
+    The raw corpus is all of ``docs``; the target is every document whose id
+    is rated of the top grade, or all of them without ``labels``. Trusted ids
+    meet their texts in a merge join at every size, as both grow with the
+    corpus. Counts are summed by bucket in Spark; the driver gets one row a
+    bucket.
+    """
+    counts = gram_counts(docs.select("text"), "raw").withColumn("target", F.lit(0))
+    if labels is not None:
+        trusted = labels.select(F.col("doc_id").alias("label_id"), ordinal.grade_of().alias("grade")).dropna().groupBy("label_id").agg(F.min("grade").alias("grade")).filter("grade = 2")
+        texts = docs.select("doc_id", "text").join(trusted.hint("merge"), F.col("doc_id") == F.col("label_id")).select("text")
+        counts = counts.union(gram_counts(texts, "target").select("bucket", F.lit(0), "target"))
+    else:
+        counts = counts.withColumn("target", F.col("raw"))
+    sums = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[np.asarray(sums["bucket"])] = np.asarray(sums["raw"])
     target[np.asarray(sums["bucket"])] = np.asarray(sums["target"])
