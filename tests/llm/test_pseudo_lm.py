@@ -59,3 +59,12 @@ def test_odd_rows(spark):
     assert rows[4] == rows[5] and np.isfinite(rows[3].pseudo_log_likelihood)
     none = df.limit(0)
     assert pseudo_lm.score(none, *pseudo_lm.fit(none)).count() == 0
+
+
+def test_every_text_is_trained_on(spark):
+    made = spark.range(400).selectExpr("id AS doc_id", "concat('the word ', id, ' is here and there') AS text")
+    for k in (6, 9):  # of one parity each, so of one round each
+        docs = made.filter(f"pmod(xxhash64(text), 16) = {k}").coalesce(1)
+        assert docs.count()
+        start = pseudo_lm.Model.new(pseudo_lm.vocabulary(docs)[1])
+        assert not np.array_equal(pseudo_lm.fit(docs)[1].flat(), start.flat())

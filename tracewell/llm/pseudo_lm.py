@@ -9,7 +9,8 @@ conditional probabilities of its tokens, its pseudo-log-likelihood.
 Tokens are words, hashed; the commonest hash buckets of the whole corpus have
 ids of their own, the rest share ids. Training is data-parallel: every task
 trains a copy on its share of the corpus, and Spark averages the copies by
-the tokens they saw, in ``ROUNDS`` rounds. So what is gathered grows with the
+the tokens they saw, in ``ROUNDS`` rounds that part the corpus by hash of its
+texts: every document is trained on in one of them. So what is gathered grows with the
 number of tasks, while the driver only ever holds one model.
 """
 
@@ -35,8 +36,6 @@ EDGE = VOCAB
 WIDTH = 16
 SIDE = 2
 ROUNDS = 2
-#: one document in so many, by hash of its text, is trained on
-SHARE = 16
 BATCH = 8192
 
 
@@ -187,8 +186,13 @@ def _parts(flat: np.ndarray, parts: int) -> list[np.ndarray]:
     return np.array_split(flat, parts)
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS, share: int = SHARE, parts: int = 64) -> tuple[np.ndarray, Model]:
-    """Fit on the corpus: (id of each bucket, model). Without a word the model stays at its start."""
+def fit(docs: DataFrame, rounds: int = ROUNDS, share: int | None = None, parts: int = 64) -> tuple[np.ndarray, Model]:
+    """Fit on the corpus: (id of each bucket, model). Without a word the model stays at its start.
+
+    Round k trains on the texts of hash class k of ``share``, by default as
+    many classes as rounds, so that together the rounds see every document.
+    """
+    share = share or rounds
     ids_of, counts = vocabulary(docs)
     model = Model.new(counts)
     texts = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null")
