@@ -1,10 +1,11 @@
 """Secret scanning through a trigram inverted index, in DataFrame functions alone.
 
 Each rule's regular expression gives a Boolean trigram query (``trigrams``).
-One pass over the texts makes postings, trigram to document, for the trigrams
-that some query names; postings are intersected by counting, which gives the
-candidate documents of each rule; candidates are verified by the expression
-itself. Rules without mandatory trigrams scan every text.
+One pass over the texts makes postings, trigram to text, for the trigrams that
+some query names; postings are intersected by counting, which gives the
+candidate texts of each rule. Candidates go back to the texts as a table of
+masks of a bounded size and are verified by the expression itself. Rules
+without mandatory trigrams scan every text.
 
 Positions come from the pieces between the matches: a match starts where the
 pieces and matches before it end.
@@ -13,6 +14,7 @@ pieces and matches before it end.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,10 @@ from pyspark.sql import functions as F
 from tracewell.llm import trigrams
 
 
+#: rows of the table of masks that is broadcast, at most
+SLOTS = 1 << 19
+
+
 @dataclass(frozen=True)
 class Rule:
     """A kind of secret. Matches whose ``group`` has under ``least`` characters are dropped after matching."""
@@ -66,35 +72,65 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
 
+def queries(rules: tuple[Rule, ...]) -> dict[str, trigrams.Query]:
+    """The trigram query of each rule that has one."""
+    found = {r.kind: trigrams.rare(trigrams.query_of(r.pattern)) for r in rules}
+    return {kind: query for kind, query in found.items() if query}
+
+
 def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The inverted index: (trigram, doc_id, text_hash) for every trigram that a rule's query names."""
-    named = sorted({t for r in rules for clause in trigrams.query_of(r.pattern) for way in clause for t in way})
-    low = F.lower("text")
-    found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in named] or [F.lit(None).cast("string")]))
-    return docs.select("doc_id", "text_hash", F.explode(found).alias("trigram"))
+    """The inverted index of docs (text_hash, text): (trigram, text_hash) for every trigram that a rule's query names, by one pass over each text."""
+    named = sorted({t for query in queries(rules).values() for clause in query for way in clause for t in way})
+    if not named:
+        return docs.select("text_hash", F.lit("").alias("trigram")).limit(0)
+    found = F.regexp_extract_all(F.lower("text"), F.lit(trigrams.scanner(named)), F.lit(1))
+    return docs.select("text_hash", F.explode(F.array_distinct(found)).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, text_hash, rules): the rules whose trigram query a document's postings satisfy."""
-    ways = [
-        (t, r.kind, c, w, len(way), len(query))
-        for r in rules
-        for query in [trigrams.query_of(r.pattern)]
-        for c, clause in enumerate(query)
-        for w, way in enumerate(clause)
-        for t in way
-    ]
+    """(text_hash, rules): the rules whose trigram query a text's postings satisfy."""
     # one literal map from a trigram to its uses: as small as the rules
     by: dict[str, list[str]] = {}
-    for t, kind, c, w, need, clauses in ways:
-        by.setdefault(t, []).append(f"{kind}:{c}:{w}:{need}:{clauses}")
+    for kind, query in queries(rules).items():
+        for c, clause in enumerate(query):
+            for w, way in enumerate(clause):
+                for t in way:
+                    by.setdefault(t, []).append(f"{kind}:{c}:{w}:{len(way)}:{len(query)}")
     uses = F.create_map(*[x for t in sorted(by) for x in (F.lit(t), F.array(*map(F.lit, by[t])))]) if by else F.lit(None).cast("map<string,array<string>>")
-    used = index.select("doc_id", "text_hash", "trigram", F.explode(uses[F.col("trigram")]).alias("use"))
-    met = used.dropDuplicates().groupBy("doc_id", "text_hash", "use").agg(F.count("*").alias("n"))
+    used = index.dropDuplicates().select("text_hash", F.explode(uses[F.col("trigram")]).alias("use"))
+    met = used.groupBy("text_hash", "use").agg(F.count("*").alias("n"))
     part = F.split("use", ":")
-    met = met.filter(F.col("n") == part[3].cast("int")).select("doc_id", "text_hash", part[0].alias("kind"), part[1].alias("clause"), part[4].cast("int").alias("clauses"))
-    whole = met.groupBy("doc_id", "text_hash", "kind").agg(F.count_distinct("clause").alias("n"), F.max("clauses").alias("clauses"))
-    return whole.filter("n = clauses").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("kind")).alias("rules"))
+    met = met.filter(F.col("n") == part[3].cast("int")).select("text_hash", part[0].alias("kind"), part[1].alias("clause"), part[4].cast("int").alias("clauses"))
+    whole = met.groupBy("text_hash", "kind").agg(F.count_distinct("clause").alias("n"), F.max("clauses").alias("clauses"))
+    return whole.filter("n = clauses").groupBy("text_hash").agg(F.sort_array(F.collect_set("kind")).alias("rules"))
+
+
+def _slot(text_hash: Column) -> Column:
+    return F.pmod(text_hash, F.lit(SLOTS)).cast("int")
+
+
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(row, text, found): each row whole, its text, and the spans in it.
+
+    Candidates go to the texts as a table of at most SLOTS masks of rules, by
+    hash of the text, so no text moves; a text that shares a slot with a
+    candidate is verified in vain.
+    """
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    docs = docs.select("row", F.coalesce(F.col("row.text"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    chosen = candidates(postings(docs.select("text_hash", "text"), rules), rules)
+    kinds = list(queries(rules))
+    bits = [F.when(F.array_contains("rules", k), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, k in enumerate(kinds)]
+    mask = reduce(lambda a, b: a.bitwiseOR(b), bits, F.lit(0).cast("long"))
+    masks = chosen.groupBy(_slot(F.col("text_hash")).alias("of")).agg(F.bit_or(mask).alias("mask"))
+    joined = docs.withColumn("slot", _slot(F.col("text_hash"))).join(F.broadcast(masks), F.col("slot") == F.col("of"), "left")
+    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
+    text = F.col("text")
+    spans = []
+    for i, r in enumerate(rules):
+        asked = F.col("mask").bitwiseAND(F.lit(1 << kinds.index(r.kind))) > 0 if r.kind in kinds else text.rlike(r.pattern)
+        spans.append(F.when(asked, _spans(text, r, i)).otherwise(none))
+    return joined.select("row", "text", F.array_sort(F.flatten(F.array(*spans))).alias("found"))
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -103,21 +139,10 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     Returns each row's columns and ``found``, an array of (start, rank, kind,
     end) by start, then rule order. Null text counts as empty; a null doc_id
     is a value like others; repeated rows each get the same result; further
-    columns stay, but for those named as the ones added here; an empty table
-    gives no rows.
+    columns stay, but for one named found; an empty table gives no rows.
     """
-    own = [c for c in docs.columns if c not in ("text_hash", "cand_id", "cand_hash", "rules", "found")]
-    docs = docs.select(*own).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("text_hash", F.xxhash64("text"))
-    ranked = list(enumerate(rules))
-    indexed = [(i, r) for i, r in ranked if trigrams.query_of(r.pattern)]
-    full = [(i, r) for i, r in ranked if not trigrams.query_of(r.pattern)]
-    chosen = candidates(postings(docs, rules), rules).select(F.col("doc_id").alias("cand_id"), F.col("text_hash").alias("cand_hash"), "rules")
-    joined = docs.join(chosen, (F.col("text_hash") == F.col("cand_hash")) & F.col("doc_id").eqNullSafe(F.col("cand_id")), "left")
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    text = F.col("text")
-    spans = [F.when(F.array_contains("rules", r.kind), _spans(text, r, i)).otherwise(none) for i, r in indexed]
-    spans += [F.when(text.rlike(r.pattern), _spans(text, r, i)).otherwise(none) for i, r in full]
-    return joined.select(*own, F.array_sort(F.flatten(F.array(*spans))).alias("found"))
+    own = [F.col(f"row.`{c}`") for c in docs.columns if c != "found"]
+    return _scanned(docs, rules).select(*own, "found")
 
 
 def digest(found: Column) -> Column:
@@ -139,8 +164,11 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[{}]") -> DataFrame:
-    """The same rows with each secret in the text replaced by its kind; overlapping spans become one, named by the first."""
-    found = F.col("found")
+    """The same rows with each secret in the text replaced by its kind; overlapping spans become one, named by the first.
+
+    Null text stays null, and all other columns stay as they are, whatever
+    their names; repeated rows are treated alike; an empty table gives no rows.
+    """
 
     def step(acc: Column, s: Column) -> Column:
         text = F.col("text")
@@ -149,6 +177,6 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[{}]")
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(over, acc["out"]).otherwise(put).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length(F.col("text")))))
-    clean = F.when(F.size(found) == 0, F.col("text")).otherwise(whole)
-    return scan_secrets(docs, rules).withColumn("text", clean).drop("found")
+    whole = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length(F.col("text")))))
+    clean = F.when(F.size("found") == 0, F.col("row.text")).otherwise(whole)
+    return _scanned(docs, rules).select(*[clean.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
