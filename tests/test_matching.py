@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from tracewell.config import Tracker
-from tracewell.functions.assignment import assign, hungarian
+from tracewell.functions.assignment import assign, hungarian, sparse_assignment
 from tracewell.operators import matching, tracking
 from tracewell.plans import presets
 from tracewell.streaming import replay
@@ -78,6 +78,52 @@ def test_assignment_is_optimal():
     assert len(set(col)) == 4
 
 
+def best_total(rows):
+    """The largest total of a one-to-one choice among (left, right, score), by trying all."""
+    if not rows:
+        return 0
+    (a, b, s), rest = rows[0], rows[1:]
+    return max(best_total(rest), s + best_total([r for r in rest if r[0] != a and r[1] != b]))
+
+
+def test_sparse_assignment_is_optimal():
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        n = rng.integers(1, 11)
+        pairs = {(int(a), int(b)) for a, b in rng.integers(0, 6, (n, 2))}
+        rows = [(a, b, round(float(rng.random()) + 0.01, int(rng.integers(1, 5)))) for a, b in sorted(pairs)]
+        take = sparse_assignment([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
+        assert len({rows[k][0] for k in take}) == len(take) == len({rows[k][1] for k in take})
+        assert sum(rows[k][2] for k in take) == pytest.approx(best_total(rows))
+    # a component too large for a matrix: a chain, whose best choice is every second pair
+    n = 400
+    i, j, w = np.repeat(np.arange(n), 2), np.repeat(np.arange(n + 1), 2)[1:-1], np.tile([1.0, 0.9], n)
+    assert w[assign(i, j, w)].sum() == pytest.approx(n)
+
+
+def test_optimal_and_identity_against_brute_force(spark):
+    rng = random.Random(6)
+    box = lambda: (rng.randrange(0, 60, 6), rng.randrange(0, 60, 6), 30, rng.choice((40, 46)))
+    tracks = [(f, k, box()) for f in range(1, 16) for k in range(1, 5)]
+    gt = [(f, k, box()) for f in range(1, 16) for k in range(11, 15)]
+    t, g = boxes(spark, "track_id", tracks), boxes(spark, "gt_id", gt)
+    p = matching.box_pairs(t, g, ["track_id"], ["gt_id"])
+    got = {}
+    for r in matching.optimal(p, "track_id", "gt_id", 0.0).collect():
+        got.setdefault(r.frame_index, []).append(r.iou)
+    for f in range(1, 16):
+        rows = [(a, b, float(np.float32(plain_iou(x, y)))) for fa, a, x in tracks for fb, b, y in gt if fa == fb == f and plain_iou(x, y) > 0]
+        assert sum(got.get(f, [])) == pytest.approx(best_total(rows), abs=1e-5)
+    shared = {}
+    for fa, a, x in tracks:
+        for fb, b, y in gt:
+            if fa == fb and plain_iou(x, y) >= 0.3:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    s = matching.identity_score(matching.overlap_counts(p, 0.3), t, g).first()
+    best = best_total([(a, b, n) for (a, b), n in sorted(shared.items())])
+    assert (s.idtp, s.idfp, s.idfn) == (best, 60 - best, 60 - best) and best > 5
+
+
 def mot(spark, tracks, gt):
     t = boxes(spark, "track_id", tracks)
     g = boxes(spark, "gt_id", gt)
