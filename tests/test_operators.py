@@ -94,6 +94,26 @@ def test_trajectory_summary(spark):
     assert t == {1: [1, 2, 5], 2: [3, 4, 5]}
     with pytest.raises(ValueError):
         tracks.timestamp(F.col("frame_index"), 0)
+    assert [q.frame_index for q in tracks.trajectory(p, "s", 1).first().points] == [1, 2, 5]
+    with pytest.raises(KeyError):
+        tracks.trajectory(p, "s", 3)
+
+
+def test_repeated_frames(spark):
+    p = points(spark, [(1, f, 0, 0) for f in (1, 2, 2, 4)] + [(2, f, 0, 0) for f in (7, 8)])
+    # four rows over four frames, of which one is missing
+    assert {r.track_id: (r.n_points, r.has_gaps) for r in tracks.bounds(p).collect()} == {1: (4, True), 2: (2, False)}
+    with pytest.raises(Exception, match="two points in a frame"):
+        tracks.trajectories(p).collect()
+    assert [r.track_id for r in tracks.trajectories(p, "quarantine").collect()] == [2]
+    assert [(r.track_id, r.frame_index) for r in tracks.duplicates(p).collect()] == [(1, 2)]
+
+
+def test_another_foot_point(spark):
+    box = "seq_id string, track_id int, frame_index int, bb_left double, bb_top double, bb_width double, bb_height double, confidence double"
+    df = spark.createDataFrame([("s", 1, 1, 10.0, 20.0, 4.0, 8.0, 0.5)], box)
+    middle = tracks.footpoints(df, point=lambda x1, y1, x2, y2: ((x1 + x2) / 2, (y1 + y2) / 2)).first()
+    assert (middle.x, middle.y) == (12.0, 24.0)
 
 
 def test_image_heatmap(spark):
@@ -150,4 +170,7 @@ def test_reproducibility(spark):
     one = spark.createDataFrame([(0.654321, 5)], "mota double, n long")
     diff = lambda x, n: [(r.path, r.difference) for r in audit.reproducibility(audit.unpivot(one), audit.unpivot(spark.createDataFrame([(x, n)], "mota double, n long"))).collect()]
     assert diff(0.654322, 5) == [] and diff(0.654421, 5) == [("mota", "FLOAT_TOLERANCE_EXCEEDED")] and diff(0.654321, 6) == [("n", "EXACT_MISMATCH")]
-    assert "## a" in audit.markdown("t", {"a": one}) and audit.report_path("r", "all").endswith("EVALUATION_REPORT.md") and audit.report_path("r", "CAM-09-A").endswith("_CAM_09.md")
+    told = audit.markdown("t", [audit.sequence_markdown("A", {"a": one}), audit.sequence_markdown("B", {"detection": one}, seconds={"tracks": 2.0}, frames=50, rss_mb=9.0)])
+    assert told.startswith("# t") and "## A" in told and "## B" in told and "mota" in told and "25.00 frames/s" in told and "9.0 MB" in told
+    assert audit.peak_rss_mb() > 10
+    assert audit.report_path("r", "all").endswith("EVALUATION_REPORT.md") and audit.report_path("r", "CAM-09-A").endswith("_CAM_09.md")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import resource
+import sys
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,53 +22,55 @@ INVARIANTS = (
 )
 
 
-def _count(df: DataFrame, value: Column | None = None) -> DataFrame:
-    v = F.count("*") if value is None else F.coalesce(F.sum(value), F.lit(0))
-    return df.agg(v.cast("long").alias("v"))
+def _one_row(*sums: DataFrame) -> DataFrame:
+    """One-row tables side by side."""
+    return reduce(lambda a, b: a.join(F.broadcast(b)), sums)
+
+
+def _total(condition: Column) -> Column:
+    return F.coalesce(F.sum(condition.cast("long")), F.lit(0))
 
 
-def _check(name: str, left: DataFrame, right: DataFrame) -> DataFrame:
-    pair = left.select(F.col("v").alias("left_value")).join(F.broadcast(right.select(F.col("v").alias("right_value"))))  # one row each
-    return pair.select(F.lit(name).alias("name"), (F.col("left_value") == F.col("right_value")).alias("passed"), "left_value", "right_value")
+def _listed(row: DataFrame, names: tuple[str, ...], fields: list[Column]) -> DataFrame:
+    """A row for each name, with the fields of its struct."""
+    pairs = [F.struct(F.lit(name).alias("name"), f.alias("f")) for name, f in zip(names, fields, strict=True)]
+    return row.select(F.inline(F.array(*pairs))).select("name", "f.*")
 
 
 def conservation(points: DataFrame, ground: DataFrame, image_cells: DataFrame, ground_cells: DataFrame, image_members: DataFrame, ground_members: DataFrame, image_visits: DataFrame, ground_visits: DataFrame) -> DataFrame:
-    """Seven equations; each side is counted from a table of its own, so that a check can fail."""
+    """Seven equations; each side is counted from a table of its own, so that a check can fail. Each table is summed once."""
     n = F.size("zone_ids")
     states = F.when(~F.col("is_valid"), 1).when(F.col("is_extrapolated"), 1).when(~F.col("is_extrapolated"), 1).otherwise(0)
-    known = lambda *s: F.when(F.col("status").isin(*s), 1).otherwise(0)
-    sides = [
-        (_count(points), _count(ground, states)),
-        (_count(points), _count(image_cells, known("accumulated", "out_of_bounds", "invalid"))),
-        (_count(ground), _count(ground_cells, known("accumulated", "out_of_bounds", "invalid", "extrapolated_rejected"))),
-        (_count(points), _count(image_members, F.when(n > 0, 1).otherwise(0) + F.when(n == 0, 1).otherwise(0))),
-        (_count(ground), _count(ground_members, F.when(n > 0, 1).otherwise(0) + F.when(n == 0, 1).otherwise(0))),
-        (_count(image_visits, F.col("observation_count")), _count(image_members, n)),
-        (_count(ground_visits, F.col("observation_count")), _count(ground_members, n)),
-    ]
-    out = None
-    for name, (left, right) in zip(EQUATIONS, sides, strict=True):
-        row = _check(name, left, right)
-        out = row if out is None else out.unionByName(row)
-    return out
+    known = lambda *s: _total(F.col("status").isin(*s))
+    sided = F.when(n > 0, 1).otherwise(0) + F.when(n == 0, 1).otherwise(0)
+    row = _one_row(
+        points.agg(F.count("*").alias("points")),
+        ground.agg(F.count("*").alias("ground"), _total(states).alias("states")),
+        image_cells.agg(known("accumulated", "out_of_bounds", "invalid").alias("cells")),
+        ground_cells.agg(known("accumulated", "out_of_bounds", "invalid", "extrapolated_rejected").alias("ground_cells")),
+        image_members.agg(_total(sided).alias("members"), _total(n).alias("zones")),
+        ground_members.agg(_total(sided).alias("ground_members"), _total(n).alias("ground_zones")),
+        image_visits.agg(_total(F.col("observation_count")).alias("visited")),
+        ground_visits.agg(_total(F.col("observation_count")).alias("ground_visited")),
+    )
+    sides = [("points", "states"), ("points", "cells"), ("ground", "ground_cells"), ("points", "members"), ("ground", "ground_members"), ("visited", "zones"), ("ground_visited", "ground_zones")]
+    return _listed(row, EQUATIONS, [F.struct((F.col(a) == F.col(b)).alias("passed"), F.col(a).alias("left_value"), F.col(b).alias("right_value")) for a, b in sides])
 
 
 def invariants(tracks: DataFrame, points: DataFrame, members: DataFrame, visits: DataFrame, cells: DataFrame) -> DataFrame:
-    """Seven invariants as counts of violations, each 0 when it holds."""
+    """Seven invariants as counts of violations, each 0 when it holds. Each table is summed once; points meet tracks in one union."""
     keys = [*KEYS, "frame_index"]
-    strays = points.join(tracks.select(*keys), keys, "left_anti").agg(F.count("*").alias("v"))
-    repeated = points.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("v"))
-    apart = lambda a, b: _count(a).select(F.col("v").alias("a")).join(F.broadcast(_count(b).select(F.col("v").alias("b")))).select(F.abs(F.col("a") - F.col("b")).alias("v"))
-    states = F.when(F.col("status").isNull(), 1).otherwise(0)
-    checks = [
-        _count(tracks.filter("state <> 'confirmed'")), apart(tracks, points), strays, repeated, apart(points, members),
-        _count(visits.filter("observation_count > last_observed_frame - entry_frame + 1")), _count(cells, states),
-    ]
-    out = None
-    for name, one in zip(INVARIANTS, checks, strict=True):
-        row = one.select(F.lit(name).alias("name"), (F.col("v") == 0).alias("passed"), F.col("v").cast("long").alias("violations"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    both = tracks.select(*keys, F.lit(1).alias("t"), F.lit(0).alias("p")).unionByName(points.select(*keys, F.lit(0).alias("t"), F.lit(1).alias("p")))
+    both = both.groupBy(*keys).agg(F.sum("t").alias("t"), F.sum("p").alias("p"))
+    row = _one_row(
+        tracks.agg(_total(F.col("state") != "confirmed").alias("v1")),
+        both.agg(F.abs(_total(F.col("t")) - _total(F.col("p"))).alias("v2"), _total(F.when(F.col("t") == 0, F.col("p")).otherwise(0)).alias("v3"), _total(F.greatest(F.col("p") - 1, F.lit(0))).alias("v4"), _total(F.col("p")).alias("points")),
+        members.agg(F.count("*").alias("members")),
+        visits.agg(_total(F.col("observation_count") > F.col("last_observed_frame") - F.col("entry_frame") + 1).alias("v6")),
+        cells.agg(_total(F.col("status").isNull()).alias("v7")),
+    ).withColumn("v5", F.abs(F.col("points") - F.col("members")))
+    counts = [F.col(f"v{k}") for k in range(1, 8)]
+    return _listed(row, INVARIANTS, [F.struct((v == 0).alias("passed"), v.alias("violations")) for v in counts])
 
 
 def agreement(image_members: DataFrame, ground_members: DataFrame, wanted: list[str] | None = None, mapping: dict[str, str] | None = None) -> DataFrame:
@@ -120,13 +126,67 @@ def report_json(**parts: DataFrame) -> DataFrame:
     return out.select(F.to_json(F.struct(*sorted(parts))).alias("report"))
 
 
-def markdown(title: str, parts: dict[str, DataFrame]) -> str:
-    """A report of one-row parts as Markdown, a section each. The parts are collected: a row each."""
-    lines = [f"# {title}", ""]
-    for name, part in parts.items():
-        lines += [f"## {name}", "", "| Metric | Value |", "|---|---|"]
-        lines += [f"| {k} | {v} |" for k, v in part.first().asDict().items()] + [""]
-    return "\n".join(lines)
+#: sections of a sequence's report: title, and the parts whose numbers it lists
+SECTIONS = (
+    ("Detection", ("detection",)), ("Tracking", ("tracking",)), ("Trajectories", ("trajectories",)),
+    ("Image space", ("image_heatmap", "image_zones", "image_dwell")), ("Ground space", ("projection", "ground_heatmap", "ground_zones", "ground_dwell")),
+    ("Both spaces compared", ("agreement",)),
+)
+LIMITS = (
+    "Ground coordinates are in units of the calibration's plane, which need not be metres.",
+    "Times, rates and memory describe this run; no check depends on them.",
+    "Scores of detection and tracking follow a local protocol over active pedestrians, not an official benchmark.",
+)
+
+
+def _shown(value: object) -> str:
+    return f"{value:.4f}" if isinstance(value, float) else str(value)
+
+
+def sequence_markdown(title: str, parts: dict[str, DataFrame], checks: DataFrame | None = None, seconds: dict[str, float] | None = None, frames: int = 0, rss_mb: float = 0.0) -> list[str]:
+    """The lines of one sequence: its sections, the conservation checks and the run's profile. Parts are a row each, checks seven."""
+    lines, number = [f"## {title}", ""], 0
+
+    def section(name: str) -> None:
+        nonlocal number
+        number += 1
+        lines.extend([f"### {number}. {name}", ""])
+
+    for name, wanted in SECTIONS:
+        section(name)
+        have = [k for k in wanted if k in parts]
+        for part in have:
+            lines.extend([f"**{part}**", "", "| Metric | Value |", "|---|---|"])
+            lines.extend(f"| {k} | {_shown(v)} |" for k, v in parts[part].first().asDict().items())
+            lines.append("")
+        if not have:
+            lines.extend(["No annotations to compare with.", ""])
+    for part in sorted(parts.keys() - {k for _, wanted in SECTIONS for k in wanted}):
+        section(part)
+        lines.extend([*(f"- {k}: {_shown(v)}" for k, v in parts[part].first().asDict().items()), ""])
+    if checks is not None:
+        section("Conservation")
+        lines.extend(["| Check | Result | Balance |", "|---|---|---|"])
+        lines.extend(f"| {r.name} | {'passed' if r.passed else 'FAILED'} | {r.left_value} == {r.right_value} |" for r in checks.collect())
+        lines.append("")
+    if seconds:
+        section("Run")
+        total = sum(seconds.values())
+        lines.extend([f"- Wall clock: {total:.2f} s", f"- Throughput: {frames / total if total > 0 else 0:.2f} frames/s", f"- Driver's peak memory: {rss_mb:.1f} MB"])
+        lines.extend(f"- {k}: {1000 * v:.1f} ms ({1000 * v / max(frames, 1):.3f} ms a frame)" for k, v in seconds.items())
+        lines.append("")
+    return lines
+
+
+def markdown(title: str, sequences: list[list[str]]) -> str:
+    """A report of several sequences' lines."""
+    return "\n".join([f"# {title}", "", *(line for one in sequences for line in one), "## Limits", "", *(f"- {x}" for x in LIMITS), ""])
+
+
+def peak_rss_mb() -> float:
+    """The largest memory that this driver process has held so far."""
+    most = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    return most / 1e6 if sys.platform == "darwin" else most / 1e3
 
 
 def report_path(folder: str, sequence: str) -> str:

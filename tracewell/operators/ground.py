@@ -11,9 +11,14 @@ KEYS = ("seq_id", "track_id")
 
 
 def project(points: DataFrame, calibration: Calibration) -> DataFrame:
-    """Each foot point on the ground, with its image coordinates kept as provenance. Nine literals, no UDF."""
-    g = points.withColumn("g", calibration.project(F.col("x"), F.col("y")))
-    return g.select(*KEYS, "frame_index", "g.x", "g.y", "g.is_valid", "g.is_extrapolated", "g.error_code", "g.frame", F.col("x").alias("source_x"), F.col("y").alias("source_y"))
+    """Each foot point on the ground, with its image coordinates kept as provenance. Nine literals, no UDF.
+
+    The generator of one row a point keeps the optimizer from writing the
+    projection out again wherever a later step reads its result.
+    """
+    g = points.select(*KEYS, "frame_index", F.col("x").alias("source_x"), F.col("y").alias("source_y"))
+    g = g.select("*", F.inline(F.array(calibration.project(F.col("source_x"), F.col("source_y")))))
+    return g.select(*KEYS, "frame_index", "x", "y", "is_valid", "is_extrapolated", "error_code", "frame", "source_x", "source_y")
 
 
 def accepted(ground: DataFrame, allow_extrapolated: bool = True) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,15 +22,20 @@ def footpoint_status(df_width: Column, df_height: Column, *coords: Column) -> Co
     return F.when(~finite(*coords, df_width, df_height), "NON_FINITE").when(df_width <= 0, "WIDTH").when(df_height <= 0, "HEIGHT")
 
 
-def footpoints(tracks: DataFrame, mode: str = "quarantine") -> DataFrame:
-    """The middle of each box's lower edge, not clipped.
+def bottom_center(x1: Column, y1: Column, x2: Column, y2: Column) -> tuple[Column, Column]:
+    """The middle of a box's lower edge, not clipped."""
+    return (x1 + x2) / 2, y2
+
+
+def footpoints(tracks: DataFrame, mode: str = "quarantine", point: Callable[[Column, Column, Column, Column], tuple[Column, Column]] = bottom_center) -> DataFrame:
+    """Where each box stands, by ``point``, any function from a box's corners to a point.
 
     mode 'strict' raises on the first bad box; 'quarantine' drops bad boxes,
     which ``bad_boxes`` lists.
     """
     box = corners(tracks)
     status = footpoint_status(F.col("bb_width"), F.col("bb_height"), F.col("bb_left"), F.col("bb_top"))
-    x, y = (F.col("x1") + F.col("x2")) / 2, F.col("y2")
+    x, y = point(*(F.col(c) for c in ("x1", "y1", "x2", "y2")))
     if mode == "strict":
         fail = F.raise_error(F.concat(F.lit("a box gives no foot point: "), status)).cast("double")
         x = F.when(status.isNull(), x).otherwise(fail)
@@ -49,16 +56,33 @@ def timestamp(frame: Column, fps: float) -> Column:
     return (frame - 1) / F.lit(float(fps))
 
 
-def trajectories(points: DataFrame) -> DataFrame:
-    """One row a track: its points in frame order."""
+def trajectories(points: DataFrame, mode: str = "strict") -> DataFrame:
+    """One row a track: its points in frame order.
+
+    A track has one point a frame. mode 'strict' raises on a track that has
+    more; 'quarantine' leaves such tracks out, which ``duplicates`` lists.
+    """
     row = F.struct("frame_index", "x", "y", "confidence")
-    return points.groupBy(*KEYS).agg(F.array_sort(F.collect_list(row)).alias("points"))
+    t = points.groupBy(*KEYS).agg(F.array_sort(F.collect_list(row)).alias("points"))
+    twice = F.size("points") > F.size(F.array_distinct(F.col("points.frame_index")))
+    if mode == "quarantine":
+        return t.filter(~twice)
+    fail = F.raise_error(F.concat(F.lit("a track has two points in a frame: "), F.col("track_id").cast("string"))).cast(t.schema["points"].dataType)
+    return t.withColumn("points", F.when(twice, fail).otherwise(F.col("points")))
+
+
+def trajectory(points: DataFrame, seq_id: str, track_id: int) -> DataFrame:
+    """The one trajectory of a track; KeyError for a track without points."""
+    own = points.filter((F.col("seq_id") == seq_id) & (F.col("track_id") == track_id))
+    if not own.take(1):
+        raise KeyError(track_id)
+    return trajectories(own)
 
 
 def bounds(points: DataFrame) -> DataFrame:
-    """First and last frame, count and gaps of each track; one shuffle, with partial sums."""
-    b = points.groupBy(*KEYS).agg(F.min("frame_index").alias("start_frame"), F.max("frame_index").alias("end_frame"), F.count("*").alias("n_points"))
-    return b.withColumn("has_gaps", F.col("end_frame") - F.col("start_frame") + 1 > F.col("n_points"))
+    """First and last frame, count and gaps of each track; one shuffle. Repeated frames neither make nor hide a gap."""
+    gap = F.max(F.coalesce(F.col("frame_index") - F.col("previous_frame") > 1, F.lit(False)))
+    return steps(points).groupBy(*KEYS).agg(F.min("frame_index").alias("start_frame"), F.max("frame_index").alias("end_frame"), F.count("*").alias("n_points"), gap.alias("has_gaps"))
 
 
 def duplicates(points: DataFrame) -> DataFrame:
