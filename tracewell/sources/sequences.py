@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import configparser
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.sources import files
+
 # Class ids of annotations, in order from 1.
 CLASSES = (
     "PEDESTRIAN", "PERSON_ON_VEHICLE", "CAR", "BICYCLE", "MOTORBIKE", "NON_MOTORIZED_VEHICLE",
@@ -47,22 +48,25 @@ class Info:
 
 
 class Sequence:
-    """One directory. Tables carry its name as seq_id."""
+    """One directory, in any store that Spark reads. Tables carry its name as seq_id.
+
+    Tables of rows may be single files or folders of part files.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, Path(folder)
-        if not self.folder.is_dir():
+        self.spark, self.folder = spark, str(folder).rstrip("/")
+        if not files.is_folder(spark, self.folder):
             raise FileNotFoundError(folder)
         self._info: Info | None = None
 
     @property
     def info(self) -> Info:
         if self._info is None:
-            path = self.folder / "seqinfo.ini"
-            if not path.exists():
+            path = f"{self.folder}/seqinfo.ini"
+            if not files.exists(self.spark, path):
                 raise FileNotFoundError(path)
             ini = configparser.ConfigParser()
-            ini.read(path)
+            ini.read_string(files.read_small(self.spark, path))
             if "Sequence" not in ini:
                 raise ValueError("seqinfo.ini has no section [Sequence]")
             s = ini["Sequence"]
@@ -78,29 +82,33 @@ class Sequence:
 
     @property
     def has_ground_truth(self) -> bool:
-        return (self.folder / "gt/gt.txt").exists()
+        return files.exists(self.spark, f"{self.folder}/gt/gt.txt")
 
     @property
     def has_detections(self) -> bool:
-        return (self.folder / "det/det.txt").exists()
+        return files.exists(self.spark, f"{self.folder}/det/det.txt")
+
+    def images(self) -> DataFrame:
+        """(path, name) of the images that exist."""
+        return files.listed(self.spark, f"{self.folder}/{self.info.im_dir}", f"*{self.info.im_ext}")
 
     @property
     def has_images(self) -> bool:
-        return any((self.folder / self.info.im_dir).glob(f"*{self.info.im_ext}"))
+        return bool(self.images().take(1))
 
-    def get_frame_path(self, frame: int) -> Path:
+    def get_frame_path(self, frame: int) -> str:
         if frame < 1:
             raise ValueError("frames count from 1")
-        return self.folder / self.info.im_dir / f"{frame:06d}{self.info.im_ext}"
+        return f"{self.folder}/{self.info.im_dir}/{frame:06d}{self.info.im_ext}"
 
     def frame_exists(self, frame: int) -> bool:
-        return self.get_frame_path(frame).exists()
+        return files.exists(self.spark, self.get_frame_path(frame))
 
     def _scan(self, path: str, schema: str, width: int) -> DataFrame:
         """Rows of a comma-separated file; a row with fewer than ``width`` fields or a bad number raises."""
-        if not (self.folder / path).exists():
-            raise FileNotFoundError(self.folder / path)
-        lines = self.spark.read.text(str(self.folder / path)).filter(F.trim("value") != "")
+        if not files.exists(self.spark, f"{self.folder}/{path}"):
+            raise FileNotFoundError(f"{self.folder}/{path}")
+        lines = self.spark.read.text(f"{self.folder}/{path}").filter(F.trim("value") != "")
         parts = F.split("value", ",")
         short = F.raise_error(F.concat(F.lit(f"fewer than {width} fields: "), F.col("value"))).cast("array<string>")
         lines = lines.select(F.when(F.size(parts) >= width, parts).otherwise(short).alias("p"))
@@ -117,21 +125,36 @@ class Sequence:
     def frames(self, start: int = 1, end: int | None = None, stride: int = 1) -> DataFrame:
         """(seq_id, frame_index, path) of the images that exist in a range."""
         wanted = frame_range(self.spark, self.info.seq_length, start, end, stride)
-        found = sorted(str(p) for p in (self.folder / self.info.im_dir).glob(f"*{self.info.im_ext}"))
-        have = self.spark.createDataFrame([(p,) for p in found], "path string")
-        path = frame_path(F.lit(str(self.folder / self.info.im_dir)), F.col("frame_index"), F.lit(self.info.im_ext))
-        return wanted.withColumn("path", path).join(have, "path", "left_semi").select(F.lit(self.info.name).alias("seq_id"), "frame_index", "path")
+        path = frame_path(F.lit(f"{self.folder}/{self.info.im_dir}"), F.col("frame_index"), F.lit(self.info.im_ext))
+        named = wanted.withColumn("path", path).withColumn("name", F.element_at(F.split("path", "/"), -1))
+        return named.join(self.images().select("name"), "name", "left_semi").select(F.lit(self.info.name).alias("seq_id"), "frame_index", "path")
 
     def summary(self) -> dict:
         """Totals; those of a missing file are left out."""
-        out: dict = {"name": self.info.name, "frame_rate": self.info.frame_rate, "seq_length": self.info.seq_length, "resolution": self.info.resolution}
-        if self.has_ground_truth:
+        i = self.info
+        out: dict = {"name": i.name, "frame_rate": i.frame_rate, "seq_length": i.seq_length, "resolution": i.resolution, "im_ext": i.im_ext}
+        out |= {"has_images": self.has_images, "has_ground_truth": self.has_ground_truth, "has_detections": self.has_detections}
+        if out["has_images"]:
+            out["images_on_disk"] = self.images().count()
+        if out["has_ground_truth"]:
             out |= summary_of(self.ground_truth()).first().asDict()
-        if self.has_detections:
+        if out["has_detections"]:
             out["total_detections"] = self.detections().count()
         return out
 
 
+def write(spark: SparkSession, folder: str, info: Info, gt: DataFrame | None = None, det: DataFrame | None = None) -> Sequence:
+    """Write a sequence directory that Sequence reads: seqinfo.ini and, where given, the rows of GT and DET."""
+    keys = {"name": info.name, "imDir": info.im_dir, "frameRate": info.frame_rate, "seqLength": info.seq_length, "imWidth": info.im_width, "imHeight": info.im_height, "imExt": info.im_ext}
+    ini = spark.createDataFrame([("\n".join(["[Sequence]", *(f"{k}={v}" for k, v in keys.items())]),)], "value string")
+    ini.coalesce(1).write.text(f"{folder}/seqinfo.ini")
+    for name, schema, rows in (("gt", GT, gt), ("det", DET, det)):
+        if rows is not None:
+            columns = [F.col(f.split()[0]).cast(f.split()[1]).cast("string") for f in schema.split(", ")]
+            rows.select(F.concat_ws(",", *columns).alias("value")).write.text(f"{folder}/{name}/{name}.txt")
+    return Sequence(spark, folder)
+
+
 def filter_ground_truth(gt: DataFrame, pedestrians_only: bool = False, active_only: bool = False, min_visibility: float = 0.0) -> DataFrame:
     if pedestrians_only:
         gt = gt.filter("class_id = 1")
@@ -142,7 +165,7 @@ def filter_ground_truth(gt: DataFrame, pedestrians_only: bool = False, active_on
 
 def summary_of(gt: DataFrame) -> DataFrame:
     active = (F.col("class_id") == 1) & (F.col("conf") == 1.0)
-    return gt.agg(F.count("*").alias("total_annotations"), F.count_if(active).alias("active_pedestrians"), F.count_distinct(F.when(F.col("class_id") == 1, F.struct("seq_id", "track_id"))).alias("pedestrian_tracks"))
+    return gt.agg(F.count("*").alias("total_annotations"), F.count_if(active).alias("active_pedestrians"), F.count_distinct(F.when(active, F.struct("seq_id", "track_id"))).alias("pedestrian_tracks"))
 
 
 def frame_range(spark: SparkSession, seq_length: int, start: int = 1, end: int | None = None, stride: int = 1) -> DataFrame:

@@ -4,10 +4,7 @@ from __future__ import annotations
 
 import json
 import pickle
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,16 +15,7 @@ from tracewell.config import Dwell, ImageGrid, Tracker, Zones
 from tracewell.operators import heatmaps
 from tracewell.operators.tracking import TRACKS, TwoStage, run_frames
 from tracewell.operators.zones import zone_ids
-
-
-@cache
-def _own() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="streams-")
-
-
-def _checkpoint(spark: SparkSession) -> str:
-    """A new folder under the shared one; under this machine's only where none is set."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or _own()).rstrip('/')}/{uuid.uuid4().hex}"
+from tracewell.sources.files import shared_folder
 
 
 def read_files(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
@@ -40,11 +28,24 @@ def read_files(spark: SparkSession, folder: str, name: str, files_per_batch: int
 
 
 def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """Process all that the source has now; the sink's rows. Sinks here hold grids, visits or one camera's tracks."""
-    spark, name = stream.sparkSession, f"s{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", _checkpoint(spark)).trigger(availableNow=True).start()
+    """Process all that the source has now; the rows that came out, from files in the shared folder.
+
+    Each batch writes its own folder, again if it runs again. In complete mode
+    the last batch's rows are the result.
+    """
+    spark, path = stream.sparkSession, shared_folder(stream.sparkSession)
+    done: list[int] = []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+        done.append(batch)
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    kept = sorted(set(done))[-1:] if mode == "complete" else sorted(set(done))
+    return spark.read.schema(stream.schema).parquet(*[f"{path}/rows/batch={k}" for k in kept])
 
 
 def heatmap(points: DataFrame, grid: ImageGrid) -> DataFrame:
