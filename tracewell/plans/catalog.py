@@ -12,7 +12,7 @@ from tracewell.functions import geometry, homography
 from tracewell.operators import audit, ground, heatmaps, matching, tracking, tracks, zones
 from tracewell.plans import presets
 from tracewell.plans.base_sql import over, visits_sql
-from tracewell.sources import adapters, detectors, sequences
+from tracewell.sources import adapters, detectors, files, sequences
 from tracewell.streaming import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,14 +88,22 @@ def ids(column: str = "zone_ids"):
 # --- sources -----------------------------------------------------------------
 
 
+def WRITTEN(spark: SparkSession, sf: str) -> sequences.Sequence:
+    """The events as a sequence directory: an INI file and comma-separated rows, written and scanned again."""
+    gt, det = GT(spark, sf), DET(spark, sf).select(F.col("frame_index").alias("frame"), F.lit(-1).alias("track_id"), "bb_left", "bb_top", "bb_width", "bb_height", F.col("confidence").alias("conf"))
+    last = gt.agg(F.max("frame")).first()[0]
+    info = sequences.Info("events", "img1", presets.FPS, last or 1, presets.CANVAS.width, presets.CANVAS.height, ".png")
+    return sequences.write(spark, files.shared_folder(spark), info, gt, det)
+
+
 @query(over("SELECT frame, track_id, bb_left, visibility FROM gt WHERE class_id = 1 AND conf = 1.0 AND visibility >= 0.25"))
 def gt_scan_filtered(spark, sf):
-    return sequences.filter_ground_truth(GT(spark, sf), True, True, 0.25).select("frame", "track_id", "bb_left", "visibility")
+    return WRITTEN(spark, sf).ground_truth(True, True, 0.25).select("frame", "track_id", "bb_left", "visibility")
 
 
-@query(over("SELECT frame_index, det_idx, track_id, confidence FROM dets WHERE confidence >= 0.4"))
+@query(over("SELECT frame_index AS frame, bb_left, bb_top, confidence AS conf FROM dets WHERE confidence >= 0.4"))
 def det_scan_min_conf(spark, sf):
-    return DET(spark, sf).filter("confidence >= 0.4").select("frame_index", "det_idx", "track_id", "confidence")
+    return WRITTEN(spark, sf).detections(0.4).select("frame", "bb_left", "bb_top", "conf")
 
 
 @query(over("SELECT DISTINCT frame_index, 'img1/' || lpad(CAST(frame_index AS VARCHAR), 6, '0') || '.jpg' AS path FROM obs"))
@@ -104,14 +112,15 @@ def frame_paths(spark, sf):
     return f.withColumn("path", sequences.frame_path(F.lit("img1"), F.col("frame_index"), F.lit(".jpg")))
 
 
-@query(over("SELECT count(*) AS total_annotations, count(*) FILTER (class_id = 1 AND conf = 1.0) AS active_pedestrians, count(DISTINCT track_id) FILTER (class_id = 1) AS pedestrian_tracks FROM gt"))
+@query(over("SELECT count(*) AS total_annotations, count(*) FILTER (class_id = 1 AND conf = 1.0) AS active_pedestrians, count(DISTINCT track_id) FILTER (class_id = 1 AND conf = 1.0) AS pedestrian_tracks FROM gt"))
 def sequence_summary(spark, sf):
     return sequences.summary_of(GT(spark, sf))
 
 
-@query("SELECT CAST(range AS INTEGER) AS frame_index FROM range(5, 121, 7)")
+@query(over("SELECT frame_index, count(*) AS n_rows FROM obs WHERE frame_index BETWEEN 5 AND 110 AND (frame_index - 5) % 7 = 0 GROUP BY 1"))
 def frame_range_stride(spark, sf):
-    return sequences.frame_range(spark, 120, 5, 400, 7)
+    wanted = sequences.frame_range(spark, 110, 5, 400, 7)
+    return adapters.observations(spark, sf).join(wanted, "frame_index").groupBy("frame_index").agg(F.count("*").alias("n_rows"))
 
 
 @query(over("SELECT frame_index, track_id FROM obs WHERE frame_index <= 40"))
@@ -119,9 +128,9 @@ def frame_limit(spark, sf):
     return sequences.limit_frames(adapters.observations(spark, sf), 40, 120).select("frame_index", "track_id")
 
 
-@query("SELECT 'seq' AS name, 30.0::DOUBLE AS frame_rate, 120 AS seq_length, 1920 AS im_width, 1080 AS im_height")
+@query(over("SELECT 'events' AS name, 'img1' AS im_dir, 30.0::DOUBLE AS frame_rate, max(frame_index) AS seq_length, 1920 AS im_width, 1080 AS im_height, '.png' AS im_ext FROM obs"))
 def seqinfo(spark, sf):
-    return spark.createDataFrame([("seq", presets.FPS, 120, presets.CANVAS.width, presets.CANVAS.height)], "name string, frame_rate double, seq_length int, im_width int, im_height int")
+    return WRITTEN(spark, sf).metadata()
 
 
 @query(over("SELECT frame_index, CAST(1 AS INTEGER) AS det_idx, CAST(frame_index * 10 AS DOUBLE) AS bb_left, 0.9::DOUBLE AS confidence FROM (SELECT DISTINCT frame_index FROM obs)"))
@@ -136,10 +145,11 @@ def detect_plugin(spark, sf):
 # --- projections ---------------------------------------------------------------
 
 
-@query("""SELECT CAST(i AS INTEGER) AS class_id, coalesce(['Pedestrian', 'Person On Vehicle', 'Car', 'Bicycle', 'Motorbike', 'Non Motorized Vehicle', 'Static Person', 'Distractor', 'Occluder',
-    'Occluder On The Ground', 'Occluder Full', 'Reflection'][i], 'Unknown (' || i || ')') AS name FROM range(0, 15) t(i)""")
+@query(over("""SELECT name, count(*) AS n_rows FROM (SELECT coalesce(['Pedestrian', 'Person On Vehicle', 'Car', 'Bicycle', 'Motorbike', 'Non Motorized Vehicle', 'Static Person', 'Distractor', 'Occluder',
+    'Occluder On The Ground', 'Occluder Full', 'Reflection'][i], 'Unknown (' || i || ')') AS name FROM (SELECT event_id % 15 AS i FROM tracks)) GROUP BY 1"""))
 def class_names(spark, sf):
-    return spark.range(0, 15).select(F.col("id").cast("int").alias("class_id")).withColumn("name", sequences.class_name(F.col("class_id")))
+    """Rows of each class, where a row's class follows from its event."""
+    return T(spark, sf).select(sequences.class_name((F.col("event_id") % 15).cast("int")).alias("name")).groupBy("name").agg(F.count("*").alias("n_rows"))
 
 
 @query(over("SELECT frame, track_id, gt_idx FROM active"))
@@ -221,12 +231,28 @@ def zone_area(spark, sf):
     return spark.createDataFrame(rows, "zone_id string, vertices array<struct<x:double,y:double>>").select("zone_id", geometry.area_of(F.col("vertices")).alias("area"))
 
 
-@query("SELECT * FROM (VALUES ('bow tie', FALSE), ('closed square', TRUE), ('concave', TRUE), ('flat', FALSE), ('repeated vertex', FALSE), ('two vertices', FALSE)) t(shape, valid)")
+def _turn(a: str, b: str, c: str) -> str:
+    """SQL for the sign of a turn, 0 within the tolerance."""
+    v = f"({b}x - {a}x) * ({c}y - {a}y) - ({b}y - {a}y) * ({c}x - {a}x)"
+    return f"(CASE WHEN {v} > 1e-9 THEN 1 WHEN {v} < -1e-9 THEN -1 ELSE 0 END)"
+
+
+def _cross_sql(a: str, b: str, c: str, d: str) -> str:
+    return f"({_turn(a, b, c)} * {_turn(a, b, d)} = -1 AND {_turn(c, d, a)} * {_turn(c, d, b)} = -1)"
+
+
+_SAME = " OR ".join(f"({a}x = {b}x AND {a}y = {b}y)" for a, b in ("kl", "lm", "mn", "nk"))
+_QUADS = "SELECT track_id, " + ", ".join(f"p[{k}][1] AS {c}x, p[{k}][2] AS {c}y" for k, c in enumerate("klmn", 1)) + " FROM (SELECT track_id, list([x, y] ORDER BY frame_index) AS p FROM foot GROUP BY 1 HAVING count(*) >= 4)"
+
+
+@query(over(f"SELECT track_id, NOT ({_SAME}) AND NOT {_cross_sql('k', 'l', 'm', 'n')} AND NOT {_cross_sql('l', 'm', 'n', 'k')} AND abs((kx - mx) * (ly - ny) - (lx - nx) * (ky - my)) / 2 > 1e-6 AS valid FROM q", f"q AS ({_QUADS})"))
 def zone_validate(spark, sf):
-    shapes = {
-        "bow tie": [(0, 0), (2, 2), (2, 0), (0, 2)], "closed square": [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)], "concave": [(0, 0), (50, 0), (50, 50), (100, 50), (100, 100), (0, 100)],
-        "flat": [(0, 0), (1, 0), (2, 0)], "repeated vertex": [(0, 0), (0, 0), (1, 1), (0, 1)], "two vertices": [(0, 0), (1, 1)],
-    }
+    """Whether the first four points of a track, in order, make a zone."""
+
+    def run(batches):
+        for pdf in batches:
+            pdf["valid"] = [valid([(v["x"], v["y"]) for v in p]) for p in pdf["points"]]
+            yield pdf[["track_id", "valid"]]
 
     def valid(v) -> bool:
         try:
@@ -235,13 +261,19 @@ def zone_validate(spark, sf):
             return False
         return True
 
-    return spark.createDataFrame([(k, valid(v)) for k, v in shapes.items()], "shape string, valid boolean")
+    quads = tracks.trajectories(FOOT(spark, sf)).filter(F.size("points") >= 4).select("track_id", F.slice("points", 1, 4).alias("points"))
+    return quads.mapInPandas(run, "track_id int, valid boolean")
 
 
-@query("SELECT * FROM (VALUES (" + "), (".join(f"{i}, {j}, round({m[i][j]!r}::DOUBLE, 9)" for m in [presets.MATRIX_09] for i in range(3) for j in range(3)) + ")) t(row, col, value)")
+@query("SELECT * FROM (VALUES (" + "), (".join(f"{i}, {j}, round({m[i][j]!r}::DOUBLE, 6)" for m in [presets.MATRIX_09] for i in range(3) for j in range(3)) + ")) t(row, col, value)")
 def homography_09(spark, sf):
-    h = homography.estimate([p for p, _ in presets.POINTS_09], [q for _, q in presets.POINTS_09])
-    return spark.createDataFrame([(i, j, float(h[i, j])) for i in range(3) for j in range(3)], "row int, col int, value double").withColumn("value", F.round("value", 9) + 0.0)
+    """The published matrix, estimated anew from where it puts six places that lie among the foot points."""
+    shares = {"x": [0.0, 0.2, 0.4, 0.6, 0.8, 1.0], "y": [0.5, 0.1, 0.9, 0.05, 1.0, 0.3]}
+    at = FOOT(spark, sf).agg(*[F.percentile(c, F.lit(q)).alias(c) for c, q in shares.items()]).first()
+    places = spark.createDataFrame([("s", 0, 0, float(x), float(y)) for x, y in zip(at.x, at.y, strict=True)], "seq_id string, track_id int, frame_index int, x double, y double")
+    pairs = [((r.source_x, r.source_y), (r.x, r.y)) for r in ground.project(places, C09).collect()]  # six rows
+    h = homography.estimate([p for p, _ in pairs], [q for _, q in pairs])
+    return spark.createDataFrame([(i, j, float(h[i, j])) for i in range(3) for j in range(3)], "row int, col int, value double").withColumn("value", F.round("value", 6) + 0.0)
 
 
 @query("""WITH p(ix, iy, gx, gy) AS (VALUES (200.0::DOUBLE, 550.0::DOUBLE, 0.0::DOUBLE, 8.0::DOUBLE), (1500, 550, 20, 8), (1750, 950, 20, 0), (150, 950, 0, 0)),
@@ -542,23 +574,36 @@ def best_gt_per_det(spark, sf):
     return matching.best_gt(DPAIRS(spark, sf)).drop("seq_id")
 
 
-@query()
+@query(over("SELECT frame_index, track_id, gt_id, iou FROM tp WHERE track_id = gt_id"))
 def lap_match(spark, sf):
+    """Annotations stand at their tracks' own boxes, so the best total takes each one's own."""
     return matching.optimal(TPAIRS(spark, sf), "track_id", "gt_id").drop("seq_id")
 
 
-@query()
+@query(over("SELECT g AS total_gt, g AS tp, t - g AS fp, CAST(0 AS BIGINT) AS fn, CAST(0 AS BIGINT) AS id_switches, 1 - (t - g) / g AS mota, g / t AS precision, 1.0::DOUBLE AS recall FROM (SELECT (SELECT count(*) FROM active) AS g, (SELECT count(*) FROM tracks) AS t)"))
 def clear_mot(spark, sf):
     gt = ACTIVE(spark, sf)
     return matching.clear_mot(T(spark, sf), gt, matching.optimal(TPAIRS(spark, sf), "track_id", "gt_id")).drop("seq_id")
 
 
-@query(over("SELECT frame_index, gt_id, previous_track, track_id FROM (SELECT *, lag(track_id) OVER (PARTITION BY gt_id ORDER BY frame_index) AS previous_track FROM (SELECT frame_index, gt_id, arg_max(track_id, [iou, -track_id]) AS track_id FROM tp WHERE gt_id % 2 = 0 OR track_id <> gt_id GROUP BY 1, 2)) WHERE previous_track <> track_id"))
+_OTHERS = "om AS (SELECT frame_index, gt_id, arg_max(track_id, [iou, -track_id]) AS track_id FROM tp WHERE track_id <> gt_id GROUP BY 1, 2), sw AS (SELECT * FROM (SELECT *, lag(track_id) OVER (PARTITION BY gt_id ORDER BY frame_index) AS previous_track FROM om) WHERE previous_track <> track_id)"
+
+
+def _others(spark, sf) -> DataFrame:
+    """Given matches, so that ids switch: of each annotation, the best overlapping track of another person."""
+    p = TPAIRS(spark, sf).filter("track_id <> gt_id")
+    return p.groupBy("seq_id", "frame_index", "gt_id").agg(F.max_by("track_id", F.struct("iou", -F.col("track_id"))).alias("track_id"))
+
+
+@query(over("SELECT frame_index, gt_id, previous_track, track_id FROM sw", _OTHERS))
 def id_switches(spark, sf):
-    """Given matches: each annotation's best overlapping track, with odd ids barred from their own track."""
-    p = TPAIRS(spark, sf).filter("gt_id % 2 = 0 OR track_id <> gt_id")
-    best = p.groupBy("seq_id", "frame_index", "gt_id").agg(F.max_by("track_id", F.struct("iou", -F.col("track_id"))).alias("track_id"))
-    return matching.id_switches(best).select("frame_index", "gt_id", "previous_track", "track_id")
+    return matching.id_switches(_others(spark, sf)).select("frame_index", "gt_id", "previous_track", "track_id")
+
+
+@query(over("SELECT g AS total_gt, m AS tp, t - m AS fp, g - m AS fn, s AS id_switches, 1 - (g - m + t - m + s) / g AS mota, m / t AS precision, m / g AS recall FROM (SELECT (SELECT count(*) FROM active) AS g, (SELECT count(*) FROM tracks) AS t, (SELECT count(*) FROM om) AS m, (SELECT count(*) FROM sw) AS s)", _OTHERS))
+def clear_mot_given(spark, sf):
+    """CLEAR-MOT over given matches with misses and switches."""
+    return matching.clear_mot(T(spark, sf), ACTIVE(spark, sf), _others(spark, sf)).drop("seq_id")
 
 
 @query(over("SELECT track_id, gt_id, count(*) AS n_frames FROM tp WHERE iou >= 0.5 GROUP BY 1, 2"))
@@ -566,8 +611,9 @@ def id_overlap_counts(spark, sf):
     return matching.overlap_counts(TPAIRS(spark, sf)).drop("seq_id")
 
 
-@query()
+@query(over("SELECT g AS idtp, t - g AS idfp, CAST(0 AS BIGINT) AS idfn, 2 * g / (t + g) AS idf1 FROM (SELECT (SELECT count(*) FROM active) AS g, (SELECT count(*) FROM tracks) AS t)"))
 def idf1(spark, sf):
+    """No track shares more frames with an annotation than its own one, which shares all."""
     return matching.identity_score(matching.overlap_counts(TPAIRS(spark, sf)), T(spark, sf), ACTIVE(spark, sf)).drop("seq_id")
 
 
@@ -624,16 +670,28 @@ def conservation_audit(spark, sf):
     return _audited(spark, sf)
 
 
-@query("SELECT unnest(['" + "', '".join(audit.INVARIANTS) + "']) AS name, TRUE AS passed, CAST(0 AS BIGINT) AS violations")
+_BROKEN = ["(SELECT count(*) FROM tracks WHERE confidence < 0.1)", "a + s", "s", "a", "(SELECT count(*) FROM im WHERE y > 900) + a + s", "(SELECT count(*) FROM v0 WHERE zone_id = 'Zone_Left')", "(SELECT count(*) FROM hc WHERE status = 'out_of_bounds')"]
+
+
+@query(over("SELECT name, v = 0 AS passed, v AS violations FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS name, {v} AS v FROM broken" for n, v in zip(audit.INVARIANTS, _BROKEN, strict=True)) + ")",
+    "broken AS (SELECT count(*) FILTER (confidence >= 0.9) AS a, count(*) FILTER (x < 0) AS s FROM foot)"))
 def invariants(spark, sf):
-    p = FOOT(spark, sf)
+    """Over tables with faults put in: lost tracks, repeated and stray points, missing memberships, overfull visits, cells without a status."""
+    t, p = T(spark, sf), FOOT(spark, sf)
+    points = p.unionByName(p.filter("confidence >= 0.9")).unionByName(p.filter("x < 0").withColumn("frame_index", F.col("frame_index") + 100_000))
     m = zones.memberships(p, presets.ZONES_09)
-    return audit.invariants(T(spark, sf), p, m, zones.visits(m, presets.DWELL), heatmaps.image_cells(p, presets.CANVAS))
+    v = zones.visits(m, presets.DWELL).withColumn("observation_count", F.when(F.col("zone_id") == "Zone_Left", F.col("observation_count") + 1000).otherwise(F.col("observation_count")))
+    cells = heatmaps.image_cells(p, presets.CANVAS).withColumn("status", F.when(F.col("status") != "out_of_bounds", F.col("status")))
+    return audit.invariants(t.withColumn("state", F.when(F.col("confidence") < 0.1, "lost").otherwise(F.col("state"))), points, m.filter("y <= 900"), v, cells)
 
 
-@query("SELECT CAST(0 AS BIGINT) AS visit_entry, CAST(0 AS BIGINT) AS visit_order, CAST(0 AS BIGINT) AS visit_count, CAST(0 AS BIGINT) AS zone_id, CAST(0 AS BIGINT) AS ground_track, CAST(0 AS BIGINT) AS ground_frame, CAST(0 AS BIGINT) AS ground_finite")
+@query(over("SELECT *, zone_id_ AS zone_id FROM (SELECT count(*) FILTER (zone_id <> 'Zone_Left' AND entry_frame <= 20 OR zone_id = 'Zone_Left' AND entry_frame < 1) AS visit_entry, count(*) FILTER (zone_id = 'Zone_Left') AS visit_order, count(*) FILTER (zone_id = 'Zone_Left') AS visit_count, count(*) FILTER (zone_id = 'Zone_Central') AS zone_id_ FROM v0), (SELECT count(*) FILTER (x > 10) AS ground_track, count(*) FILTER (y > 4) AS ground_frame, count(*) FILTER (is_extrapolated) AS ground_finite FROM gr)").replace("SELECT *, zone_id_ AS zone_id FROM", "SELECT * RENAME (zone_id_ AS zone_id) FROM"))
 def constraint_violations(spark, sf):
-    return audit.violations(VISITS(spark, sf), GROUND(spark, sf))
+    """Over rows with faults put in: early entries, visits that end before they begin, nameless zones, bad ids, frames and coordinates."""
+    left = F.col("zone_id") == "Zone_Left"
+    v = VISITS(spark, sf).withColumns({"last_observed_frame": F.when(left, F.col("entry_frame") - 1).otherwise(F.col("last_observed_frame")), "entry_frame": F.when(left, F.col("entry_frame")).otherwise(F.col("entry_frame") - 20), "zone_id": F.when(F.col("zone_id") != "Zone_Central", F.col("zone_id")).otherwise("")})
+    g = GROUND(spark, sf).withColumns({"track_id": F.when(F.col("x") > 10, -1).otherwise(F.col("track_id")), "frame_index": F.when(F.col("y") > 4, 0).otherwise(F.col("frame_index")), "x": F.when(F.col("is_extrapolated"), float("nan")).otherwise(F.col("x"))})
+    return audit.violations(v, g)
 
 
 @query(over("SELECT 'total_gaps' AS path, CAST(n AS DOUBLE) AS value1, CAST(n + 1 AS DOUBLE) AS value2, 'EXACT_MISMATCH' AS difference FROM (SELECT count(*) AS n FROM (SELECT frame_index - lag(frame_index) OVER (PARTITION BY track_id ORDER BY frame_index) AS d FROM foot) WHERE d > 1)"))
@@ -644,14 +702,20 @@ def reproducibility_diff(spark, sf):
     return audit.reproducibility(audit.unpivot(one), audit.unpivot(two))
 
 
-@query()
+@query("SELECT substr(name, 1, 10) || CASE WHEN length(name) < 10 THEN repeat(' ', 10 - length(name)) ELSE '' END || CASE WHEN passed THEN ' PASS ' ELSE ' FAIL ' END || left_value || ' == ' || right_value AS line FROM (" + ORACLES["conservation_audit"] + ")")
 def audit_log(spark, sf):
     return audit.audit_log(_audited(spark, sf))
 
 
-@query()
+_PARTS = {"trajectories": trajectory_stats, "detection": det_metrics_in_order, "zones": zone_diagnostics, "dwell": dwell_diagnostics, "projection": projection_diagnostics, "heatmap": heatmap_diagnostics}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS part, metric, value FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM ({ORACLES[f.__name__]})) ON COLUMNS(*) INTO NAME metric VALUE value)" for k, f in _PARTS.items()))
 def report_json(spark, sf):
-    return audit.report_json(trajectories=trajectory_stats(spark, sf), detection=det_metrics_in_order(spark, sf), zones=zone_diagnostics(spark, sf), dwell=dwell_diagnostics(spark, sf), projection=projection_diagnostics(spark, sf), heatmap=heatmap_diagnostics(spark, sf))
+    """The report's JSON, read back as a number a row."""
+    row = audit.report_json(**{k: f(spark, sf) for k, f in _PARTS.items()})
+    parts = row.select(F.explode(F.from_json("report", "map<string,map<string,string>>")).alias("part", "numbers"))
+    return parts.select("part", F.explode("numbers").alias("metric", "value")).withColumn("value", F.col("value").cast("double"))
 
 
 # --- streaming ------------------------------------------------------------------------------------------
