@@ -43,4 +43,18 @@ def test_command_line(spark, folder, capsys):
     report = json.loads((folder / "out/evaluation_CAM-09-A.json").read_text())
     assert report["detection"]["tp"] == 10 and report["trajectories"]["total_trajectories"] == 2
     assert (folder / "out/conservation_CAM-09-A.log").read_text().count("PASS") == 7
-    assert "## tracking" in (folder / "out/EVALUATION_REPORT_CAM_09.md").read_text()
+    text = (folder / "out/EVALUATION_REPORT_CAM_09.md").read_text()
+    assert [line for line in text.split("\n") if line.startswith("### ")] == [f"### {k}. {s}" for k, s in enumerate(("Detection", "Tracking", "Trajectories", "Image space", "Ground space", "Both spaces compared", "Conservation", "Run"), 1)]
+    assert text.count("| passed |") == 7 and "frames/s" in text and "## Limits" in text
+    assert "sample annotation: {'seq_id': 'CAM-09-A', 'frame': 1, 'track_id': 1" in said and "sample detection" in said
+
+
+def test_more_commands(spark, folder, capsys):
+    main(["detect", str(folder), "--max-frames", "3"])
+    main(["track", str(folder), "--min-hits", "1"])
+    main(["run", str(folder), "--min-hits", "1"])
+    said = capsys.readouterr().out
+    assert "detections: 6" in said and "tp: 6" in said and "identities: 2" in said and "idf1: 1.0000" in said
+    assert said.count("PASSED INV-") == 7 and "all invariants hold" in said and "frames_per_second" in said
+    main(["evaluate", str(folder), str(folder), "--out", str(folder / "two"), "--min-hits", "1"])
+    assert (folder / "two/EVALUATION_REPORT.md").read_text().count("## CAM-09-A") == 2
