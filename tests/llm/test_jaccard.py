@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from tracewell.llm import jaccard
 from tracewell.llm.components import components
+from tracewell.llm.shared import KeyFilter
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -131,11 +132,13 @@ def test_bits_drop_no_link(seed, size, n):
     base = rng.integers(0, 2**63, size).astype(np.uint64)
     sets = [np.unique(np.concatenate([base[rng.random(size) > rng.random() * 0.2], rng.integers(0, 2**63, rng.integers(1, 2 + size // 8)).astype(np.uint64)])) for _ in range(n)]
     how = jaccard.Shingling()
-    kept = jaccard.paired([len(s) for s in sets], [jaccard.parity_bits(s) for s in sets], how)
+    forest = jaccard.Forest(n)
+    for i, j in jaccard.bit_forest(np.array([len(s) for s in sets]), [jaccard.parity_bits(s) for s in sets], how):
+        forest.join(i, j)
     for i in range(n):
         for j in range(i):
             if how.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j])):
-                assert kept[i] and kept[j]
+                assert forest.root(i) == forest.root(j)
 
 
 def test_filter_passes_what_is_chosen(spark):
@@ -143,9 +146,9 @@ def test_filter_passes_what_is_chosen(spark):
     d = rng.integers(-(2**63), 2**63 - 1, 5000)
     d[:3] = -1, 0, 63
     chosen = spark.createDataFrame([(int(x),) for x in d[:3000]], "d1 long")
-    wanted = jaccard.digest_filter(chosen)
-    assert jaccard.passes(wanted, d[:3000]).all() and jaccard.passes(wanted, d[3000:]).mean() < 0.01
-    assert not jaccard.digest_filter(chosen.limit(0)).any()
+    wanted = KeyFilter.of(chosen, "d1")
+    assert wanted.passes(d[:3000]).all() and wanted.passes(d[3000:]).mean() < 0.01
+    assert not KeyFilter.of(chosen.limit(0), "d1").words.any()
 
 
 def test_components(spark):

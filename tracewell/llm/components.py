@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import kept
+from tracewell.llm.shared import drop, kept
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,14 +27,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, label) of every node of ``links`` (a, b): label is the least node of its component."""
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    before = None
+    before = held = None
     for _ in range(rounds):
         edges = kept(_star(_star(edges, True), False))
         seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        if held is not None:
+            drop(held)
+        held = edges
         if before == (seen.n, seen.h):
             break
         before = (seen.n, seen.h)
     else:
         raise RuntimeError("components did not settle")
-    # every node that is not a label points at its label
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    # every node but the labels points at its label, which points at itself
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b"), F.col("b")).distinct())

@@ -11,22 +11,27 @@ linked sets x, y lie within t = 1 - r of each other, and:
    or their ranked heads would be disjoint and their distance above t.
 2. *Cells.* Regions with the same least member are one cell, whose pivot that
    member is: copies of one text share dozens of shingles, but few cells.
-   A light pass drops members without a partner: each set has a bit vector of
-   shingle-count parities, and the bits in which two differ are at most the
-   shingles in which they do, which bounds their distance from below.
-3. *Joins in cells.* A cell is joined exactly in one task. Distances to pivots
-   give windows: |d(x, p) - d(y, p)| > t rules a pair out. Links are returned
-   as a spanning forest, so a cell of n sets gives fewer than n rows.
-4. *Recursion.* A cell of more than ``CELL`` sets gets more pivots, drawn from
-   it. Links to them join most of its sets to one component, whose inner pairs
-   need no comparison. Each set has its home in the Voronoi region of its
+3. *Windows.* Each set has a bit vector of shingle-count parities. The bits in
+   which two sets differ are at most the shingles in which they do, so they
+   bound the distance from below, and sizes bound it too. The pairs of a cell
+   that neither bound rules out are candidates; a spanning forest of them
+   stands for them, and its components are the groups in which links can lie.
+   So far no text has moved; now each text that has a candidate moves, once.
+4. *Joins.* A group is joined exactly in one task. Distances to pivots give
+   windows: |d(x, p) - d(y, p)| > t rules a pair out. Links are returned as a
+   spanning forest, so a group of n sets gives fewer than n rows.
+5. *Recursion.* A group of more than ``CELL`` sets gets document pivots, drawn
+   from it. Links to them join most of its sets to one component, whose inner
+   pairs need no comparison. Each set has its home in the Voronoi region of its
    nearest pivot; every set outside that component also visits, as boundary
-   copy, each region whose pivot is within 2 t of its nearest one. Blocks of a
-   region's sets and their visitors are joined as cells are.
-
-Sets are equal exactly when their 128-bit digests are; equal sets are joined
-once. The ranking uses a bounded list of the most common shingles of the whole
-corpus; any ranking gives the same links, so the bound drops nothing.
+   copy, each region whose pivot is within 2 t of its nearest one. A region is
+   a group like the first: joined where it is small enough, else with pivots of
+   its own. Regions that do not shrink are joined block by block.
+
+Sets are nodes named by a 64-bit digest of their shingles' 64-bit hashes; equal
+sets are joined once. Shingles are ranked by a fixed number of hashed counters
+over the whole corpus; any ranking gives the same links, so neither the number
+of counters nor a clash in them drops anything.
 """
 
 from __future__ import annotations
@@ -36,25 +41,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm import textscan
 from tracewell.llm.components import components
-from tracewell.llm.shared import kept
+from tracewell.llm.shared import KeyFilter, drop, kept
 
 #: sets that are joined at once, at most
-CELL = 256
+CELL = 512
 #: shingles that are joined at once, but for single pairs
 CELL_SHINGLES = 4_000_000
-#: shingles in the list of common ones, at most
-COMMON = 100_000
-#: occurrences in one task from which a shingle is proposed as common
-COMMON_IN_TASK = 2
-#: bits of the set that tells which texts may be wanted
-FILTER_BITS = 1 << 25
-#: pivots of a recursion step
-PIVOTS = 16
+#: a cell may have so many times CELL members while only their bits meet
+THIN = 8
+#: hashed counters of the shingles, and how many go in a block of them
+COUNTERS, COUNTER_BLOCK = 1 << 22, 1 << 16
+#: a count from which a region may be too large for one task's window
+HOT = 1 << 16
+#: pivots of a recursion step, and steps
+PIVOTS, DEPTH = 16, 3
+#: members of a crowded cell that are streamed past its pivots in one part
+PART = 1024
 
 
 @dataclass(frozen=True)
@@ -101,14 +108,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), first
 
 
-def digests(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit digests of each set; equal sets have equal ones."""
-    out = []
-    for salt in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
-        sums = np.zeros(len(hashes) + 1, np.uint64)
-        np.cumsum(textscan.mix(hashes + np.uint64(salt)), out=sums[1:])
-        out.append(textscan.mix(sums[first[1:]] - sums[first[:-1]] + (first[1:] - first[:-1]).astype(np.uint64)))
-    return out[0].view(np.int64), out[1].view(np.int64)
+def digests(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each set; equal sets have equal ones."""
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(textscan.mix(hashes + np.uint64(0x2545F4914F6CDD1D)), out=sums[1:])
+    return textscan.mix(sums[first[1:]] - sums[first[:-1]] + (first[1:] - first[:-1]).astype(np.uint64)).view(np.int64)
 
 
 def parity_bits(s: np.ndarray) -> bytes:
@@ -117,126 +121,126 @@ def parity_bits(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
 
 
-def _folded(bits: np.ndarray) -> np.ndarray:
-    """Parities of half as many classes."""
-    half = bits.shape[-1] // 2
-    return bits[..., :half] ^ bits[..., half:]
+class Seen:
+    """Digests that a task has met; beyond a bound it forgets them all, which costs repeats only."""
 
+    def __init__(self, most: int = 500_000):
+        self.most, self.held = most, set()
 
-def paired(sizes: list[int], bits: list[bytes], how: Shingling) -> np.ndarray:
-    """Which sets may link with another of them, by size and parity bits; never drops a link."""
-    n = np.array(sizes)
-    order = np.argsort(n, kind="stable")
-    out = np.zeros(len(n), bool)
-    words = [np.frombuffer(bits[i], np.uint64) for i in order]
-    n = n[order]
-    for i in range(len(n) - 1):
-        j = i + 1
-        while j < len(n) and 100 * n[i] >= how.percent * n[j]:
-            mine, other = words[i], words[j]
-            while len(other) > len(mine):
-                other = _folded(other)
-            apart = int(np.bitwise_count(mine ^ other).sum())
-            if apart * (100 + how.percent) <= (100 - how.percent) * int(n[i] + n[j]):
-                out[order[i]] = out[order[j]] = True
-            j += 1
-    return out
+    def fresh(self, found: np.ndarray) -> np.ndarray:
+        """Whether each digest is met for the first time."""
+        out = np.zeros(len(found), bool)
+        for i, x in enumerate(found.tolist()):
+            if x not in self.held:
+                self.held.add(x)
+                out[i] = True
+        if len(self.held) > self.most:
+            self.held = set()
+        return out
 
 
 def signatures(docs: DataFrame, how: Shingling) -> DataFrame:
-    """doc_id, the set's digest (d1, d2), its size n and its parity bits; one row a document."""
+    """One pass over the texts of docs (doc_id, text_hash, text) for two kinds of rows.
+
+    A row a document: doc_id, text_hash, the set's digest d, its size n and its
+    parity bits. And rows with a ``block``: the task's counters of the shingles
+    of its distinct sets, packed, in which nothing else is set.
+    """
+    names = ["doc_id", "text_hash", "d", "n", "bits", "block", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        counts, seen = np.zeros(COUNTERS, np.uint16), Seen()
         for b in batches:
-            for lo, hi, data, offsets in textscan.chunks(b.column(1)):
+            for lo, hi, data, offsets in textscan.chunks(b.column(2)):
                 h, first = shingle_sets(data, offsets, how.words)
-                d1, d2 = digests(h, first)
-                bits = [parity_bits(h[first[d] : first[d + 1]]) for d in range(hi - lo)]
-                made = [pa.array(d1), pa.array(d2), pa.array(np.diff(first)), pa.array(bits, pa.binary())]
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], *made], ["doc_id", "d1", "d2", "n", "bits"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(textscan.tidy(run), "doc_id long, d1 long, d2 long, n long, bits binary")
-
+                d, size = digests(h, first), np.diff(first)
+                bits = [parity_bits(h[first[k] : first[k + 1]]) for k in range(hi - lo)]
+                at, more = np.unique(h[np.repeat(seen.fresh(d), size)] & np.uint64(COUNTERS - 1), return_counts=True)
+                at = at.astype(np.int64)
+                counts[at] = np.minimum(counts[at] + more, 65535)
+                made = [pa.array(d), pa.array(size.astype(np.int32)), pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], *made, pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names)
+        z = zstandard.ZstdCompressor(level=1)
+        for k, part in enumerate(counts.reshape(-1, COUNTER_BLOCK)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in kinds[:5]), pa.array([k], pa.int32()), pa.array([z.compress(part.tobytes())], pa.binary())], names)
 
-def common_shingles(docs: DataFrame, how: Shingling, most: int = COMMON) -> np.ndarray:
-    """The most common shingle hashes of all documents, ascending in commonness; at most ``most``.
+    return docs.mapInArrow(textscan.tidy(run), "doc_id long, text_hash long, d long, n int, bits binary, block int, counts binary")
 
-    Each task counts its own documents and proposes those with several; Spark
-    sums the proposals. A hint for the ranking: what it misses costs time only.
-    """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
+def commonness(signed: DataFrame) -> np.ndarray:
+    """The level of each counter, eight a doubling, from the counter rows of ``signed``: one byte each, summed in Spark."""
 
-        def told() -> pa.RecordBatch:
-            s, n = np.unique(np.concatenate(held), return_counts=True)
-            at = n >= COMMON_IN_TASK
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(s[at].view(np.int64)), pa.array(n[at])], ["s", "n"])
+    def total(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
+        sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for _, _, data, offsets in textscan.chunks(b.column(0)):
-                h, first = shingle_sets(data, offsets, how.words)
-                _, own = np.unique(digests(h, first)[0], return_index=True)  # copies in this run count once
-                h = np.concatenate([h[first[d] : first[d + 1]] for d in own])
-                held.append(h)
-                size += len(h)
-                if size > 2_000_000:
-                    yield told()
-                    size = 0
-        if held:
-            yield told()
+            for k, packed in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                part = np.frombuffer(zstandard.decompress(packed.as_py()), np.uint16)
+                if k in sums:
+                    sums[k] += part
+                else:
+                    sums[k] = part.astype(np.int64)
+        for k, part in sums.items():
+            level = np.minimum(np.round(8 * np.log2(1.0 + part)), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["block", "levels"])
 
-    seen = docs.select(F.col("text").cast("string")).mapInArrow(textscan.tidy(run), "s long, n long")
-    top = seen.groupBy("s").agg(F.sum("n").alias("n")).filter("n >= 8").orderBy(F.desc("n"), "s").limit(most).toArrow()
-    return np.asarray(top["s"], np.int64)[::-1].view(np.uint64)
+    rows = signed.filter("block is not null").select("block", "counts").repartition("block")
+    out = np.zeros((COUNTERS // COUNTER_BLOCK, COUNTER_BLOCK), np.uint8)
+    for k, levels in zip(*(c.to_pylist() for c in rows.mapInArrow(textscan.tidy(total), "block int, levels binary").toArrow().columns), strict=True):
+        out[k] = np.frombuffer(levels, np.uint8)
+    return out.ravel()
 
 
-def ranked_heads(hashes: np.ndarray, first: np.ndarray, how: Shingling, common: tuple[np.ndarray, np.ndarray]) -> Iterator[np.ndarray]:
-    """The head of each set in rank order: rare shingles by hash, then common ones by commonness."""
-    names, ranks = common
-    if len(names):
-        at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
-        rank = np.where(names[at] == hashes, ranks[at], -1)
-    else:
-        rank = np.full(len(hashes), -1)
-    for d in range(len(first) - 1):
-        s, r = hashes[first[d] : first[d + 1]], rank[first[d] : first[d + 1]]
-        if not len(s):
-            yield s
-            continue
-        k = int(how.head(len(s)))
-        rare = s[r < 0]  # ascending already
-        yield rare[:k] if len(rare) >= k else np.concatenate([rare, s[np.argsort(r, kind="stable")][len(rare) : k]])
+def level_of(count: int) -> int:
+    return min(255, round(8 * float(np.log2(1 + count))))
 
 
-def heads(docs: DataFrame, how: Shingling, common: np.ndarray) -> DataFrame:
-    """(s, d1): each set's digest in each region that it belongs to."""
-    order = np.argsort(common)
-    table = (common[order], order)
+def heads(docs: DataFrame, how: Shingling, levels: np.ndarray, hot: bool = False) -> DataFrame:
+    """(s, d): each set in each region that it belongs to, for regions of counts from HOT on or those below.
+
+    A region is named by its shingle's rank: its level, then most of its hash.
+    """
+    edge = np.uint64(level_of(HOT) << 56)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for b in batches:
             for _, _, data, offsets in textscan.chunks(b.column(0)):
                 h, first = shingle_sets(data, offsets, how.words)
-                d1, d2 = digests(h, first)
-                # exact copies in this run of rows say the same
-                _, own = np.unique(d1, return_index=True)
-                own = set(own.tolist())
-                parts = [x if d in own else x[:0] for d, x in enumerate(ranked_heads(h, first, how, table))]
-                lens = np.array([len(x) for x in parts], np.int64)
-                if lens.sum():
-                    s = np.concatenate(parts)
-                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.repeat(d1, lens))], ["s", "d1"])
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(textscan.tidy(run), "s long, d1 long")
-
-
-def cells(rows: DataFrame, how: Shingling) -> DataFrame:
-    """(d1, cell): the cells of each set. A region of one row makes none."""
-    regions = rows.groupBy("s").agg(F.min("d1").alias("cell"), F.count("*").alias("rows")).filter("rows > 1").select("s", "cell")
-    return rows.join(regions, "s").select("d1", "cell").distinct()
+                d, size = digests(h, first), np.diff(first)
+                rank = levels[(h & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8)
+                parts, own = [], []
+                for k in np.flatnonzero(seen.fresh(d) & (size > 0)):
+                    n = int(how.head(int(size[k])))
+                    x = np.partition(rank[first[k] : first[k + 1]], n - 1)[:n]
+                    x = x[(x >= edge) == hot]
+                    parts.append(x)
+                    own.append(np.full(len(x), d[k]))
+                if parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate(own))], ["s", "d"])
+
+    return docs.select("text").mapInArrow(textscan.tidy(run), "s long, d long")
+
+
+def cells(docs: DataFrame, how: Shingling, levels: np.ndarray) -> DataFrame:
+    """(d, cell): the cells of each set, named by their least member. A region of one set makes none.
+
+    Rows meet by region once. Regions whose count may be too large for that get
+    their bounds from partial sums, and meet them in a join that Spark can split.
+    """
+    w = Window.partitionBy("s")
+    found = heads(docs, how, levels).select("d", F.min("d").over(w).alias("cell"), F.max("d").over(w).alias("top"))
+    found = found.filter("cell < top").select("d", "cell")
+    if levels.max(initial=0) >= level_of(HOT):
+        rows = kept(heads(docs, how, levels, hot=True))
+        ends = kept(rows.groupBy("s").agg(F.min("d").alias("cell"), F.max("d").alias("top")).filter("cell < top"))
+        found = found.union(rows.join(ends, "s").select("d", "cell"))
+    return found.distinct()
 
 
 class Forest:
@@ -266,6 +270,40 @@ class Forest:
             self.up = up
 
 
+def bit_forest(n: np.ndarray, bits: list[bytes], how: Shingling) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets that may link, by size and parity bits; leaves no link out."""
+    if len(n) < 2:
+        return []
+    order = np.argsort(n, kind="stable")
+    n = np.asarray(n, np.int64)[order]
+    wide = np.array([len(bits[i]) for i in order])
+    cuts = np.flatnonzero(np.diff(wide, prepend=0, append=0))  # larger sets have as many bits or more
+    forest, out = Forest(len(n)), []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        to = int(np.searchsorted(n, n[hi - 1] * 100 // how.percent, side="right"))
+        if to - lo < 2:
+            continue
+        mine = np.frombuffer(b"".join(bits[i] for i in order[lo:hi]), np.uint64).reshape(hi - lo, -1)
+        if to > hi:  # sets with twice as many classes, folded to as few
+            more = np.frombuffer(b"".join(bits[i] for i in order[hi:to]), np.uint64).reshape(to - hi, -1)
+            while more.shape[1] > mine.shape[1]:
+                half = more.shape[1] // 2
+                more = more[:, :half] ^ more[:, half:]
+            both = np.concatenate([mine, more])
+        else:
+            both = mine
+        for i in range(hi - lo):
+            end = int(np.searchsorted(n, n[lo + i] * 100 // how.percent, side="right")) - lo
+            if end <= i + 1:
+                continue
+            apart = np.bitwise_count(both[i + 1 : end] ^ mine[i]).sum(1, dtype=np.int64)
+            near = np.flatnonzero(apart * (100 + how.percent) <= (100 - how.percent) * (n[lo + i] + n[lo + i + 1 : lo + end]))
+            for j in near.tolist():
+                if forest.join(lo + i, lo + i + 1 + j):
+                    out.append((int(order[lo + i]), int(order[lo + i + 1 + j])))
+    return out
+
+
 def join_sets(sets: list[np.ndarray], how: Shingling, across: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among the sets, exactly.
 
@@ -335,52 +373,37 @@ def _sets_of(texts: list[bytes], words: int) -> list[np.ndarray]:
 
 
 def _link_rows(batches: Iterable[pa.RecordBatch], how: Shingling) -> Iterator[pa.RecordBatch]:
-    """Join each cell of rows that come sorted by cell; (a, b) are doc ids."""
+    """Join each group of rows (cell, d, text, side) that come sorted by cell; (a, b) are digests."""
     links: list[tuple[int, int]] = []
 
-    def solve(rows: list[tuple]) -> None:
-        # a set may come as home member and as visitor, or in repeated rows
-        best: dict[tuple[int, int], tuple] = {}
-        for doc, d1, d2, text, side in rows:
-            if (d1, d2) not in best or side > best[d1, d2][2]:
-                best[d1, d2] = (doc, text, side)
-        sides = np.array([v[2] for v in best.values()])
-        if len(best) < 2 or not sides.any():
+    def solve(rows: dict[int, tuple[bytes, int]]) -> None:
+        sides = np.array([side for _, side in rows.values()])
+        if len(rows) < 2 or not sides.any():
             return
-        ids = [v[0] for v in best.values()]
-        for i, j in join_sets(_sets_of([v[1] for v in best.values()], how.words), how, None if sides.all() else sides):
-            links.append((ids[i], ids[j]))
+        names = list(rows)
+        for i, j in join_sets(_sets_of([text for text, _ in rows.values()], how.words), how, None if sides.all() else sides):
+            links.append((names[i], names[j]))
+
+    def told() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
+        links.clear()
+        return made
 
-    at, rows = None, []
+    at, rows = None, {}
     for b in batches:
-        cell, doc, d1, d2, text, side = (b.column(k).to_pylist() for k in range(6))
-        for i in range(len(cell)):
+        cell, ds, side = (b.column(k).to_pylist() for k in (0, 1, 3))
+        for i, text in enumerate(b.column(2)):
             if cell[i] != at:
                 solve(rows)
-                at, rows = cell[i], []
-            rows.append((doc[i], d1[i], d2[i], text[i], side[i]))
-        if len(links) > 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
-            links = []
+                at, rows = cell[i], {}
+                if len(links) > 10_000:
+                    yield told()
+            # a set may come as home member and as visitor, or in repeated rows
+            if ds[i] not in rows or side[i] > rows[ds[i]][1]:
+                rows[ds[i]] = (text.as_py(), side[i])
     solve(rows)
     if links:
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
-
-
-def digest_filter(chosen: DataFrame) -> np.ndarray:
-    """A bit set of FILTER_BITS bits that has each chosen digest's bit. Its size is fixed; when it fills, it passes more."""
-    bit = F.col("d1").bitwiseAND(F.lit(FILTER_BITS - 1))
-    words = chosen.select(F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast(d1 & 63 as int))").alias("m"))
-    got = words.groupBy("word").agg(F.bit_or("m").alias("m")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[got["word"].to_numpy()] = got["m"].to_numpy()
-    return out.view(np.uint64)
-
-
-def passes(wanted: np.ndarray, d1: np.ndarray) -> np.ndarray:
-    """Whether the bit of each digest is set."""
-    bit = d1.view(np.uint64) & np.uint64(FILTER_BITS - 1)
-    return (wanted[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+        yield told()
 
 
 def whole_cells(rows: DataFrame, *columns: str) -> DataFrame:
@@ -393,73 +416,229 @@ def whole_cells(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def join_cells(members: DataFrame, how: Shingling) -> DataFrame:
-    """Links (a, b) of doc ids within each cell of (cell, doc_id, d1, d2, text, side)."""
-    dealt = whole_cells(members, "cell", "doc_id", "d1", "d2", "text", "side")
+    """Links (a, b) of sets within each cell of (cell, d, text, side)."""
+    dealt = whole_cells(members, "cell", "d", "text", "side")
     return dealt.mapInArrow(textscan.tidy(lambda batches: _link_rows(batches, how)), "a long, b long")
 
 
-PLACED = "cell long, doc_id long, d1 long, d2 long, n int, text binary, home int, near array<int>, links array<long>"
+def candidates(found: DataFrame, first: DataFrame, how: Shingling, thin: int) -> DataFrame:
+    """(a, b): a forest of the pairs in each cell of ``found`` (d, cell) that sizes and parity bits do not rule out.
+
+    A cell of more than ``thin`` sets is one group as it is, without a task that sees all of it.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (cell, d, n, bits) come sorted by cell."""
+        held: pa.Table | None = None
+
+        def told(t: pa.Table) -> pa.RecordBatch:
+            c, d, n, bits = t["cell"].to_numpy(), t["d"].to_pylist(), t["n"].to_numpy(), t["bits"].to_pylist()
+            cuts = np.concatenate([[0], np.flatnonzero(c[1:] != c[:-1]) + 1, [len(c)]])
+            edges = [(d[i + x], d[i + y]) for i, j in zip(cuts[:-1], cuts[1:], strict=True) for x, y in bit_forest(n[i:j], bits[i:j], how)]
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+            c = t["cell"].to_numpy()
+            whole = int(np.searchsorted(c, c[-1])) if len(c) else 0
+            if whole:
+                yield told(t.slice(0, whole))
+            held = t.slice(whole)
+        if held is not None and held.num_rows:
+            yield told(held)
+
+    crowded = kept(found.groupBy("cell").agg(F.count("*").alias("size")).filter(F.col("size") > thin).select("cell"))
+    rows, edges = found, None
+    if crowded.take(1):
+        rows = found.join(crowded, "cell", "left_anti")
+        edges = found.join(crowded, "cell").filter("d <> cell").select(F.col("d").alias("a"), F.col("cell").alias("b"))
+    rows = whole_cells(rows.join(first.select("d", "n", "bits"), "d"), "cell", "d", "n", "bits")
+    pairs = rows.mapInArrow(textscan.tidy(run), "a long, b long")
+    return pairs if edges is None else pairs.union(edges)
+
+
+PLACED = "cell long, d long, n int, text binary, side int, home int, near array<int>, links array<long>"
 
 
 def to_pivots(inside: DataFrame, how: Shingling, pivots: int) -> DataFrame:
-    """Members of crowded cells with their exact distances to drawn pivots put to use.
+    """Members (cell, d, n, text, side) with their exact distances to pivots drawn from each cell put to use.
 
-    home: the nearest pivot; near: the pivots within 2 t of it; links: the doc
-    ids of the pivots that the member links to.
+    home: the nearest pivot; near: the pivots within 2 t of it; links: the
+    pivots that the member links to. Members of side 1 are drawn first. A cell
+    is dealt in parts, each led by all of its pivots, and streamed past them.
     """
     t = 1 - how.percent / 100
+    parts = kept(inside.groupBy(F.col("cell").alias("of")).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
     # of each residue of the members' hashes the least is a pivot: few rows leave each task
-    drawn = inside.select("cell", F.xxhash64("d1", "d2", "cell").alias("h"), F.struct("doc_id", "text").alias("p"))
-    drawn = drawn.groupBy("cell", F.pmod("h", F.lit(pivots)).alias("slot")).agg(F.min_by("p", "h").alias("p"))
-    chosen = drawn.groupBy("cell").agg(F.array_sort(F.collect_list("p")).alias("pivots"))
+    drawn = inside.select("cell", "side", F.xxhash64("d", "cell").alias("h"), F.struct("d", "text").alias("p"))
+    drawn = drawn.groupBy("cell", F.pmod("h", F.lit(pivots)).alias("slot")).agg(F.min_by("p", F.struct(-F.col("side"), "h")).alias("p"))
+    leads = drawn.join(parts, F.col("cell") == F.col("of")).select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), "p.d", F.lit(0).alias("n"), "p.text", F.lit(0).alias("side"))
+    rows = inside.join(parts, F.col("cell") == F.col("of")).select("cell", F.pmod(F.xxhash64("d", F.lit("part")), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("member"), "d", F.col("n").cast("int").alias("n"), "text", F.col("side").cast("int").alias("side"))
+    dealt = leads.union(rows).repartition(F.xxhash64("cell", "part", F.lit("deal"))).sortWithinPartitions("cell", "part", "member", "d")
     names = [x.split()[0] for x in PLACED.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held, lens = None, [], np.zeros(0)
+        at, named, held, lens = None, [], [], np.zeros(0)
         for b in batches:
-            home, near, links = [], [], []
-            cell, doc, texts, chosen_rows = (b.column(k).to_pylist() for k in (0, 1, 5, 6))
-            for c, x, text, ps in zip(cell, doc, texts, chosen_rows, strict=True):
-                if c != held_key:
-                    held_key, held = c, _sets_of([p["text"] for p in ps], how.words)
+            home, near, links, rows = [], [], [], []
+            cell, part, member, ds = (b.column(k).to_pylist() for k in range(4))
+            for i, text in enumerate(b.column(5)):
+                if (cell[i], part[i]) != at:
+                    at, named, held = (cell[i], part[i]), [], []
+                mine = _sets_of([text.as_py()], how.words)[0]
+                if not member[i]:
+                    named.append(ds[i])
+                    held.append(mine)
                     lens = np.array([len(p) for p in held])
-                mine = _sets_of([text], how.words)[0]
+                    continue
                 both = np.array([len(np.intersect1d(mine, p, assume_unique=True)) for p in held])
                 dist = 1 - both / np.maximum(lens + len(mine) - both, 1)
+                rows.append(i)
                 home.append(int(dist.argmin()))
                 near.append(np.flatnonzero(dist <= dist.min() + 2 * t + 1e-9).tolist())
-                links.append([ps[k]["doc_id"] for k in np.flatnonzero(how.linked(both, lens, len(mine))) if ps[k]["doc_id"] != x])
+                links.append([named[k] for k in np.flatnonzero(how.linked(both, lens, len(mine))) if named[k] != ds[i]])
+            own = [b.column(k).take(pa.array(rows, pa.int64())) for k in (0, 3, 4, 5, 6)]
             made = [pa.array(home, pa.int32()), pa.array(near, pa.list_(pa.int32())), pa.array(links, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:6], *made], names)
+            yield pa.RecordBatch.from_arrays([*own, *made], names)
 
-    rows = inside.join(chosen, "cell").select("cell", "doc_id", "d1", "d2", F.col("n").cast("int"), "text", "pivots")
-    return rows.mapInArrow(textscan.tidy(run), PLACED)
+    return dealt.mapInArrow(textscan.tidy(run), PLACED)
 
 
-def in_regions(placed: DataFrame, joined: DataFrame, cell: int) -> DataFrame:
-    """Home members (side 0) and visitors (side 1) of blocks of Voronoi regions, each block a cell.
+def regions(placed: DataFrame, joined: DataFrame) -> DataFrame:
+    """(cell, d, n, text, side, parent): the Voronoi regions of each cell that still have pairs to compare.
 
-    ``joined`` (node, label) has the components of the links to pivots. Of each
-    cell the component with most sets is settled within itself: its members
-    visit no region.
+    ``joined`` (node, label) has the components of the links found so far. Of
+    each cell the component with most sets is settled within itself: its
+    members have side 0 and visit no region. A region without others goes.
+    """
+    rows = placed.join(joined, placed["d"] == joined["node"], "left").withColumn("label", F.coalesce("label", "d"))
+    counts = rows.groupBy("cell", "label").agg(F.count("*").alias("k")).groupBy("cell").agg(F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("parent"))
+    rows = rows.join(counts.select("cell", F.col("m.label").alias("main"), "parent"), "cell").withColumn("side", (F.col("label") != F.col("main")).cast("int"))
+    at = F.explode(F.when(F.col("side") > 0, F.col("near")).otherwise(F.array("home")))
+    rows = rows.select(F.col("cell").alias("of"), "d", "n", "text", "side", "parent", at.alias("region"))
+    return rows.select(F.xxhash64("of", "region").alias("cell"), "d", "n", "text", "side", "parent")
+
+
+def blocks(rows: DataFrame, cell: int) -> DataFrame:
+    """Cells (cell, d, text, side) in which every member of side 1 meets every other of its group, in blocks of either.
+
+    ``rows`` also have their group's size and weight (in shingles), and those of its members of side 1.
     """
     half = max(cell // 2, 1)
-    rows = placed.join(joined, placed["doc_id"] == joined["node"], "left").withColumn("label", F.coalesce("label", "doc_id"))
-    counts = rows.groupBy("cell", "label").agg(F.count("*").alias("k")).groupBy("cell").agg(F.max(F.struct("k", "label")).alias("m"))
-    rows = rows.join(counts.select("cell", F.col("m.label").alias("main")), "cell").withColumn("visits", F.col("label") != F.col("main"))
-    names = ["cell", "doc_id", "d1", "d2", "n", "text"]
-    homes = rows.select(*names, F.col("home").alias("region"), "visits")
-    guests = rows.filter("visits").select(*names, F.explode("near").alias("region"))
-    hosts = homes.groupBy("cell", "region").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
-    hosts = hosts.select("cell", "region", F.greatest(F.ceil(F.col("k") / half), F.ceil(F.col("w") / (CELL_SHINGLES // 2))).cast("int").alias("blocks"))
-    visits = guests.groupBy("cell", "region").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
-    visits = visits.select("cell", "region", F.greatest(F.ceil(F.col("k") / half), F.ceil(F.col("w") / (CELL_SHINGLES // 2))).cast("int").alias("parties"))
-    sized = hosts.join(visits, ["cell", "region"])  # a region without visitors has nothing to compare
-    own = F.xxhash64("d1", "d2")
-    a = homes.join(sized, ["cell", "region"]).select(*names, "region", F.pmod(own, F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("parties") - 1)).alias("party"), F.lit(0).alias("side"))
-    b = guests.join(sized, ["cell", "region"]).select(*names, "region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(own, F.col("parties")).alias("party"), F.lit(1).alias("side"))
-    both = a.select(*names, "region", F.col("block").cast("int"), F.col("party").cast("int"), "side").union(b.select(*names, "region", F.col("block").cast("int"), F.col("party").cast("int"), "side"))
-    return both.withColumn("cell", F.xxhash64("cell", "region", "block", "party"))
+
+    def parts(size: str, weight: str) -> Column:
+        return F.greatest(F.ceil(F.col(size) / half), F.ceil(F.col(weight) / (CELL_SHINGLES // 2))).cast("int")
+
+    def cut(of: str) -> Column:
+        return F.pmod(F.xxhash64("d", F.lit("block")), F.col(of)).cast("int")
+
+    def each(of: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+
+    rows = rows.withColumn("hosts", parts("size", "weight")).withColumn("parties", parts("guests", "guest_weight"))
+    a = rows.select("cell", "d", "text", F.lit(0).alias("side"), cut("hosts").alias("block"), each("parties").alias("party"))
+    b = rows.filter("side > 0").select("cell", "d", "text", F.lit(1).alias("side"), each("hosts").alias("block"), cut("parties").alias("party"))
+    return a.union(b).select(F.xxhash64("cell", "block", "party").alias("cell"), "d", "text", "side")
+
+
+def join_large(members: DataFrame, how: Shingling, cell: int, pivots: int, depth: int = DEPTH) -> DataFrame:
+    """Links (a, b) of sets within groups of any size, (cell, d, n, text), by Voronoi regions, recursively.
+
+    A region is joined at once when it has at most ``cell`` members, gets
+    pivots of its own while it has at most a quarter of its parent's, and is
+    joined by blocks otherwise.
+    """
+    rows, found = members.withColumn("side", F.lit(1)), None
+    for level in range(depth):
+        placed = kept(to_pivots(rows, how, pivots))
+        links = placed.select(F.col("d").alias("a"), F.explode("links").alias("b"))
+        found = kept(links if found is None else found.union(links).distinct())
+        parts = kept(regions(placed, components(found)))
+        drop(placed)
+        sizes = parts.groupBy("cell").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.sum("side").alias("guests"), F.sum(F.col("n") * F.col("side")).alias("guest_weight"), F.max("parent").alias("of"))
+        sizes = sizes.filter("guests > 0")
+        fits = (F.col("size") <= cell) & ((F.col("weight") <= CELL_SHINGLES) | (F.col("size") <= 2))
+        again = (4 * F.col("size") <= F.col("of")) if level + 1 < depth else F.lit(False)
+        sizes = kept(sizes.withColumn("next", F.when(fits, "join").when(again, "regions").otherwise("blocks")).drop("of"))
+        sized = parts.join(sizes, "cell")
+        found = kept(found.union(join_cells(sized.filter("next = 'join'"), how)).union(join_cells(blocks(sized.filter("next = 'blocks'"), cell), how)).distinct())
+        if not sizes.filter("next = 'regions'").take(1):
+            break
+        rows = sized.filter("next = 'regions'").select("cell", "d", "n", "text", "side")
+    return found
+
+
+def _fetched(docs: DataFrame, wanted: DataFrame, how: Shingling) -> DataFrame:
+    """(d, text): the compressed text of each wanted set (d, text_hash). Only texts that may be wanted are read into sets and move."""
+    asked = KeyFilter.of(wanted, "text_hash")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        z, seen = zstandard.ZstdCompressor(level=3), Seen()
+        for b in batches:
+            key = b.column(0).to_numpy()
+            at = np.flatnonzero(asked.passes(key))
+            at = at[seen.fresh(key[at])]
+            if not len(at):
+                continue
+            key, texts = key[at], b.column(1).take(pa.array(at))
+            for lo, hi, data, offsets in textscan.chunks(texts):
+                d, raw = digests(*shingle_sets(data, offsets, how.words)), data.tobytes()
+                packed = [z.compress(raw[offsets[i] : offsets[i + 1]]) for i in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([pa.array(key[lo:hi]), pa.array(d), pa.array(packed, pa.binary())], ["key", "of", "text"])
+
+    packed = docs.select("text_hash", "text").mapInArrow(textscan.tidy(run), "key long, of long, text binary")
+    return wanted.join(packed, (F.col("text_hash") == F.col("key")) & (F.col("d") == F.col("of"))).select("d", "text")
+
+
+def groups(docs: DataFrame, how: Shingling = Shingling(), cell: int = CELL, pivots: int = PIVOTS, unnamed: bool = False) -> DataFrame:
+    """A row for each row of docs (doc_id, text): doc_id, text_hash, n_shingles, component_id and stays.
+
+    ``stays`` tells the row that stands for its component, the least by
+    doc_id (null last), then by the hash of its text; rows that repeat one
+    another share the answer. Rows without words stay. Rows with a null doc_id take part only with ``unnamed``; a
+    component of such rows alone has a null component_id.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    part = F.lit(True) if unnamed else F.col("doc_id").isNotNull()
+    whole = kept(signatures(docs, how))
+    signed = whole.filter("block is null").drop("block", "counts")
+    real = signed.filter((F.col("n") > 0) & part)
+    levels = commonness(whole)
+    # each distinct set once, with the row that stands for it and a text of it
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    first = real.groupBy("d").agg(F.min(row).alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("rep"))
+    near = kept(cells(docs.filter(part), how, levels))
+    maybe = kept(candidates(near, first, how, THIN * cell).distinct())
+    drop(near)
+    grouped = components(maybe)
+    drop(maybe)
+    wanted = kept(grouped.join(first.drop("bits"), grouped["node"] == first["d"]).select("d", "n", F.col("least.text_hash").alias("text_hash"), F.col("label").alias("cell")))
+    sizes = wanted.groupBy("cell").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    large = kept(sizes.filter((F.col("size") > cell) | (F.col("weight") > CELL_SHINGLES) & (F.col("size") > 2)).select("cell", F.lit(True).alias("large")))
+    texts = _fetched(docs, wanted.select("d", "text_hash"), how).withColumnRenamed("d", "at")
+    members = texts.join(wanted, F.col("at") == F.col("d")).select("cell", "d", "n", "text")
+    if large.take(1):
+        members = kept(members.join(large, "cell", "left"))
+        few = members.filter("large is null")
+        edges = join_cells(few.withColumn("side", F.lit(1)), how).union(join_large(members.filter("large").drop("large").dropDuplicates(["cell", "d"]), how, cell, pivots))
+    else:
+        edges = join_cells(members.withColumn("side", F.lit(1)), how)
+    linked = components(kept(edges))
+    # the least row of each component stands for it
+    known = first.select(F.col("d"), "least", "rep")
+    inside = kept(linked.join(known, linked["node"] == known["d"]).select("d", "label", "least", "rep"))
+    ends = inside.groupBy("label").agg(F.min("least").alias("end"), F.min("rep").alias("component_id"))
+    inside = inside.join(ends, "label").select(F.col("d").alias("of"), "end", "component_id")
+    told = known.join(inside, F.col("d") == F.col("of"), "left").select(F.col("d").alias("set"), F.coalesce("end", "least").alias("end"), F.coalesce("component_id", "rep").alias("component_id"))
+    told = kept(told)
+    # both sides are read anew, so Spark may split the rows of one set that many documents have
+    done = real.join(told, F.col("d") == F.col("set")).select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), "component_id", (F.col("doc_id").eqNullSafe(F.col("end.doc_id")) & (F.col("text_hash") == F.col("end.text_hash"))).alias("stays"))
+    rest = signed.filter(~((F.col("n") > 0) & part))
+    return done.union(rest.select("doc_id", "text_hash", F.col("n").cast("long"), "doc_id", F.lit(True)))
 
 
 def similar_components(docs: DataFrame, how: Shingling = Shingling(), cell: int = CELL, pivots: int = PIVOTS) -> DataFrame:
@@ -467,80 +646,31 @@ def similar_components(docs: DataFrame, how: Shingling = Shingling(), cell: int
 
     Null and wordless texts have no shingles and link with nothing. Rows with
     a null doc_id get a null component and take no part. Repeated rows are
-    copies of one another and give one row each; extra columns are ignored; an
+    copies of one another and give one row each; rows of one doc_id with
+    different texts are documents of their own; extra columns are ignored; an
     empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = kept(signatures(docs, how))
-    real = signed.filter("n > 0 and doc_id is not null")
-    common = common_shingles(docs, how)
-    where = cells(heads(docs.filter("doc_id is not null"), how, common), how)
-    # the least document of each distinct set stands for it
-    first = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("bits").alias("bits"))
-    names = ["cell", "d1", "d2", "rep", "n"]
-    light = kept(where.join(first.drop("bits"), "d1").select(*names))
-    sizes = light.groupBy("cell").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).filter("size > 1")
-    sizes = kept(sizes.withColumn("large", (F.col("size") > cell) | (F.col("weight") > CELL_SHINGLES) & (F.col("size") > 2)))
-    large = sizes.filter("large")
-
-    def partners(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by cell; those without a partner go."""
-        held: pa.Table | None = None
+    return groups(docs, how, cell, pivots).select("doc_id", "n_shingles", "component_id")
 
-        def chosen(t: pa.Table) -> pa.Table:
-            c = t["cell"].to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(c[1:] != c[:-1]) + 1, [len(c)]])
-            n, bits = t["n"].to_pylist(), t["bits"].to_pylist()
-            keep = np.concatenate([paired(n[i:j], bits[i:j], how) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
-            return t.filter(pa.array(keep)).select(names)
 
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
-            c = t["cell"].to_numpy()
-            whole = int(np.searchsorted(c, c[-1])) if len(c) else 0
-            if whole:
-                yield from chosen(t.slice(0, whole)).to_batches()
-            held = t.slice(whole)
-        if held is not None and held.num_rows:
-            yield from chosen(held).to_batches()
-
-    # bits travel once, to the cells' places
-    small = light.join(sizes.filter("not large").select("cell"), "cell").join(first.select("d1", "d2", "bits"), ["d1", "d2"])
-    small = whole_cells(small, *names, "bits").mapInArrow(textscan.tidy(partners), "cell long, d1 long, d2 long, rep long, n int")
-    crowded = light.join(large.select("cell"), "cell").select(*names, F.lit(True).alias("crowded"))
-    chosen = kept(small.withColumn("crowded", F.lit(False)).union(crowded))
-    wanted = digest_filter(chosen)
-    stands = chosen.groupBy("d1", "d2").agg(F.first("rep").alias("rep"), F.first("n").alias("n"), F.collect_set(F.struct("cell", "crowded")).alias("cells"))
+def one_of_each(docs: DataFrame, how: Shingling = Shingling()) -> DataFrame:
+    """The rows of docs, one of each component of near duplicates: the least by doc_id, a null one last, then by its text's hash.
 
-    def squeeze(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            for lo, hi, data, offsets in textscan.chunks(b.column(1)):
-                h, f = shingle_sets(data, offsets, how.words)
-                d1, d2 = digests(h, f)
-                at = np.flatnonzero(passes(wanted, d1))
-                raw = data.tobytes()
-                texts = [z.compress(raw[offsets[i] : offsets[i + 1]]) for i in at]
-                made = [b.column(0)[lo:hi].take(pa.array(at)), pa.array(d1[at]), pa.array(d2[at]), pa.array(texts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(made, ["doc_id", "t1", "t2", "text"])
-
-    packed = docs.filter("doc_id is not null").mapInArrow(textscan.tidy(squeeze), "doc_id long, t1 long, t2 long, text binary")
-    held = packed.join(stands, (packed["doc_id"] == F.col("rep")) & (F.col("t1") == F.col("d1")) & (F.col("t2") == F.col("d2")))
-    members = held.select(F.explode("cells").alias("at"), "doc_id", "d1", "d2", "n", "text")
-    members = kept(members.select("at.cell", "doc_id", "d1", "d2", "n", "text", "at.crowded"))
-
-    few = members.filter("not crowded").withColumn("side", F.lit(1))
-    edges = join_cells(few, how)
-    if large.take(1):
-        placed = kept(to_pivots(members.filter("crowded"), how, pivots))
-        to_pivot = placed.select(F.col("doc_id").alias("a"), F.explode("links").alias("b"))
-        joined = components(to_pivot)
-        edges = edges.union(to_pivot).union(join_cells(in_regions(placed, joined, cell), how))
-    joined = components(kept(edges.distinct()))
-    label = first.join(joined, first["rep"] == joined["node"], "left").select("d1", "d2", F.coalesce("label", "rep").alias("label"))
-    s = signed.alias("s")
-    done = s.join(label.alias("l"), (F.col("s.d1") == F.col("l.d1")) & (F.col("s.d2") == F.col("l.d2")) & (F.col("s.n") > 0), "left")
-    return done.select(F.col("s.doc_id").alias("doc_id"), F.col("s.n").alias("n_shingles"), F.when(F.col("s.doc_id").isNotNull(), F.coalesce("l.label", "s.doc_id")).alias("component_id"))
+    Of rows that repeat one another's id and text, the least by its other
+    columns stays, so these must have an order. Rows without words all stay.
+    Rows with a null doc_id take part like others. All columns stay as they
+    are, whatever their names; an empty table gives no rows. Only rows that
+    may have to go move.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row")).select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("text_hash"))
+    found = kept(groups(docs, how, unnamed=True))
+    keys = found.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash")).agg(F.max("stays").alias("stays"), F.count("*").alias("rows"))
+    keys = kept(keys.filter("rows > 1 or not stays"))
+    named = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text_hash")
+    asked = KeyFilter.of(keys.select(F.xxhash64(F.coalesce(F.col("found_id").cast("string"), F.lit("")), "found_hash").alias("key")), "key")
+    sure, unsure = asked.split(rows.withColumn("key", named), "key")
+    same = (F.col("text_hash") == F.col("found_hash")) & F.col("id").eqNullSafe(F.col("found_id"))
+    other = unsure.join(keys, same, "left_anti").select("row")
+    again = unsure.join(keys.filter("stays"), same, "left_semi").groupBy("id", "text_hash").agg(F.min("row").alias("row")).select("row")
+    return sure.select("row").union(other).union(again).select("row.*")
