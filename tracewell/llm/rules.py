@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import ordinal, textscan
+from tracewell.llm.shared import KeyFilter
 
 BUCKETS = 1 << 16
 GRAMS = (3, 4)
@@ -124,13 +125,17 @@ def ratio_table(docs: DataFrame, labels: DataFrame | None) -> np.ndarray:
     The raw corpus is all of ``docs``; the target is every document whose id
     is rated of the top grade, or all of them without ``labels``. Trusted ids
     meet their texts in a merge join at every size, as both grow with the
-    corpus. Counts are summed by bucket in Spark; the driver gets one row a
-    bucket.
+    corpus; a key filter of a fixed size keeps most other texts from moving.
+    Counts are summed by bucket in Spark; the driver gets one row a bucket.
+    Null ids and ratings count for nothing; of several ratings of an id the
+    lowest counts; documents that repeat count each time.
     """
     counts = gram_counts(docs.select("text"), "raw").withColumn("target", F.lit(0))
     if labels is not None:
         trusted = labels.select(F.col("doc_id").alias("label_id"), ordinal.grade_of().alias("grade")).dropna().groupBy("label_id").agg(F.min("grade").alias("grade")).filter("grade = 2")
-        texts = docs.select("doc_id", "text").join(trusted.hint("merge"), F.col("doc_id") == F.col("label_id")).select("text")
+        asked = KeyFilter.of(trusted.select(F.xxhash64(F.col("label_id").cast("long")).alias("key")), "key")
+        _, maybe = asked.split(docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("long")).alias("key")), "key")
+        texts = maybe.join(trusted.hint("merge"), F.col("doc_id") == F.col("label_id")).select("text")
         counts = counts.union(gram_counts(texts, "target").select("bucket", F.lit(0), "target"))
     else:
         counts = counts.withColumn("target", F.col("raw"))
