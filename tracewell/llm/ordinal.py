@@ -158,7 +158,12 @@ def labelled_sample(labels: DataFrame, most: int) -> DataFrame:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, most: int = 12_000, levels: int = 3) -> Model:
-    """Fit on at most ``most`` labelled documents; the ids are few enough to broadcast, as ``most`` bounds them."""
+    """Fit on at most ``most`` labelled documents; the ids are few enough to broadcast, as ``most`` bounds them.
+
+    Rows that repeat an id and a text count once, and of more documents than
+    ``most``, as ids can repeat with other texts, the first by hash are taken,
+    so every run fits the same model.
+    """
     sample = F.broadcast(labelled_sample(labels, most))
     rated = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("label_id")).select("text", F.col("grade").cast("int"), F.xxhash64("doc_id", "text").alias("at"))
 
@@ -169,9 +174,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, most: int = 12_000, levels: int =
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([lists, b.column(1)[lo:hi], b.column(2)[lo:hi]], ["ids", "grade", "at"])
 
-    # repeated rows of one id can exceed the bound: the limit holds for rows too
-    got = rated.mapInArrow(textscan.tidy(extract), "ids array<int>, grade int, at long").limit(2 * most).toArrow()
-    got = got.sort_by([("at", "ascending"), ("grade", "ascending")])
+    found = rated.mapInArrow(textscan.tidy(extract), "ids array<int>, grade int, at long")
+    got = found.groupBy("at").agg(F.first("ids").alias("ids"), F.min("grade").alias("grade")).orderBy("at").limit(most).toArrow()
     lists = got["ids"].combine_chunks()
     ids = np.concatenate([np.asarray(x.values, np.int32) for x in lists]) if len(lists) else np.zeros(0, np.int32)
     first = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
