@@ -37,6 +37,8 @@ WIDTH = 16
 SIDE = 2
 ROUNDS = 2
 BATCH = 8192
+#: tokens of a training step
+STEP = 4096
 
 
 @dataclass
@@ -94,11 +96,15 @@ class Model:
             out[at : at + BATCH] = lp
         return out
 
-    def train(self, ids: np.ndarray, around: np.ndarray, rate: float = 0.15) -> None:
-        """One pass of AdaGrad over the tokens, in order."""
-        sums = [np.full(x.shape, 1e-3, np.float32) for x in (self.inner, self.place, self.classes, self.outer)]
-        for at in range(0, len(ids), BATCH // 4):
-            y, near = ids[at : at + BATCH // 4], around[at : at + BATCH // 4]
+    def squares(self) -> list[np.ndarray]:
+        """AdaGrad's sums of squared gradients before the first step."""
+        return [np.full(x.shape, 1e-3, np.float32) for x in (self.inner, self.place, self.classes, self.outer)]
+
+    def train(self, ids: np.ndarray, around: np.ndarray, rate: float = 0.3, sums: list[np.ndarray] | None = None) -> None:
+        """One pass of AdaGrad over the tokens, in order; ``sums`` carries its state from call to call."""
+        sums = sums or self.squares()
+        for at in range(0, len(ids), STEP):
+            y, near = ids[at : at + STEP], around[at : at + STEP]
             n = len(y)
             vectors = self.inner[near]
             h = self.hidden(near)
@@ -206,11 +212,12 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, share: int | None = None, parts:
             context = TaskContext.get()
             task = context.partitionId() if context else 0
             mine, seen = Model.of(start), 0
+            sums = mine.squares()
             for b in batches:
                 for _, _, data, offsets in textscan.chunks(b.column(0)):
                     buckets, first = word_buckets(data, offsets)
                     ids = ids_of[buckets]
-                    mine.train(ids, windows(ids, first))
+                    mine.train(ids, windows(ids, first), sums=sums)
                     seen += len(ids)
             if seen:
                 blobs = [x.tobytes() for x in _parts(mine.flat(), parts)]
