@@ -204,6 +204,8 @@ class WordIdCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > np.iinfo(dtype).max + 1:
+            raise ValueError(f"the tokenizer has ids beyond {dtype}")
         self.separator, self.dtype, self.most = separator, dtype, most
         self.separator_id = self.tokenizer.token_to_id(separator)
         self.known: dict[bytes, bytes] = {}
@@ -357,9 +359,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), e
             return made
 
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()
-            for at in range(0, len(ids), 256):
-                for doc, raw in zip(ids[at : at + 256], encoder.encode([t or b"" for t in texts[at : at + 256]]), strict=True):
+            for lo, hi, texts in textscan.texts(b.column(1)):
+                for doc, raw in zip(b.column(0)[lo:hi].to_pylist(), encoder.encode(texts), strict=True):
                     raw += end
                     keep(packer.add((doc, raw), len(raw) // 4))
                 if len(rows) >= 4096:

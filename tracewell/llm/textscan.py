@@ -145,6 +145,13 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         at = to
 
 
+def texts(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first row, past row, their bytes) of runs of rows of about CHUNK_BYTES; null is empty."""
+    for lo, hi, data, offsets in chunks(column):
+        raw = data.tobytes()
+        yield lo, hi, [raw[i:j] for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
 def scan(data: np.ndarray, offsets: np.ndarray) -> Words:
     """Find the words of documents that lie end to end in data."""
     n = len(data)

@@ -22,32 +22,47 @@ from tracewell.llm.packing import word_ids
 #: a free id whose two bytes are one UTF-8 character, which Spark's text writer can put between rows
 SEPARATOR = 0xC280
 BLOCK_TOKENS = 1 << 17
-ROWS_A_FILE = 20_000
+#: bytes of ids from which a run of documents is written, and how many runs go in a file: about 128 MB
+RUN_BYTES, RUNS_A_FILE = 1 << 18, 512
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, separator: int = SEPARATOR) -> None:
     """Write the ids of each text of ``docs``, and the separator after each, as flat files under ``path``.
 
-    Null text is empty: a separator alone.
+    Null text is empty: a separator alone. Rows that repeat are written each
+    time; other columns are ignored; an empty table gives no documents.
     """
+    end = separator.to_bytes(2, "big")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(tokenizer, ">u2")
+        run, size = [], 0
+
+        def told() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([end.join(run)], pa.binary())], ["ids"])
+            run.clear()
+            return made
+
         for b in batches:
-            texts = b.column(0).cast(pa.binary()).to_pylist()
-            for at in range(0, len(texts), 1024):
-                yield pa.RecordBatch.from_arrays([pa.array(encoder.encode([t or b"" for t in texts[at : at + 1024]]), pa.binary())], ["ids"])
+            for _, _, texts in textscan.texts(b.column(0)):
+                for ids in encoder.encode(texts):
+                    run.append(ids)
+                    size += len(ids) + 2
+                    if size >= RUN_BYTES:
+                        yield told()
+                        size = 0
+        if run:
+            yield told()
 
-    mark = separator.to_bytes(2, "big").decode("utf-8")
-    ids = docs.select(F.col("text").cast("string")).mapInArrow(textscan.tidy(run), "ids binary")
-    ids.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", mark).option("maxRecordsPerFile", ROWS_A_FILE).text(path)
+    ids = docs.select(F.col("text").cast("string")).mapInArrow(textscan.tidy(runs), "ids binary")
+    ids.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", end.decode("utf-8")).option("maxRecordsPerFile", RUNS_A_FILE).text(path)
 
 
-BLOCKS = "file string, block long, tokens long, first long, last long, inner array<long>"
+BLOCKS = "file string, block long, tokens long, first long, last long, ends array<long>, before array<long>"
 
 
 def scan_blocks(files: DataFrame, separator: int, block_tokens: int) -> DataFrame:
-    """One row a block of ``files`` (path, content): its separators' first and last place, and the gaps between them."""
+    """One row a block of ``files`` (path, content): its separators' first and last place, each one's, and that of the one before it, -1 for none."""
     size = 2 * block_tokens
     parts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("content") / size).cast("int") - 1, F.lit(0)))
     cut = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.explode(parts.cast("array<long>")).alias("block"), "content")
@@ -56,7 +71,7 @@ def scan_blocks(files: DataFrame, separator: int, block_tokens: int) -> DataFram
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in BLOCKS.split(", ")]
         for b in batches:
-            tokens, first, last, inner = [], [], [], []
+            tokens, first, last, ends, before = [], [], [], [], []
             for raw in b.column(2):
                 data = raw.as_py()
                 if len(data) % 2:
@@ -65,9 +80,10 @@ def scan_blocks(files: DataFrame, separator: int, block_tokens: int) -> DataFram
                 tokens.append(len(data) // 2)
                 first.append(int(at[0]) if len(at) else -1)
                 last.append(int(at[-1]) if len(at) else -1)
-                inner.append(np.diff(at) - 1)
+                ends.append(at)
+                before.append(np.concatenate([[-1], at[:-1]]).astype(np.int64)[: len(at)])
             made = [pa.array(x, pa.int64()) for x in (tokens, first, last)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made, pa.array(inner, pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made, pa.array(ends, pa.list_(pa.int64())), pa.array(before, pa.list_(pa.int64()))], names)
 
     return cut.mapInArrow(textscan.tidy(run), BLOCKS)
 
@@ -80,18 +96,18 @@ def stitch(blocks: DataFrame) -> DataFrame:
     b = blocks.withColumn("rest", rest).withColumn("segment", F.coalesce(F.sum(has.cast("long")).over(before), F.lit(0)))
     b = b.withColumn("opened", F.coalesce(F.last(F.when(has, F.col("rest")), True).over(before), F.lit(0)))
     b = b.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-    b = b.withColumn("number", F.coalesce(F.sum(F.when(has, F.size("inner") + 1).otherwise(0).cast("long")).over(before), F.lit(0)))
+    b = b.withColumn("number", F.coalesce(F.sum(F.when(has, F.size("ends")).otherwise(0).cast("long")).over(before), F.lit(0)))
     inside = Window.partitionBy("file", "segment").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     b = b.withColumn("carry", F.col("opened") + F.coalesce(F.sum("rest").over(inside), F.lit(0)))
     whole = Window.partitionBy("file").orderBy(F.desc("block"))
     b = b.withColumn("is_last", F.row_number().over(whole) == 1)
-    counts = F.when(has, F.concat(F.array(F.col("carry") + F.col("first")), F.col("inner"))).otherwise(F.array().cast("array<long>"))
-    done = b.select("file", "number", "base", "carry", "first", F.posexplode(counts).alias("k", "n_tokens"), "inner")
-    skipped = F.aggregate(F.slice("inner", 1, F.col("k")), F.lit(0).cast("long"), lambda a, x: a + x + 1)
-    start = F.when(F.col("k") == 0, F.col("base") - F.col("carry")).otherwise(F.col("base") + F.col("first") + 1 + skipped - F.element_at("inner", F.greatest(F.col("k"), F.lit(1))) - 1)
-    done = done.select("file", (F.col("number") + F.col("k")).alias("document"), start.alias("first_token"), "n_tokens", F.lit(True).alias("ended"))
+    done = b.select("file", "number", "base", "carry", F.posexplode(F.arrays_zip("ends", "before")).alias("k", "at"))
+    # a block's first document has what the blocks before carry over
+    more = F.when(F.col("k") == 0, F.col("carry")).otherwise(0)
+    start, n_tokens = F.col("base") + F.col("at.before") + 1 - more, F.col("at.ends") - F.col("at.before") - 1 + more
+    done = done.select("file", (F.col("number") + F.col("k")).alias("document"), start.alias("first_token"), n_tokens.alias("n_tokens"), F.lit(True).alias("ended"))
     left = F.when(has, F.col("rest")).otherwise(F.col("carry") + F.col("tokens"))
-    number = F.col("number") + F.when(has, F.size("inner") + 1).otherwise(0)
+    number = F.col("number") + F.when(has, F.size("ends")).otherwise(0)
     open_end = b.filter("is_last").select("file", number.cast("long").alias("document"), (F.col("base") + F.col("tokens") - left).alias("first_token"), left.alias("n_tokens"), F.lit(False).alias("ended"))
     return done.union(open_end.filter("n_tokens > 0"))
 

@@ -324,10 +324,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = segmenter(path)
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                texts = part.column(at).cast(pa.binary()).to_pylist()
-                ids = [None if t is None else np.frombuffer(i, "<u4").astype(np.int32) for t, i in zip(texts, seg.encode([t or b"" for t in texts]), strict=True)]
+            for lo, hi, texts in textscan.texts(b.column(at)):
+                part = b.slice(lo, hi - lo)
+                known = part.column(at).is_valid().to_pylist()
+                ids = [np.frombuffer(i, "<u4").astype(np.int32) if there else None for there, i in zip(known, seg.encode(texts), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], [*kept, "ids"])
 
     return docs.select(*kept).mapInArrow(textscan.tidy(run), docs.select(*kept).schema.add("ids", T.ArrayType(T.IntegerType())))
@@ -350,25 +350,27 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, n_byte_tokens, ids_crc32 and whether decoding gives the text back; null text is empty."""
+    """doc_id, n_tokens, n_byte_tokens, ids_crc32 and whether decoding gives the text back; null text is empty.
+
+    A null doc_id stays null; repeated rows each give a row; other columns are
+    ignored, whatever their names; an empty table gives no rows.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = segmenter(path)
         is_byte = np.zeros(len(seg.p.shown), bool)
         is_byte[seg.p.byte_ids] = True
         for b in batches:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
-            n, fallen, crc, same = [], [], [], []
-            for lo in range(0, len(texts), 256):
-                part = [t or b"" for t in texts[lo : lo + 256]]
+            for lo, hi, part in textscan.texts(b.column(1)):
+                n, fallen, crc, same = [], [], [], []
                 for t, raw in zip(part, seg.encode(part), strict=True):
                     ids = np.frombuffer(raw, "<u4")
                     n.append(len(ids))
                     fallen.append(int(is_byte[ids].sum()))
                     crc.append(zlib.crc32(raw))
                     same.append(seg.decode(ids).encode() == t)
-            made = [pa.array(x, pa.int64()) for x in (n, fallen, crc)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *made, pa.array(same)], ["doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip"])
+                made = [pa.array(x, pa.int64()) for x in (n, fallen, crc)]
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], *made, pa.array(same)], ["doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(textscan.tidy(run), "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean")
