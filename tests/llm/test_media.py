@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -46,8 +47,30 @@ def test_chunks_are_shared(spark):
     rng = np.random.default_rng(6)
     long = "".join(map(chr, rng.integers(40, 120, 200_000)))
     df = spark.createDataFrame([(1, long), (2, long[:100_000] + "!" + long[100_000:])], "doc_id long, text string")
-    whole = sum(len(r.chunks) for r in media.manifests(df).collect())
-    assert media.chunk_store(df).count() < 0.6 * whole
+    store = media.write_store(df)
+    manifests = {r.doc_id: r.chunks for r in store.listed.collect()}
+    bodies = store.bodies.collect()
+    shared = {r.digest for r in bodies if r.digest is not None}
+    assert len(shared & set(manifests[1]) & set(manifests[2])) > 0.95 * len(manifests[1])
+    assert sum(len(r.seqs) for r in bodies if r.medium is not None) < 0.1 * len(manifests[1])
+
+
+def test_media_files_are_the_stored_ones(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    rows = media.media_files(docs).collect()
+    assert len(rows) == len(texts) and all(r.media == media.wav_header(len(media.padded(texts[r.doc_id]))) + media.padded(texts[r.doc_id]) for r in rows)
+    cut = [len(r.chunks) for r in media.manifests(docs).collect()]
+    assert np.mean([n > 1 for n in cut]) > 0.5
+
+
+def test_a_lost_chunk_is_told(spark):
+    long = "".join(map(chr, np.random.default_rng(7).integers(40, 120, 20_000)))
+    df = spark.createDataFrame([(1, long), (2, "other words " + long)], "doc_id long, text string")
+    store = media.write_store(df)
+    broken = media.Store(store.listed, store.bodies.filter("digest is null"))
+    with pytest.raises(Exception, match="chunk is missing"):
+        media.read_media(broken).collect()
 
 
 @settings(max_examples=50, deadline=None)

@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 from tracewell.llm import textscan
 from tracewell.llm.components import components
 from tracewell.llm.shared import KeyFilter, drop, kept
+from tracewell.llm.textscan import Seen
 
 #: sets that are joined at once, at most
 CELL = 512
@@ -121,24 +122,6 @@ def parity_bits(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
 
 
-class Seen:
-    """Digests that a task has met; beyond a bound it forgets them all, which costs repeats only."""
-
-    def __init__(self, most: int = 500_000):
-        self.most, self.held = most, set()
-
-    def fresh(self, found: np.ndarray) -> np.ndarray:
-        """Whether each digest is met for the first time."""
-        out = np.zeros(len(found), bool)
-        for i, x in enumerate(found.tolist()):
-            if x not in self.held:
-                self.held.add(x)
-                out[i] = True
-        if len(self.held) > self.most:
-            self.held = set()
-        return out
-
-
 def signatures(docs: DataFrame, how: Shingling) -> DataFrame:
     """One pass over the texts of docs (doc_id, text_hash, text) for two kinds of rows.
 

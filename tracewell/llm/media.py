@@ -3,10 +3,15 @@
 A payload of 8-bit samples is stored as a WAV file of one channel. Chunks are
 cut where a gear hash of the last 32 bytes has ``CUT_BITS`` leading zeros, so
 equal passages are cut alike wherever they stand. A document's manifest is the
-ordered list of its chunk digests; equal manifests are one medium. Chunks are
-compressed, shuffled once by digest and kept once each; joined with the
-manifests of the distinct media they are put back together, checked against
-the payload's own hash, and read as samples.
+ordered list of its chunk digests; equal manifests are one medium.
+
+Digests are counted over the distinct media first. Chunks that only one medium
+has stay together and are compressed together; chunks that may be shared, by a
+key filter of a fixed size, are stored by digest, each once, and find their
+media in a join. So the bytes that move are those of media with shared chunks.
+Store and manifests are tables in the shared folder. A medium is put back
+together from what is read there, checked against the payload's own hash, and
+read as samples.
 """
 
 from __future__ import annotations
@@ -14,7 +19,8 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import textscan
-from tracewell.llm.shared import kept
+from tracewell.llm.shared import KeyFilter, kept
+from tracewell.llm.textscan import Seen
 
 UNIT = 64
-LEAST, MOST, CUT_BITS = 2048, 65536, 13
+LEAST, MOST, CUT_BITS = 256, 65536, 10
 RATE = 8000
 LEVEL = 9
 _GEAR = np.random.default_rng(1453).integers(0, 2**32, 256, dtype=np.uint32)
@@ -97,136 +104,200 @@ def _pieces(column: pa.Array) -> Iterator[tuple[int, bytes, int, list[tuple[byte
             row += 1
 
 
-MANIFEST = "doc_id long, n_bytes long, medium binary, payload_sha256 binary, chunks array<binary>"
+MANIFEST = "doc_id long, n_bytes long, medium binary, chunks array<binary>, keys array<long>"
+
+
+def _key(digest: bytes) -> int:
+    """64 bits of a digest, to count and to filter by; a clash makes a chunk look shared, no more."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def _medium(payload: bytes, chunks: list[tuple[bytes, int, int]]) -> bytes:
+    return hashlib.blake2b(struct.pack("<Q", len(payload)) + b"".join(c[0] for c in chunks), digest_size=16).digest()
 
 
 def manifests(docs: DataFrame) -> DataFrame:
-    """Each document's medium: the digest of its ordered chunk list, the list, and the payload's hash."""
+    """Each document's medium, named by the digest of its ordered chunk list, that list, and the chunks' keys."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, medium, sha, lists = [], [], [], []
+            n, medium, lists = [], [], []
             for _, payload, size, chunks in _pieces(b.column(1)):
-                names = [c[0] for c in chunks]
                 n.append(size)
-                medium.append(hashlib.blake2b(struct.pack("<Q", len(payload)) + b"".join(names), digest_size=16).digest())
-                sha.append(hashlib.sha256(payload).digest())
-                lists.append(names)
-            made = [pa.array(n, pa.int64()), pa.array(medium, pa.binary()), pa.array(sha, pa.binary()), pa.array(lists, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *made], ["doc_id", "n_bytes", "medium", "payload_sha256", "chunks"])
+                medium.append(_medium(payload, chunks))
+                lists.append([c[0] for c in chunks])
+            made = [pa.array(n, pa.int64()), pa.array(medium, pa.binary()), pa.array(lists, pa.list_(pa.binary())), pa.array([[_key(d) for d in x] for x in lists], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], ["doc_id", "n_bytes", "medium", "chunks", "keys"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(textscan.tidy(run), MANIFEST)
 
 
-def chunk_store(docs: DataFrame, seen_most: int = 500_000) -> DataFrame:
-    """(digest, body): each distinct chunk once, compressed. A task sends a chunk once, as far as it remembers."""
+STORE = "medium binary, count int, want binary, seqs array<int>, sizes array<int>, digest binary, body binary"
+_STORE_TYPES = [pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
 
-        z, seen = zstandard.ZstdCompressor(level=LEVEL), set()
-        for b in batches:
-            names, bodies, size = [], [], 0
-            for _, payload, _, chunks in _pieces(b.column(0)):
-                for digest, at, end in chunks:
-                    if digest not in seen:
-                        seen.add(digest)
-                        names.append(digest)
-                        bodies.append(z.compress(payload[at:end]))
-                        size += len(bodies[-1])
-                if size > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(bodies, pa.binary())], ["digest", "body"])
-                    names, bodies, size = [], [], 0
-                if len(seen) > seen_most:
-                    seen = set()
-            if names:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(bodies, pa.binary())], ["digest", "body"])
+@dataclass
+class Store:
+    """Media as written: manifests, a row a document, and bodies.
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(textscan.tidy(run), "digest binary, body binary").groupBy("digest").agg(F.first("body").alias("body"))
+    A body row either has a ``medium``, its hash and number of chunks, and the
+    places, sizes and bytes of the chunks that it has alone; or the ``digest``
+    and bytes of a chunk that may be shared. Rows of either kind may repeat.
+    """
 
+    listed: DataFrame
+    bodies: DataFrame
 
-MEDIA = "medium binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-_MEDIA_NAMES = [x.split()[0] for x in MEDIA.split(", ")]
-_MEDIA_TYPES = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
+def write_store(docs: DataFrame) -> Store:
+    """Cut the payloads of docs (doc_id, text) into chunks and write them."""
+    listed = kept(manifests(docs))
+    # of each distinct medium, every key counts as often as it is listed
+    media = listed.groupBy("medium").agg(F.first("keys").alias("keys"))
+    shared = media.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    asked = KeyFilter.of(shared, "key")
 
-def _stored(medium: bytes, payload: bytes, want: bytes) -> tuple:
-    """Store the payload as a WAV file, read it back, verify and describe it."""
-    media = wav_header(len(payload)) + payload
-    samples = wav_samples(media)
-    sha = hashlib.sha256(samples)
-    if sha.digest() != want:
-        raise ValueError("a rebuilt payload differs from the one that was stored")
-    return medium, len(samples), sha.hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
+        z, media, held = zstandard.ZstdCompressor(level=LEVEL), Seen(), Seen()
+        rows: list[tuple] = []
+        size = 0
 
-def _assemble(rows: list[tuple]) -> tuple:
-    medium, count, want = rows[0][0], rows[0][2], rows[0][3]
-    bodies = {r[1]: r[4] for r in rows}
-    if set(bodies) != set(range(count)):
-        raise ValueError("a chunk is missing")
-    return _stored(medium, b"".join(bodies[k] for k in range(count)), want)
+        def told() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _STORE_TYPES, strict=True)], [x.split()[0] for x in STORE.split(", ")])
+            rows.clear()
+            return made
 
+        for b in batches:
+            for _, payload, _, chunks in _pieces(b.column(0)):
+                medium = _medium(payload, chunks)
+                if not media.first(medium):
+                    continue
+                maybe = asked.passes(np.array([_key(c[0]) for c in chunks], np.int64)).tolist()
+                own = [k for k, m in enumerate(maybe) if not m]
+                body = z.compress(b"".join(payload[chunks[k][1] : chunks[k][2]] for k in own))
+                rows.append((medium, len(chunks), hashlib.sha256(payload).digest(), own, [chunks[k][2] - chunks[k][1] for k in own], None, body))
+                size += len(body)
+                for k, m in enumerate(maybe):
+                    if m and held.first(chunks[k][0]):
+                        rows.append((None, None, None, None, None, chunks[k][0], z.compress(payload[chunks[k][1] : chunks[k][2]])))
+                        size += len(rows[-1][-1])
+                if size > 8 << 20:
+                    yield told()
+                    size = 0
+        if rows:
+            yield told()
 
-def media_table(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, n_bytes and what was read back from its stored medium.
+    return Store(listed, kept(docs.select(F.col("text").cast("string")).mapInArrow(textscan.tidy(run), STORE)))
 
-    Null text is empty, a payload of 64 zero bytes; a null doc_id stays null;
-    repeated rows each give a row; further columns are ignored; an empty table
-    gives no rows. Equal texts have equal values.
+
+def read_media(store: Store, schema: str = "media binary", show: Callable[[bytes], tuple] | None = None) -> DataFrame:
+    """(medium, ...): each distinct medium's WAV file, put together and verified, or the columns that ``show`` makes of it.
+
+    A medium whose chunks are all its own is done where it is stored; those
+    with shared chunks meet them by digest, and then by medium.
     """
-    listed = kept(manifests(docs))
-    distinct = listed.groupBy("medium").agg(F.first("payload_sha256").alias("want"), F.first("chunks").alias("chunks"))
-    placed = distinct.select("medium", "want", F.size("chunks").alias("count"), F.posexplode("chunks").alias("seq", "digest"))
-    bodies = placed.join(chunk_store(docs), "digest").select("medium", "seq", "count", "want", "body")
+    show = show or (lambda media: (media,))
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = {"binary": pa.binary(), "long": pa.int64(), "string": pa.string()}
+    types = [kinds[x.split()[1]] for x in schema.split(", ")]
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.binary(), *types], strict=True)], ["medium", *names])
+
+    def done(medium: bytes, count: int, want: bytes, parts: dict[int, bytes]) -> tuple:
+        if set(parts) != set(range(count)):
+            raise ValueError("a chunk is missing")
+        payload = b"".join(parts[k] for k in range(count))
+        media = wav_header(len(payload)) + payload
+        if hashlib.sha256(wav_samples(media)).digest() != want:
+            raise ValueError("a rebuilt payload differs from the one that was stored")
+        return medium, *show(media)
+
+    def cut(seqs: list[int], sizes: list[int], body: bytes) -> dict[int, bytes]:
+        ends = np.cumsum([0, *sizes]).tolist()
+        return {k: body[i:j] for k, i, j in zip(seqs, ends[:-1], ends[1:], strict=True)}
 
     def single(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Media of one chunk are done where the chunk is; the rest passes on."""
         import zstandard
 
         for b in batches:
-            medium, _, count, want, body = (c.to_pylist() for c in b.columns)
-            done: list[list] = [[] for _ in _MEDIA_NAMES[1:]]
-            rest = []
-            for i, n in enumerate(count):
-                row = _stored(medium[i], zstandard.decompress(body[i]), want[i])[1:] if n == 1 else [None] * 6
-                rest.append(None if n == 1 else body[i])
-                for x, v in zip(done, row, strict=True):
-                    x.append(v)
-            arrays = [pa.array(x, k) for x, k in zip(done, _MEDIA_TYPES[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(rest, pa.binary()), *arrays], ["medium", "seq", "count", "want", "body", *_MEDIA_NAMES[1:]])
+            rows, size = [], 0
+            for medium, count, want, seqs, sizes, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                raw = zstandard.decompress(body) if seqs else b""
+                rows.append(done(medium, count, want, cut(seqs, sizes, raw)))
+                size += len(raw)
+                if size > 8 << 20:
+                    yield told(rows)
+                    rows, size = [], 0
+            if rows:
+                yield told(rows)
 
     def several(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by medium."""
+        """Rows come sorted by medium; a body's single place is a shared chunk's."""
         import zstandard
 
-        out: list[tuple] = []
-        held: list[tuple] = []
-
-        def told() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), _MEDIA_TYPES, strict=True)], _MEDIA_NAMES)
-            out.clear()
-            return made
-
+        at, count, want, parts, rows, size = None, 0, b"", {}, [], 0
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and held[0][0] != row[0]:
-                    out.append(_assemble(held))
-                    held = []
-                if row[2] == 1:
-                    out.append((row[0], *row[5:]))
+            for medium, n, sha, seqs, sizes, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if medium != at:
+                    if at is not None:
+                        rows.append(done(at, count, want, parts))
+                        size += sum(map(len, parts.values()))
+                    at, parts = medium, {}
+                    if size > 8 << 20:
+                        yield told(rows)
+                        rows, size = [], 0
+                raw = zstandard.decompress(body) if seqs else b""
+                if n is not None:
+                    count, want = n, sha
+                    parts.update(cut(seqs, sizes, raw))
                 else:
-                    held.append((*row[:4], zstandard.decompress(row[4])))
-            if len(out) > 2000:
-                yield told()
-        if held:
-            out.append(_assemble(held))
-        if out:
-            yield told()
+                    parts[seqs[0]] = raw
+        if at is not None:
+            rows.append(done(at, count, want, parts))
+        if rows:
+            yield told(rows)
+
+    columns = ["medium", "count", "want", "seqs", "sizes", "body"]
+    whole = store.bodies.filter("medium is not null").select(*columns)
+    alone = whole.filter(F.size("seqs") == F.col("count"))
+    apart = whole.filter(F.size("seqs") < F.col("count"))
+    bodies = store.bodies.filter("digest is not null").groupBy("digest").agg(F.first("body").alias("body"))
+    places = store.listed.groupBy("medium").agg(F.first("chunks").alias("chunks")).select("medium", F.posexplode("chunks").alias("seq", "digest"))
+    found = places.join(bodies, "digest").select("medium", F.lit(None).cast("int").alias("count"), F.lit(None).cast("binary").alias("want"), F.array("seq").alias("seqs"), F.lit(None).cast("array<int>").alias("sizes"), "body")
+    met = apart.union(found).repartition("medium").sortWithinPartitions("medium")
+    out = "medium binary, " + schema
+    return alone.mapInArrow(textscan.tidy(single), out).union(met.mapInArrow(textscan.tidy(several), out))
+
+
+COLUMNS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    part = "medium binary, seq int, count int, want binary, body binary, " + MEDIA.removeprefix("medium binary, ")
-    built = bodies.mapInArrow(textscan.tidy(single), part).repartition("medium").sortWithinPartitions("medium").mapInArrow(textscan.tidy(several), MEDIA)
-    built = built.withColumnRenamed("payload_sha256", "read_sha256").withColumnRenamed("medium", "built")
-    joined = listed.select("doc_id", "n_bytes", "medium").join(built, F.col("medium") == F.col("built"))
-    return joined.select("doc_id", "n_bytes", "payload_bytes", F.col("read_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature")
 
+def described(media: bytes) -> tuple:
+    """COLUMNS of a WAV file."""
+    samples = wav_samples(media)
+    return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)
+
+
+def media_files(docs: DataFrame) -> DataFrame:
+    """(doc_id, media): each document's verified WAV file; rows as in media_table."""
+    store = write_store(docs)
+    read = read_media(store).groupBy(F.col("medium").alias("built")).agg(F.first("media").alias("media"))
+    return store.listed.select("doc_id", "medium").join(read, F.col("medium") == F.col("built")).select("doc_id", "media")
+
+
+def media_table(docs: DataFrame) -> DataFrame:
+    """One row a document: doc_id, n_bytes and what was read back from its stored medium.
+
+    Null text is empty, a payload of 64 zero bytes; a null doc_id stays null;
+    repeated rows each give a row; further columns are ignored; an empty table
+    gives no rows. Equal texts have equal values.
+    """
+    store = write_store(docs)
+    # the same medium may be stored by several tasks; both sides are read anew, so Spark may split a medium that many documents have
+    read = read_media(store, COLUMNS, described)
+    names = [x.split()[0] for x in COLUMNS.split(", ")]
+    read = kept(read.groupBy(F.col("medium").alias("built")).agg(*[F.min(c).alias(c) for c in names]))
+    return store.listed.select("doc_id", "n_bytes", "medium").join(read, F.col("medium") == F.col("built")).select("doc_id", "n_bytes", *names)

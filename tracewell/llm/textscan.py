@@ -41,6 +41,26 @@ def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return kept_tidy
 
 
+class Seen:
+    """Digests that a task has met; beyond a bound it forgets them all, which costs repeats only."""
+
+    def __init__(self, most: int = 500_000):
+        self.most, self.held = most, set()
+
+    def first(self, digest: object) -> bool:
+        """Whether a digest is met for the first time."""
+        if digest in self.held:
+            return False
+        if len(self.held) >= self.most:
+            self.held = set()
+        self.held.add(digest)
+        return True
+
+    def fresh(self, found: np.ndarray) -> np.ndarray:
+        """The same for an array of them."""
+        return np.fromiter((self.first(x) for x in found.tolist()), bool, len(found))
+
+
 def release() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()
