@@ -1,6 +1,7 @@
 import datetime as dt
 
 import duckdb
+from pyspark.sql import functions as F
 
 from tracewell.llm import oracles, queries, url_lists
 
@@ -16,6 +17,16 @@ def test_oracle_agrees(spark):
     assert 0.1 < sum(r[3] for r in mine) / len(mine) < 0.95
 
 
+def test_hot_patterns_are_parted(spark):
+    captures = spark.range(4000).selectExpr("id AS page_id", "concat('http://h', if(id % 3 > 0, 0, id), '.x.com/', id % 5, '/', repeat('long', cast(id % 2 as int) * 20000)) AS url", "date '2024-02-02' AS fetched_at")
+    entries = spark.createDataFrame([("a", "x.com", D(2024, 1, 1), "add"), ("b", "h0.x.com", D(2024, 1, 1), "add"), ("c", "h0.x.com/3", D(2024, 3, 1), "add"), ("d", "h3.x.com/3", D(2024, 2, 2), "add")], "list string, pattern string, listed_at date, action string")
+    asked = captures.select(F.col("page_id").alias("capture"), F.col("page_id").alias("h"), F.explode(url_lists.patterns_of(F.col("url"))).alias("asked"))
+    salts = {r.hot: r.salts for r in url_lists.hot_patterns(asked, 8).collect()}
+    assert salts["x.com"] > 1 and salts["h0.x.com"] > 1 and "h3.x.com" not in salts
+    rows = {r.page_id: r.lists for r in url_lists.judge(captures, entries).collect()}
+    assert rows == {k: "a,b" if k % 3 or k == 0 else "a,d" if k == 3 else "a" for k in range(4000)}
+
+
 def test_intervals_and_ties(spark):
     entries = spark.createDataFrame(
         [("a", "x.com", D(2024, 1, 1), "add"), ("a", "x.com", D(2024, 2, 1), "remove"), ("a", "x.com", D(2024, 2, 1), "add"), ("a", "x.com", D(2024, 3, 1), "add"),

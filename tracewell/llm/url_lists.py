@@ -4,8 +4,10 @@ Dated entries (add or remove a pattern) become validity intervals: an add
 opens one that the pattern's next entry closes. A capture's URL gives its
 candidate patterns, the suffixes of its host and the prefixes of its path. An
 equi-join on the pattern with an as-of condition on time finds the active
-ones. One host may have most captures, so the join also has a salt: captures
-take one of ``SALTS`` values, and intervals, of which there are few, take all.
+ones. One host may have most captures, so a pattern that more captures ask for
+than a task's even share gets as many salts as it has shares: its captures take
+one of them, and its intervals, of which there are few, take all. Such patterns
+are at most as many as a capture's patterns times the tasks.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 16
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 PATH = r"^[a-z][a-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
@@ -51,11 +52,21 @@ def intervals(entries: DataFrame) -> DataFrame:
     return dated.filter("action = 'add'").select("list", "pattern", F.col("listed_at").alias("since"), "until")
 
 
+def hot_patterns(asked: DataFrame, tasks: int) -> DataFrame:
+    """(hot, salts): the patterns that more rows ask for than one of ``tasks`` even shares, and how many shares they have."""
+    counts = asked.groupBy("asked").agg(F.count("*").alias("n"))
+    rows = asked.select("capture", "h").agg(F.count("*").alias("rows"))
+    shares = F.ceil(F.col("n") * tasks / F.col("rows")).cast("int")
+    return counts.join(F.broadcast(rows)).select(F.col("asked").alias("hot"), shares.alias("salts")).filter("salts > 1")
+
+
 def active_entries(captures: DataFrame, entries: DataFrame, key: str = "page_id", url: str = "url", fetched: str = "fetched_at") -> DataFrame:
     """(key, list, pattern) of each capture's entries active at its fetch."""
-    salt = F.pmod(F.xxhash64(key, url, fetched), F.lit(SALTS)).cast("int").alias("salt")
-    asked = captures.select(F.col(key).alias("capture"), F.col(fetched).alias("at"), salt, F.explode(patterns_of(F.col(url))).alias("asked"))
-    valid = intervals(entries).withColumn("of_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    asked = captures.select(F.col(key).alias("capture"), F.col(fetched).alias("at"), F.xxhash64(key, url, fetched).alias("h"), F.explode(patterns_of(F.col(url))).alias("asked"))
+    hot = F.broadcast(hot_patterns(asked, int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    salts = F.coalesce("salts", F.lit(1))
+    asked = asked.join(hot, F.col("asked") == F.col("hot"), "left").withColumn("salt", F.pmod("h", salts).cast("int"))
+    valid = intervals(entries).join(hot, F.col("pattern") == F.col("hot"), "left").withColumn("of_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     met = (F.col("asked") == F.col("pattern")) & (F.col("salt") == F.col("of_salt")) & (F.col("at") >= F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until")))
     return asked.join(valid, met).select(F.col("capture").alias(key), "list", "pattern")
 
