@@ -116,6 +116,41 @@ def test_turns(spark):
     assert have == {k: v for k, v in want.items() if v}
 
 
+def test_odd_turns(spark):
+    long = "a very long turn " * 3000
+    rows = [(1, 2, "assistant", "two"), (1, 1, "user", "one one"), (1, 1, "assistant", "one"), (1, None, "user", "before all"), (2, 1, "assistant", None), (3, 1, None, ""), (4, 1, "assistant", long), (4, 2, "user", "end"),
+            (None, 1, "assistant", "alone"), (None, 1, "assistant", "alone"), (None, None, None, None), (5, 1, "user", "same"), (5, 1, "user", "same")]
+    df = spark.createDataFrame([(*r, 7, 8) for r in rows], "conv_id int, turn int, role string, text string, start long, loss long")
+    lim = packing.Limits(tokens=512, segments=3, loss=300)
+    got = packing.pack_turns(df, tokenizer_path(), lim).collect()
+    n = lambda t: len(plain_ids(t)) - 1
+    tokens, loss = {}, {}
+    for p in got:
+        tokens[p.conv_id] = tokens.get(p.conv_id, 0) + p.length
+        loss[p.conv_id] = loss.get(p.conv_id, 0) + p.loss_tokens
+    assert tokens == {1: n("two") + n("one one") + n("one") + n("before all"), 4: n(long) + n("end"), None: 2 * n("alone"), 5: 2 * n("same")}
+    assert loss == {1: n("two") + n("one"), 4: n(long), None: 2 * n("alone"), 5: 0}
+    assert sum(p.conv_id is None for p in got) == 2 and sum(p.conv_id == 4 for p in got) >= n(long) // 300
+    per = {}
+    for p in got:
+        per.setdefault(p.sequence_id, []).append(p)
+    assert all(sum(p.length for p in ps) <= 512 and sum(p.loss_tokens for p in ps) <= 300 and len(ps) <= 3 for ps in per.values())
+    assert packing.pack_turns(df.limit(0), tokenizer_path()).count() == 0
+
+
+def test_pieces_with_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = packing.pack_documents(docs, tokenizer_path(), with_ids=True).collect()
+    ids = {r.doc_id: plain_ids(r.text) for r in docs.collect()}
+    assert all(list(r.ids) == ids[r.doc_id][r.start : r.start + r.length] and r.ids_crc32 == zlib.crc32(np.asarray(r.ids, "<u4").tobytes()) for r in rows)
+    assert sum(r.length for r in rows) == sum(map(len, ids.values()))
+
+
+def test_ids_must_fit_their_type():
+    with pytest.raises(ValueError):
+        packing.WordIdCache(tokenizer_path(), "u1")
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from("abcdehinorstxyzßàáäçèéêñóöøüÿÉÀœŒ'’.,!-0 \n"), max_size=40))
 def test_words_of_letters(text):

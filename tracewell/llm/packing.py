@@ -326,16 +326,18 @@ def word_ids(path: str, dtype: str) -> WordIdCache:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Tokenize ``docs`` (doc_id, text) and pack every token into sequences, cutting freely.
 
-    One row a piece. Every token but the first of a document bears loss, as
-    nothing before it predicts the first. A null or empty text is the end id
-    alone; a null doc_id stays null; repeated rows are packed once each; extra
-    columns are ignored; an empty table gives no rows. Sequence ids are unique:
-    the task's number, times 2**32, plus a running number. A task that runs
-    again on the same split gives the same pieces.
+    One row a piece, ``with_ids`` with its ids. Every token but the first of a
+    document bears loss, as nothing before it predicts the first. A null or
+    empty text is the end id alone; a null doc_id stays null; repeated rows are
+    packed once each; extra columns are ignored; an empty table gives no rows.
+    Sequence ids are unique: the task's number, times 2**32, plus a running
+    number. A task that runs again on the same split gives the same pieces.
     """
+    schema = PIECES + ", ids array<int>" if with_ids else PIECES
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -346,16 +348,24 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), e
         end = np.asarray([end_id], "<u4").tobytes()
         packer = VectorPacker(limits, True, task << 32, lambda row, start, length: length - (start == 0))
         rows: list[tuple] = []
+        told: list[bytes] = []
 
         def keep(placed: Iterable[Placed]) -> None:
             for p in placed:
                 doc, ids = p.item.row
                 raw = ids[4 * p.item.start : 4 * (p.item.start + p.item.length)]
                 rows.append((doc, p.item.start, p.item.length, zlib.crc32(raw), len(ids) // 4, p.sequence, p.offset, p.item.loss))
+                if with_ids:
+                    told.append(raw)
 
         def batch() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
+            arrays = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
+            if with_ids:
+                ends = np.cumsum([0, *(len(x) // 4 for x in told)])
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(told), "<i4"))))
+            made = pa.RecordBatch.from_arrays(arrays, names)
             rows.clear()
+            told.clear()
             return made
 
         for b in batches:
@@ -369,7 +379,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), e
         if rows:
             yield batch()
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(textscan.tidy(pack), PIECES)
+    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(textscan.tidy(pack), schema)
 
 
 def pack_turns(conversations: DataFrame, tokenizer: str, limits: Limits = Limits(), loss_role: str = "assistant") -> DataFrame:
@@ -378,13 +388,21 @@ def pack_turns(conversations: DataFrame, tokenizer: str, limits: Limits = Limits
     Input: conv_id, turn, role, text. Only tokens of ``loss_role`` bear loss.
     A conversation is one segment; one that exceeds a limit alone gets
     sequences of its own, cut at its limits. Returns conv_id, start, length,
-    loss_tokens, sequence_id and offset a piece. Null turns sort first, null
-    text is empty.
+    loss_tokens, sequence_id and offset a piece, none of a conversation without
+    tokens. Turns come by number, null first; turns of one number, and rows
+    that repeat, come by whether they bear loss, then by text. Null text is
+    empty and a null role bears no loss. A row with a null conv_id is a
+    conversation of its own. Other columns are ignored; an empty table gives no
+    rows. A conversation streams through one task, which holds its tokens'
+    marks, a byte each.
     """
     from pyspark.sql import functions as F
 
-    turns = F.struct("turn", F.coalesce(F.col("role") == loss_role, F.lit(False)).alias("loss"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turns)).alias("turns"))
+    turns = conversations.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role") == loss_role, F.lit(False)).alias("loss"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    )
+    # rows without a conversation are dealt by their text, so that no task gets them all
+    dealt = turns.repartition(F.when(F.col("conv_id").isNull(), F.xxhash64("text", "turn")).otherwise(F.xxhash64("conv_id"))).sortWithinPartitions("conv_id", "turn", "loss", "text")
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -394,7 +412,7 @@ def pack_turns(conversations: DataFrame, tokenizer: str, limits: Limits = Limits
         encoder = word_ids(tokenizer, "<u4")
 
         def loss_of(row: tuple, start: int, length: int) -> int:
-            return int(row[1][start + length] - row[1][start])
+            return int(np.count_nonzero(row[1][start : start + length]))
 
         packer, rows = VectorPacker(limits, False, first, loss_of), []
         wide = VectorPacker(limits, True, first + (1 << 31), loss_of)
@@ -408,19 +426,28 @@ def pack_turns(conversations: DataFrame, tokenizer: str, limits: Limits = Limits
             rows.clear()
             return made
 
+        def add(conv: int | None, held: list[np.ndarray]) -> None:
+            marks = np.concatenate(held)
+            fits = len(marks) <= limits.tokens and np.count_nonzero(marks) <= limits.loss
+            keep((packer if fits else wide).add((conv, marks), len(marks)))
+
+        at, held = None, []
         for b in batches:
-            for conv, said in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encoder.encode([t["text"].encode() for t in said])
-                marks = np.repeat([t["loss"] for t in said], [len(x) // 4 for x in ids]) if said else np.zeros(0)
-                sums = np.concatenate([[0], np.cumsum(marks)])
-                n = len(sums) - 1
-                fits = n <= limits.tokens and sums[-1] <= limits.loss
-                keep((packer if fits else wide).add((conv, sums), n))
-            if len(rows) >= 4096:
-                yield batch()
+            for lo, hi, texts in textscan.texts(b.column(3)):
+                convs, loss = b.column(0)[lo:hi].to_pylist(), b.column(2)[lo:hi].to_pylist()
+                for conv, bears, ids in zip(convs, loss, encoder.encode(texts), strict=True):
+                    if held and (conv != at or conv is None):
+                        add(at, held)
+                        held = []
+                    at = conv
+                    held.append(np.full(len(ids) // 4, bears, bool))
+                if len(rows) >= 4096:
+                    yield batch()
+        if held:
+            add(at, held)
         keep(packer.finish())
         keep(wide.finish())
         if rows:
             yield batch()
 
-    return grouped.mapInArrow(textscan.tidy(pack), "conv_id long, start long, length long, loss_tokens long, sequence_id long, offset long")
+    return dealt.mapInArrow(textscan.tidy(pack), "conv_id long, start long, length long, loss_tokens long, sequence_id long, offset long")
