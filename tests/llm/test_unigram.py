@@ -32,9 +32,18 @@ def mine(text):
 
 
 def test_documents_equal_the_library(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(400)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = unigram.encode(docs, PATH).collect()
-    assert [list(r.ids) for r in rows] == library().encode([r.text for r in rows])
+    score = np.array([s for _, s, _ in unigram.zipf_pieces(PATH)])
+    exact = 0
+    for r, theirs in zip(rows, library().encode([r.text for r in rows]), strict=True):
+        # the library adds 32-bit scores over the whole text: multiples of 1/1024 are exact up to 2 ** 14, beyond that it may miss the best path
+        if list(r.ids) != theirs:
+            mine, other = score[list(r.ids)].sum(), score[theirs].sum()
+            assert other <= mine < -(2**14) and len(theirs) == len(r.ids), r.doc_id
+        else:
+            exact += 1
+    assert exact > 0.99 * len(rows)
     back = unigram.decode(unigram.encode(docs, PATH), PATH).collect()
     assert all(r.decoded == r.text for r in back)
 

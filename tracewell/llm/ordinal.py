@@ -97,7 +97,7 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -50, 50)))
 
 
-def fit(ids: np.ndarray, first: np.ndarray, grades: np.ndarray, levels: int, steps: int = 600, rate: float = 0.25, l1: float = 3e-4, l2: float = 1e-6, least: int = 8) -> Model:
+def fit(ids: np.ndarray, first: np.ndarray, grades: np.ndarray, levels: int, steps: int = 600, rate: float = 0.25, threshold_rate: float = 0.1, l1: float = 3e-4, l2: float = 1e-6, least: int = 8) -> Model:
     """Maximum likelihood of the cumulative-link model by AdaGrad over shuffled minibatches.
 
     Features of fewer than ``least`` rows keep weight 0. Epochs are as many
@@ -141,7 +141,7 @@ def fit(ids: np.ndarray, first: np.ndarray, grades: np.ndarray, levels: int, ste
             np.add.at(dt, y[y > 0] - 1, dl[y > 0])
             dt /= len(rows)
             gt += dt * dt
-            t = np.maximum.accumulate(t - 0.1 * dt / np.sqrt(gt))
+            t = np.maximum.accumulate(t - threshold_rate * dt / np.sqrt(gt))
     return Model(w.astype(np.float32), t)
 
 
