@@ -1,4 +1,5 @@
 import json
+import struct
 
 import pytest
 
@@ -37,7 +38,7 @@ def test_end_to_end(spark, folder):
 
 def test_command_line(spark, folder, capsys):
     main(["inspect", str(folder)])
-    main(["evaluate", str(folder), "--out", str(folder / "out"), "--min-hits", "1"])
+    main(["evaluate", str(folder), "--out", str(folder / "out"), "--min-hits", "1", "--pictures"])
     said = capsys.readouterr().out
     assert "total_detections: 10" in said
     report = json.loads((folder / "out/evaluation_CAM-09-A.json").read_text())
@@ -46,6 +47,9 @@ def test_command_line(spark, folder, capsys):
     text = (folder / "out/EVALUATION_REPORT_CAM_09.md").read_text()
     assert [line for line in text.split("\n") if line.startswith("### ")] == [f"### {k}. {s}" for k, s in enumerate(("Detection", "Tracking", "Trajectories", "Image space", "Ground space", "Both spaces compared", "Conservation", "Run"), 1)]
     assert text.count("| passed |") == 7 and "frames/s" in text and "## Limits" in text
+    for kind, size in (("dual", (1920 + 2700, 1080)), ("heatmap", (1920, 1080))):
+        data = (folder / f"out/{kind}_CAM-09-A.png").read_bytes()
+        assert data[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", data[16:24]) == size
     assert "sample annotation: {'seq_id': 'CAM-09-A', 'frame': 1, 'track_id': 1" in said and "sample detection" in said
 
 

@@ -35,6 +35,7 @@ def _args(args: list[str] | None) -> argparse.Namespace:
             q.add_argument("--scene", default="09", choices=("09", "02"))
         if name == "evaluate":
             q.add_argument("--out", default="reports")
+            q.add_argument("--pictures", action="store_true", help="also write PNG pictures")
     return p.parse_args(args)
 
 
@@ -98,13 +99,14 @@ def run(spark: SparkSession, got: argparse.Namespace) -> None:
 
 def evaluate(spark: SparkSession, got: argparse.Namespace) -> None:
     from tracewell.operators import audit
+    from tracewell.plans import pipeline
 
     told = []
     for folder in got.folders:
         e = _evaluation(spark, folder, got)
         e.time()
         name = e.frames.first().seq_id
-        for kind, path in e.save(got.out, name).items():
+        for kind, path in (e.save(got.out, name) | (pipeline.draw(e, got.out, name) if got.pictures else {})).items():
             print(f"{kind}: {path}")
         told.append((name, e))
     if len(told) > 1:
