@@ -93,6 +93,41 @@ def test_large_cells_recurse(spark):
     assert got(df) == want
 
 
+def test_regions_recurse(spark, monkeypatch):
+    """A group of far clusters, each still too large to join at once, and each of clusters that link little."""
+    rng, texts = random.Random(17), {}
+    for c in range(7):
+        base = [f"c{c}w{rng.randrange(400)}" for _ in range(90)]
+        for s in range(6):
+            inner = list(base)
+            for _ in range(7):
+                inner[rng.randrange(90)] = f"c{c}s{s}x{rng.randrange(10**6)}"
+            for k in range(9):
+                w = list(inner)
+                for _ in range(rng.randrange(4)):
+                    w[rng.randrange(90)] = f"e{rng.randrange(10**6)}"
+                texts[c * 1000 + s * 100 + k] = " ".join(w)
+    how = jaccard.Shingling()
+    levels, real = [], jaccard.to_pivots
+    monkeypatch.setattr(jaccard, "to_pivots", lambda *a: levels.append(1) or real(*a))
+    rows = []
+    import zstandard
+
+    for k, t in texts.items():
+        (h, first) = jaccard.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), 4)
+        rows.append((1, int(jaccard.digests(h, first)[0]), len(h), zstandard.compress(t.encode()), k))
+    members = spark.createDataFrame(rows, "cell long, d long, n int, text binary, k int")
+    links = jaccard.join_large(members.drop("k"), how, 12, 8)
+    assert len(levels) > 1
+    label = {r.node: r.label for r in components(links).collect()}
+    mine, want = {}, {}
+    for _, d, _, _, k in rows:
+        mine.setdefault(label.get(d, d), set()).add(k)
+    for k, (_, c) in plain_components(texts).items():
+        want.setdefault(c, set()).add(k)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values())) and 7 < len(want) < len(texts)
+
+
 def test_odd_rows(spark):
     odd = {1: None, 2: "", 3: " \n", 4: "One", 5: "one", 6: "a b c", 7: "A B C", 8: "a b c d", 9: "x y z w v " * 3000, 10: "x y z w v " * 2999, 11: "ÉCOLE a b c", 12: "école a b c"}
     df = spark.createDataFrame([(k, v, 1, 2) for k, v in odd.items()], "doc_id long, text string, cell int, d1 int")

@@ -24,8 +24,9 @@ linked sets x, y lie within t = 1 - r of each other, and:
    from it. Links to them join most of its sets to one component, whose inner
    pairs need no comparison. Each set has its home in the Voronoi region of its
    nearest pivot; every set outside that component also visits, as boundary
-   copy, each region whose pivot is within 2 t of its nearest one. A region is
-   a group like the first: joined where it is small enough, else with pivots of
+   copy, each region whose pivot is within 2 t of its nearest one. Sets at
+   ``FAR`` or more from every pivot have a region of their own. A region is a
+   group like the first: joined where it is small enough, else with pivots of
    its own. Regions that do not shrink are joined block by block.
 
 Sets are nodes named by a 64-bit digest of their shingles' 64-bit hashes; equal
@@ -60,7 +61,9 @@ COUNTERS, COUNTER_BLOCK = 1 << 22, 1 << 16
 #: a count from which a region may be too large for one task's window
 HOT = 1 << 16
 #: pivots of a recursion step, and steps
-PIVOTS, DEPTH = 16, 3
+PIVOTS, DEPTH = 16, 6
+#: distance to the nearest pivot from which a set is in no pivot's region
+FAR = 0.5
 #: members of a crowded cell that are streamed past its pivots in one part
 PART = 1024
 
@@ -447,9 +450,13 @@ PLACED = "cell long, d long, n int, text binary, side int, home int, near array<
 def to_pivots(inside: DataFrame, how: Shingling, pivots: int) -> DataFrame:
     """Members (cell, d, n, text, side) with their exact distances to pivots drawn from each cell put to use.
 
-    home: the nearest pivot; near: the pivots within 2 t of it; links: the
-    pivots that the member links to. Members of side 1 are drawn first. A cell
-    is dealt in parts, each led by all of its pivots, and streamed past them.
+    home: the nearest pivot, or -1 where none is nearer than FAR. near: the
+    regions in which a linked set can have its home. One at home with pivot p
+    is nearer than FAR to it, so p is within FAR + t of the member, and within
+    2 t of its nearest; one at home in -1 is only linked to members that are
+    FAR - t or more from all pivots. links: the pivots that the member links
+    to. Members of side 1 are drawn first. A cell is dealt in parts, each led
+    by all of its pivots, and streamed past them.
     """
     t = 1 - how.percent / 100
     parts = kept(inside.groupBy(F.col("cell").alias("of")).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
@@ -478,8 +485,9 @@ def to_pivots(inside: DataFrame, how: Shingling, pivots: int) -> DataFrame:
                 both = np.array([len(np.intersect1d(mine, p, assume_unique=True)) for p in held])
                 dist = 1 - both / np.maximum(lens + len(mine) - both, 1)
                 rows.append(i)
-                home.append(int(dist.argmin()))
-                near.append(np.flatnonzero(dist <= dist.min() + 2 * t + 1e-9).tolist())
+                least = dist.min()
+                home.append(int(dist.argmin()) if least < FAR else -1)
+                near.append([*np.flatnonzero(dist <= min(least + 2 * t, FAR + t) + 1e-9).tolist(), *([-1] if least >= FAR - t - 1e-9 else [])])
                 links.append([named[k] for k in np.flatnonzero(how.linked(both, lens, len(mine))) if named[k] != ds[i]])
             own = [b.column(k).take(pa.array(rows, pa.int64())) for k in (0, 3, 4, 5, 6)]
             made = [pa.array(home, pa.int32()), pa.array(near, pa.list_(pa.int32())), pa.array(links, pa.list_(pa.int64()))]
@@ -489,18 +497,18 @@ def to_pivots(inside: DataFrame, how: Shingling, pivots: int) -> DataFrame:
 
 
 def regions(placed: DataFrame, joined: DataFrame) -> DataFrame:
-    """(cell, d, n, text, side, parent): the Voronoi regions of each cell that still have pairs to compare.
+    """(cell, d, n, text, side, of, parent): the Voronoi regions of each cell, with the cell and its size.
 
     ``joined`` (node, label) has the components of the links found so far. Of
     each cell the component with most sets is settled within itself: its
-    members have side 0 and visit no region. A region without others goes.
+    members have side 0 and visit no region.
     """
     rows = placed.join(joined, placed["d"] == joined["node"], "left").withColumn("label", F.coalesce("label", "d"))
     counts = rows.groupBy("cell", "label").agg(F.count("*").alias("k")).groupBy("cell").agg(F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("parent"))
     rows = rows.join(counts.select("cell", F.col("m.label").alias("main"), "parent"), "cell").withColumn("side", (F.col("label") != F.col("main")).cast("int"))
     at = F.explode(F.when(F.col("side") > 0, F.col("near")).otherwise(F.array("home")))
     rows = rows.select(F.col("cell").alias("of"), "d", "n", "text", "side", "parent", at.alias("region"))
-    return rows.select(F.xxhash64("of", "region").alias("cell"), "d", "n", "text", "side", "parent")
+    return rows.select(F.xxhash64("of", "region").alias("cell"), "d", "n", "text", "side", "of", "parent")
 
 
 def blocks(rows: DataFrame, cell: int) -> DataFrame:
@@ -528,24 +536,28 @@ def blocks(rows: DataFrame, cell: int) -> DataFrame:
 def join_large(members: DataFrame, how: Shingling, cell: int, pivots: int, depth: int = DEPTH) -> DataFrame:
     """Links (a, b) of sets within groups of any size, (cell, d, n, text), by Voronoi regions, recursively.
 
-    A region is joined at once when it has at most ``cell`` members, gets
-    pivots of its own while it has at most a quarter of its parent's, and is
-    joined by blocks otherwise.
+    A region is joined at once when it has at most ``cell`` members. A larger
+    one gets pivots of its own while it has at most three quarters of its
+    parent's members, and such regions together at most twice as many as it;
+    else it is joined by blocks. A region without open members goes.
     """
-    rows, found = members.withColumn("side", F.lit(1)), None
+    rows, found, parts = members.withColumn("side", F.lit(1)), None, None
     for level in range(depth):
         placed = kept(to_pivots(rows, how, pivots))
         links = placed.select(F.col("d").alias("a"), F.explode("links").alias("b"))
-        found = kept(links if found is None else found.union(links).distinct())
-        parts = kept(regions(placed, components(found)))
-        drop(placed)
-        sizes = parts.groupBy("cell").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.sum("side").alias("guests"), F.sum(F.col("n") * F.col("side")).alias("guest_weight"), F.max("parent").alias("of"))
+        before, found = found, kept(links if found is None else found.union(links).distinct())
+        done, parts = parts, kept(regions(placed, components(found)))
+        drop(placed, *([done, before] if level else []))
+        sizes = parts.groupBy("cell").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.sum("side").alias("guests"), F.sum(F.col("n") * F.col("side")).alias("guest_weight"), F.max("of").alias("of"), F.max("parent").alias("parent"))
         sizes = sizes.filter("guests > 0")
         fits = (F.col("size") <= cell) & ((F.col("weight") <= CELL_SHINGLES) | (F.col("size") <= 2))
-        again = (4 * F.col("size") <= F.col("of")) if level + 1 < depth else F.lit(False)
-        sizes = kept(sizes.withColumn("next", F.when(fits, "join").when(again, "regions").otherwise("blocks")).drop("of"))
+        shrunk = (4 * F.col("size") <= 3 * F.col("parent")) if level + 1 < depth else F.lit(False)
+        sizes = sizes.withColumn("next", F.when(fits, "join").when(shrunk, "regions").otherwise("blocks"))
+        together = F.sum(F.when(F.col("next") == "regions", F.col("size"))).over(Window.partitionBy("of"))
+        sizes = kept(sizes.withColumn("next", F.when((F.col("next") == "regions") & (together > 2 * F.col("parent")), "blocks").otherwise(F.col("next"))).drop("of", "parent"))
         sized = parts.join(sizes, "cell")
-        found = kept(found.union(join_cells(sized.filter("next = 'join'"), how)).union(join_cells(blocks(sized.filter("next = 'blocks'"), cell), how)).distinct())
+        before, found = found, kept(found.union(join_cells(sized.filter("next = 'join'"), how)).union(join_cells(blocks(sized.filter("next = 'blocks'"), cell), how)).distinct())
+        drop(before)
         if not sizes.filter("next = 'regions'").take(1):
             break
         rows = sized.filter("next = 'regions'").select("cell", "d", "n", "text", "side")
@@ -610,7 +622,9 @@ def groups(docs: DataFrame, how: Shingling = Shingling(), cell: int = CELL, pivo
         edges = join_cells(few.withColumn("side", F.lit(1)), how).union(join_large(members.filter("large").drop("large").dropDuplicates(["cell", "d"]), how, cell, pivots))
     else:
         edges = join_cells(members.withColumn("side", F.lit(1)), how)
-    linked = components(kept(edges))
+    edges = kept(edges)
+    linked = components(edges)
+    drop(edges, wanted, large, *([members] if hasattr(members, "kept_at") else []))
     # the least row of each component stands for it
     known = first.select(F.col("d"), "least", "rep")
     inside = kept(linked.join(known, linked["node"] == known["d"]).select("d", "label", "least", "rep"))
