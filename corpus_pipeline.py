@@ -69,7 +69,12 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every token of every document, packed into sequences; one row a piece."""
+    """Every token of every document, packed into sequences; one row a piece.
+
+    A null or empty text is the end id alone; repeated rows are packed once
+    each; a null doc_id stays null; other columns go; an empty table gives no
+    rows.
+    """
     return packing.pack_documents(docs, tokenizer_path())
 
 
