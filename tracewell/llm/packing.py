@@ -200,7 +200,7 @@ class WordIdCache:
     it keeps those of the texts at hand, so its memory is bounded.
     """
 
-    def __init__(self, path: str, dtype: str, separator: str = "<|endoftext|>", most: int = 300_000):
+    def __init__(self, path: str, dtype: str, separator: str = "<|endoftext|>", most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -313,7 +313,7 @@ class WordIdCache:
         return out
 
 
-_caches: dict[tuple[str, str], WordIdCache] = {}
+_caches: dict[tuple[str, str], WordIdCache] = textscan.CACHES.setdefault("words", {})
 
 
 def word_ids(path: str, dtype: str) -> WordIdCache:
@@ -379,7 +379,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), e
         if rows:
             yield batch()
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(textscan.tidy(pack), schema)
+    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(textscan.tidy(pack, "words"), schema)
 
 
 def pack_turns(conversations: DataFrame, tokenizer: str, limits: Limits = Limits(), loss_role: str = "assistant") -> DataFrame:
@@ -450,4 +450,4 @@ def pack_turns(conversations: DataFrame, tokenizer: str, limits: Limits = Limits
         if rows:
             yield batch()
 
-    return dealt.mapInArrow(textscan.tidy(pack), "conv_id long, start long, length long, loss_tokens long, sequence_id long, offset long")
+    return dealt.mapInArrow(textscan.tidy(pack, "words"), "conv_id long, start long, length long, loss_tokens long, sequence_id long, offset long")

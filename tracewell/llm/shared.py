@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.llm import textscan
+
 
 @functools.cache
 def _own() -> str:
@@ -76,6 +78,6 @@ class KeyFilter:
                 for b in batches:
                     yield b.filter(pa.array(self.passes(b.column(at).to_numpy()) == passing))
 
-            return rows.mapInArrow(run, rows.schema)
+            return rows.mapInArrow(textscan.tidy(run), rows.schema)
 
         return keep(False), keep(True)

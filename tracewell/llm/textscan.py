@@ -26,16 +26,24 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: caches that a worker keeps from task to task, by the operator's name
+CACHES: dict[str, dict] = {}
+
+
+def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], cache: str | None = None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The same function for mapInArrow; when its task ends, freed memory goes back to the system.
 
-    Python workers stay for later tasks, also of other operators, and would keep it.
+    Python workers stay for later tasks, also of other operators, and would
+    keep it; of the caches, the one named ``cache`` alone stays.
     """
 
     def kept_tidy(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
+            for name, held in CACHES.items():
+                if name != cache:
+                    held.clear()
             release()
 
     return kept_tidy

@@ -54,7 +54,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, separator: int = SE
         if run:
             yield told()
 
-    ids = docs.select(F.col("text").cast("string")).mapInArrow(textscan.tidy(runs), "ids binary")
+    ids = docs.select(F.col("text").cast("string")).mapInArrow(textscan.tidy(runs, "words"), "ids binary")
     ids.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", end.decode("utf-8")).option("maxRecordsPerFile", RUNS_A_FILE).text(path)
 
 

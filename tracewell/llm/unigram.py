@@ -301,7 +301,7 @@ class Segmenter:
         return self._bytes(ids[::-1], spans[::-1], w)
 
 
-_made: dict[str, Segmenter] = {}
+_made: dict[str, Segmenter] = textscan.CACHES.setdefault("pieces", {})
 
 
 def segmenter(path: str) -> Segmenter:
@@ -330,7 +330,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 ids = [np.frombuffer(i, "<u4").astype(np.int32) if there else None for there, i in zip(known, seg.encode(texts), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], [*kept, "ids"])
 
-    return docs.select(*kept).mapInArrow(textscan.tidy(run), docs.select(*kept).schema.add("ids", T.ArrayType(T.IntegerType())))
+    return docs.select(*kept).mapInArrow(textscan.tidy(run, "pieces"), docs.select(*kept).schema.add("ids", T.ArrayType(T.IntegerType())))
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
@@ -346,7 +346,7 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
                 texts = [None if x.as_py() is None else seg.decode(np.asarray(x.values)) for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*kept, "decoded"])
 
-    return tokens.select(*kept).mapInArrow(textscan.tidy(run), tokens.select(*kept).schema.add("decoded", "string"))
+    return tokens.select(*kept).mapInArrow(textscan.tidy(run, "pieces"), tokens.select(*kept).schema.add("decoded", "string"))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -373,4 +373,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], *made, pa.array(same)], ["doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(textscan.tidy(run), "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean")
+    return rows.mapInArrow(textscan.tidy(run, "pieces"), "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean")
