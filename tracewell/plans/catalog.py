@@ -651,7 +651,7 @@ def cross_space_visits(spark, sf):
 
 
 def _audited(spark, sf) -> DataFrame:
-    points = FOOT(spark, sf)
+    points = files.kept(FOOT(spark, sf))
     g = ground.project(points, C09)
     m, gm = zones.memberships(points, presets.ZONES_09), zones.ground_memberships(g, presets.GROUND_09)
     cells, gcells = heatmaps.image_cells(points, presets.CANVAS), heatmaps.ground_cells(g, presets.GRID_09)
@@ -677,7 +677,8 @@ _BROKEN = ["(SELECT count(*) FROM tracks WHERE confidence < 0.1)", "a + s", "s",
     "broken AS (SELECT count(*) FILTER (confidence >= 0.9) AS a, count(*) FILTER (x < 0) AS s FROM foot)"))
 def invariants(spark, sf):
     """Over tables with faults put in: lost tracks, repeated and stray points, missing memberships, overfull visits, cells without a status."""
-    t, p = T(spark, sf), FOOT(spark, sf)
+    t = files.kept(T(spark, sf))
+    p = tracks.footpoints(t)
     points = p.unionByName(p.filter("confidence >= 0.9")).unionByName(p.filter("x < 0").withColumn("frame_index", F.col("frame_index") + 100_000))
     m = zones.memberships(p, presets.ZONES_09)
     v = zones.visits(m, presets.DWELL).withColumn("observation_count", F.when(F.col("zone_id") == "Zone_Left", F.col("observation_count") + 1000).otherwise(F.col("observation_count")))

@@ -22,6 +22,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{(base or _own()).rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The same rows, written to and read from the shared folder, for tables that several others are made from."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _found(spark: SparkSession, path: str):
     """The file system of a path and the path, as the JVM has them."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
