@@ -146,6 +146,21 @@ def test_pieces_with_ids(spark):
     assert sum(r.length for r in rows) == sum(map(len, ids.values()))
 
 
+@pytest.mark.parametrize("dtype", ["<u4", ">u2"])
+def test_many_words_and_a_full_cache(dtype):
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdeinorstE.,é1"))
+    texts = [" ".join("".join(letters[rng.integers(0, 16, rng.integers(1, 9))]) for _ in range(900)) for _ in range(60)]
+    texts += ["<|x|> tok<|endoftext|>en. <| A. b! C? .. é. <|", "", " \n"]
+    for most in (1_200_000, 3000):
+        cache = packing.WordIdCache(tokenizer_path(), dtype, most=most)
+        for at in range(0, len(texts), 7):
+            part = texts[at : at + 7]
+            for t, raw in zip(part, cache.encode([t.encode() for t in part]), strict=True):
+                assert np.frombuffer(raw, dtype).tolist() == plain_ids(t)[:-1]
+        assert most < 10_000 or cache.filled > 1 << 16
+
+
 def test_ids_must_fit_their_type():
     with pytest.raises(ValueError):
         packing.WordIdCache(tokenizer_path(), "u1")

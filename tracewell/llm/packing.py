@@ -18,10 +18,10 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +74,7 @@ class VectorPacker:
         self.limits, self.cut, self.next = limits, cut, first_sequence
         self.loss_of = loss_of or (lambda row, start, length: length)
         self.classes: dict[tuple[int, int], deque[Item]] = {}
+        self.order: list[tuple[int, int]] = []  # the classes' keys, ascending
         self.waiting = 0
         self.tokens = 0
         self.cap = np.array([limits.tokens, limits.segments, limits.loss], float)
@@ -126,7 +127,7 @@ class VectorPacker:
                 offset, segments, loss = offset + take, segments + 1, loss + head.loss
                 if rest:
                     left.appendleft(rest)
-        self.classes, self.waiting, self.tokens = {}, 0, 0
+        self.classes, self.order, self.waiting, self.tokens = {}, [], 0, 0
 
     def _open(self) -> int:
         self.next += 1
@@ -134,7 +135,10 @@ class VectorPacker:
 
     def _queue(self, x: Item) -> None:
         key = (x.length // self.STEP, x.loss // self.STEP)
-        self.classes.setdefault(key, deque()).append(x)
+        if key not in self.classes:
+            self.classes[key] = deque()
+            insort(self.order, key)
+        self.classes[key].append(x)
         self.waiting += 1
         self.tokens += x.length
 
@@ -143,6 +147,7 @@ class VectorPacker:
         x = queue.popleft()
         if not queue:
             del self.classes[key]
+            del self.order[bisect_left(self.order, key)]
         self.waiting -= 1
         self.tokens -= x.length
         return x
@@ -170,19 +175,21 @@ class VectorPacker:
         while tokens and segments and self.waiting:
             best, score = None, -1.0
             a, b, c = tokens / lim.tokens**2, segments / lim.segments**2, loss / lim.loss**2
-            for key, queue in self.classes.items():
-                x = queue[0]
-                if x.length <= tokens and x.loss <= loss:
-                    s = a * x.length + b + c * x.loss
-                    if s > score or s == score and key > best:
-                        best, score = key, s
+            # from the longest class that may fit; no item has more loss than tokens, which bounds what shorter ones score
+            for at in range(bisect_left(self.order, (tokens // self.STEP + 1,)) - 1, -1, -1):
+                key = self.order[at]
+                if (a + c) * (key[0] + 1) * self.STEP + b < score:
+                    break
+                x = self.classes[key][0]
+                if x.length <= tokens and x.loss <= loss and (s := a * x.length + b + c * x.loss) > score:
+                    best, score = key, s
             if best is None:
                 break
             x = self._take(best)
             yield Placed(x, sequence, offset)
             offset, tokens, segments, loss = offset + x.length, tokens - x.length, segments - 1, loss - x.loss
         if self.cut and tokens and segments and self.waiting:
-            x = self._take(max(self.classes))
+            x = self._take(self.order[-1])
             take = self._fit(x.row, x.start, x.length, tokens, loss)
             head, rest = self._split(x, take) if take else (None, x)
             if head:
@@ -192,25 +199,32 @@ class VectorPacker:
 
 
 class WordIdCache:
-    """Token ids of words as little-endian unsigned bytes, by a public tokenizer.
+    """Token ids of words, by a public tokenizer.
 
     For tokenizers that drop white space, the ids of a text are those of its
-    white-space separated words, end to end. Unknown words are encoded in one
-    call, parted by a special token. The cache holds ``most`` words; when full
-    it keeps those of the texts at hand, so its memory is bounded.
+    white-space separated words, end to end. Words are told apart by 64-bit
+    hashes. Unknown ones are encoded in one call, parted by a special token.
+    The cache holds ``most`` words; when full it starts anew, so its memory is
+    bounded.
     """
 
-    def __init__(self, path: str, dtype: str, separator: str = "<|endoftext|>", most: int = 500_000):
+    def __init__(self, path: str, dtype: str, separator: str = "<|endoftext|>", most: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > np.iinfo(dtype).max + 1:
             raise ValueError(f"the tokenizer has ids beyond {dtype}")
-        self.separator, self.dtype, self.most = separator, dtype, most
+        self.separator, self.dtype, self.most = separator, np.dtype(dtype), most
+        self.kind = self.dtype.newbyteorder("=")  # numpy's functions return native bytes whatever they are given
         self.separator_id = self.tokenizer.token_to_id(separator)
-        self.known: dict[bytes, bytes] = {}
-        self.marks = {c.encode(): self._ids(c) for c in ".,;:!?"}
+        self.marks = {ord(c): self._ids(c) for c in ".,;:!?"}
         self.direct = self._merges_alone(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        #: hashes of the known words, ascending, and where their ids lie in the pool
+        self.names, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool, self.filled = np.zeros(1 << 16, self.kind), 0
 
     #: UTF-8 of lower-case letters of ASCII and Latin-1
     LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
@@ -239,78 +253,145 @@ class WordIdCache:
         same = direct.encode(spelled, is_pretokenized=True, add_special_tokens=False).ids == self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
         return direct if same else None
 
-    def _ids(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _stem(self, word: bytes) -> bytes:
-        """A word whose ids begin those of the given one: lower case, without one closing mark after an ASCII letter."""
-        if word[-1:] in self.marks and word[-2:-1].isalpha():
-            word = word[:-1]
-        return word.lower()
-
-    def _learn_text(self, words: list[bytes]) -> None:
-        """Words of any kind, parted by the separator, through the whole tokenizer."""
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def _put(self, ids: np.ndarray) -> int:
+        """Append to the pool; the place of the first."""
+        at = self.filled
+        if at + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[:at], np.zeros(at + len(ids), self.kind)])
+        self.pool[at : at + len(ids)] = ids
+        self.filled += len(ids)
+        return at
+
+    def _text_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(places, sizes) of the ids of words of any kind, parted by the separator, through the whole tokenizer."""
+        starts, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
             text = self.separator.join([w.decode("utf-8", "replace") for w in part])
-            ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
             cuts = np.flatnonzero(ids == self.separator_id)
             if len(cuts) != len(part) - 1:
                 raise ValueError("the separator was not kept apart")
-            size, raw = ids.itemsize, ids.tobytes()
-            edges = [0, *((cuts + 1) * size).tolist(), len(raw) + size]
-            self.known.update((w, raw[edges[i] : edges[i + 1] - size]) for i, w in enumerate(part))
-
-    def _learn_letters(self, words: list[bytes]) -> None:
-        """Words of lower-case Latin letters alone: what comes before the merges leaves them whole."""
+            first = np.concatenate([[0], cuts + 1])
+            sizes.append(np.concatenate([cuts, [len(ids)]]) - first)
+            starts.append(self._put(ids) + first)
+        return np.concatenate(starts), np.concatenate(sizes)
+
+    def _letter_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words of lower-case Latin letters alone: what comes before the merges leaves them whole."""
+        starts, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
             joined = b" ".join(part).decode("latin-1")
             if not joined.isascii():
                 joined = joined.translate(self.spelling)
-            spelled = joined.split(" ")
-            ids = np.asarray(self.direct.encode_batch_fast([spelled], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int64)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part):
+            ids = np.asarray(self.direct.encode_batch_fast([joined.split(" ")], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
                 raise ValueError("a word's end was not marked")
-            ids = ids.astype(self.dtype)
-            size, raw = ids.itemsize, ids.tobytes()
-            edges = [0, *(cuts * size).tolist()]
-            self.known.update((w, raw[edges[i] : edges[i + 1]]) for i, w in enumerate(part))
-
-    def learn(self, words: set[bytes]) -> None:
-        """Make the ids of these unknown words known."""
-        new = words
-        special = {w for w in new if b"<|" in w}
-        stems = {w: self._stem(w) for w in new if w not in special} if special else {w: self._stem(w) for w in new}
-        missing = set(stems.values()).difference(self.known)
-        if self.direct is not None:
-            ascii_words = [w for w in missing if w.isalpha()]  # of bytes: ASCII letters alone, lower case in stems
-            missing.difference_update(ascii_words)
-            accented = [w for w in missing if self.LETTERS.fullmatch(w)]
-            missing.difference_update(accented)
-            self._learn_letters(ascii_words)
-            self._learn_letters(accented)
-        self._learn_text(list(missing))
-        known = self.known
-        for w, stem in stems.items():
-            known[w] = known[stem] if len(w) == len(stem) else known[stem] + self.marks[w[-1:]]
-        for w in special:
-            known[w] = self._ids(w.decode("utf-8", "replace"))
+            first = np.concatenate([[0], ends[:-1]])
+            sizes.append(ends - first)
+            starts.append(self._put(ids.astype(self.kind)) + first)
+        return np.concatenate(starts), np.concatenate(sizes)
+
+    def _find(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of the known words, whether each hash is known)."""
+        if not len(self.names):
+            return np.zeros(len(names), np.int64), np.zeros(len(names), bool)
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        return at, self.names[at] == names
+
+    def _know(self, names: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Add words that are not known, by ascending hash."""
+        at = np.searchsorted(self.names, names)
+        self.names, self.starts, self.sizes = (np.insert(old, at, new) for old, new in ((self.names, names), (self.starts, starts), (self.sizes, sizes)))
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, names: np.ndarray) -> None:
+        """Make the ids of unknown words known: data[starts:ends], each once.
+
+        Most have the ids of their stem, the word in lower case, without one
+        closing mark after an ASCII letter, and then those of the mark.
+        """
+        low = _LOWER[data]
+        marked = (ends - starts > 1) & _MARK[data[ends - 1]] & _LETTER[data[np.maximum(ends - 2, 0)]]
+        special = np.zeros(len(starts), bool)
+        if len(opens := np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))):  # what may be a special token
+            special = np.searchsorted(opens, starts) < np.searchsorted(opens, ends - 1)
+        stem_ends = ends - marked
+        stems = textscan.Words(low, np.zeros(1, np.int64), starts, stem_ends, starts).hashes()
+        plain = np.flatnonzero(~special)
+        fresh, first = np.unique(stems[plain], return_index=True)
+        new = ~self._find(fresh)[1]
+        fresh, rows = fresh[new], plain[first[new]]
+        raw = low.tobytes()
+        words = [raw[i:j] for i, j in zip(starts[rows].tolist(), stem_ends[rows].tolist(), strict=True)]
+        kind = np.array([0 if w.isalpha() else 1 if self.LETTERS.fullmatch(w) else 2 for w in words], np.int8) if self.direct is not None else np.full(len(words), 2, np.int8)
+        put, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for k in range(3):
+            at = np.flatnonzero(kind == k)
+            if len(at):
+                put[at], size[at] = (self._text_ids if k == 2 else self._letter_ids)([words[i] for i in at.tolist()])
+        self._know(fresh, put, size)
+        # words that are their stems are known by now
+        other = np.flatnonzero(~special & (names != stems))
+        row, _ = self._find(stems[other])
+        put, size = self.starts[row], self.sizes[row].astype(np.int64)
+        for c, ids in self.marks.items():
+            at = np.flatnonzero(marked[other] & (data[ends[other] - 1] == c))
+            if len(at):
+                n = size[at] + len(ids)
+                made = self.pool[_runs(put[at], n) % len(self.pool)]
+                close = np.cumsum(n)
+                for k in range(len(ids)):
+                    made[close - len(ids) + k] = ids[k]
+                put[at], size[at] = self._put(made) + close - n, n
+        odd = np.flatnonzero(special)
+        ids = [self._ids(data[starts[k] : ends[k]].tobytes().decode("utf-8", "replace")) for k in odd.tolist()]
+        names = np.concatenate([names[other], names[odd]])
+        put, size = np.concatenate([put, np.array([self._put(x) for x in ids], np.int64)]), np.concatenate([size, np.array([len(x) for x in ids], np.int64)])
+        order = np.argsort(names)
+        order = order[~self._find(names[order])[1]]
+        self._know(names[order], put[order], size[order])
+
+    def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first): ids[first[d] : first[d + 1]] are those of document d, of texts that lie end to end."""
+        words = textscan.scan(data, offsets)
+        names, at, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        known = self._find(names)[1]
+        if len(self.names) + 2 * (len(names) - known.sum()) > self.most:
+            self._forget()
+            known[:] = False
+        if not known.all():
+            new = at[~known]
+            self._learn(data, words.starts[new], words.ends[new], names[~known])
+        row, _ = self._find(names)
+        sizes = self.sizes[row][back]
+        ids = self.pool[_runs(self.starts[row][back], sizes)].astype(self.dtype, copy=False)
+        return ids, np.concatenate([[0], np.cumsum(sizes)])[words.first]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, end to end, as bytes."""
-        out = []
-        for at in range(0, len(texts), 256):
-            split = [t.split() for t in texts[at : at + 256]]
-            missing = set(filterfalse(self.known.__contains__, chain.from_iterable(split)))
-            if len(self.known) + 2 * len(missing) > self.most:
-                # forget all but what is in use just now
-                self.known = {w: self.known[w] for w in set(chain.from_iterable(split)).difference(missing)}
-            self.learn(missing)
-            get = self.known.__getitem__
-            out += [b"".join(map(get, words)) for words in split]
-        return out
+        offsets = np.cumsum([0, *map(len, texts)])
+        ids, first = self.encode_block(np.frombuffer(b"".join(texts), np.uint8), offsets)
+        return [ids[i:j].tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[k], starts[k] + 1, ... of runs of the given sizes, one after the other."""
+    sizes = sizes.astype(np.int64)
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 _caches: dict[tuple[str, str], WordIdCache] = textscan.CACHES.setdefault("words", {})
@@ -369,9 +450,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), e
             return made
 
         for b in batches:
-            for lo, hi, texts in textscan.texts(b.column(1)):
-                for doc, raw in zip(b.column(0)[lo:hi].to_pylist(), encoder.encode(texts), strict=True):
-                    raw += end
+            for lo, hi, data, offsets in textscan.chunks(b.column(1)):
+                ids, first = encoder.encode_block(data, offsets)
+                for doc, i, j in zip(b.column(0)[lo:hi].to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    raw = ids[i:j].tobytes() + end
                     keep(packer.add((doc, raw), len(raw) // 4))
                 if len(rows) >= 4096:
                     yield batch()
