@@ -7,21 +7,20 @@ costs one round. No link or label reaches the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.shared import drop, kept
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over (a, b) with a > b."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("at"), F.least("a", "m").alias("m"))
-    joined = both.join(least, both["a"] == least["at"])
+    """One star step over (a, b) with a > b: one shuffle by node. Rows may repeat."""
+    least = F.least("a", F.min("b").over(Window.partitionBy("a")))
     if large:
-        return joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-    kept = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return kept.union(least.select(F.col("at").alias("a"), F.col("m").alias("b"))).distinct()
+        both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+        return both.select("a", "b", least.alias("m")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    joined = edges.select("a", "b", least.alias("m"))
+    return joined.select(F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))).filter("a <> b")
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -29,7 +28,7 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     before = held = None
     for _ in range(rounds):
-        edges = kept(_star(_star(edges, True), False))
+        edges = kept(_star(_star(edges, True), False).distinct())
         seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if held is not None:
             drop(held)

@@ -444,7 +444,9 @@ def candidates(found: DataFrame, first: DataFrame, how: Shingling, thin: int) ->
     return pairs if edges is None else pairs.union(edges)
 
 
-PLACED = "cell long, d long, n int, text binary, side int, home int, near array<int>, links array<long>"
+PLACED = "cell long, d long, n int, text binary, side int, home int, near array<int>, links array<long>, linked long"
+#: the bit of members that were settled before
+SETTLED = 1 << 62
 
 
 def to_pivots(inside: DataFrame, how: Shingling, pivots: int) -> DataFrame:
@@ -455,7 +457,8 @@ def to_pivots(inside: DataFrame, how: Shingling, pivots: int) -> DataFrame:
     is nearer than FAR to it, so p is within FAR + t of the member, and within
     2 t of its nearest; one at home in -1 is only linked to members that are
     FAR - t or more from all pivots. links: the pivots that the member links
-    to. Members of side 1 are drawn first. A cell is dealt in parts, each led
+    to; linked: their bits and its own, if it is a pivot. There are at most 62
+    pivots. Members of side 1 are drawn first. A cell is dealt in parts, each led
     by all of its pivots, and streamed past them.
     """
     t = 1 - how.percent / 100
@@ -471,8 +474,8 @@ def to_pivots(inside: DataFrame, how: Shingling, pivots: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, named, held, lens = None, [], [], np.zeros(0)
         for b in batches:
-            home, near, links, rows = [], [], [], []
-            cell, part, member, ds = (b.column(k).to_pylist() for k in range(4))
+            home, near, links, bits, rows = [], [], [], [], []
+            cell, part, member, ds, side = (b.column(k).to_pylist() for k in (0, 1, 2, 3, 6))
             for i, text in enumerate(b.column(5)):
                 if (cell[i], part[i]) != at:
                     at, named, held = (cell[i], part[i]), [], []
@@ -488,27 +491,38 @@ def to_pivots(inside: DataFrame, how: Shingling, pivots: int) -> DataFrame:
                 least = dist.min()
                 home.append(int(dist.argmin()) if least < FAR else -1)
                 near.append([*np.flatnonzero(dist <= min(least + 2 * t, FAR + t) + 1e-9).tolist(), *([-1] if least >= FAR - t - 1e-9 else [])])
-                links.append([named[k] for k in np.flatnonzero(how.linked(both, lens, len(mine))) if named[k] != ds[i]])
+                met = np.flatnonzero(how.linked(both, lens, len(mine))).tolist()
+                links.append([named[k] for k in met if named[k] != ds[i]])
+                bits.append(sum(1 << k for k in met) | (0 if side[i] else SETTLED))
             own = [b.column(k).take(pa.array(rows, pa.int64())) for k in (0, 3, 4, 5, 6)]
-            made = [pa.array(home, pa.int32()), pa.array(near, pa.list_(pa.int32())), pa.array(links, pa.list_(pa.int64()))]
+            made = [pa.array(home, pa.int32()), pa.array(near, pa.list_(pa.int32())), pa.array(links, pa.list_(pa.int64())), pa.array(bits, pa.int64())]
             yield pa.RecordBatch.from_arrays([*own, *made], names)
 
     return dealt.mapInArrow(textscan.tidy(run), PLACED)
 
 
-def regions(placed: DataFrame, joined: DataFrame) -> DataFrame:
+def regions(placed: DataFrame) -> DataFrame:
     """(cell, d, n, text, side, of, parent): the Voronoi regions of each cell, with the cell and its size.
 
-    ``joined`` (node, label) has the components of the links found so far. Of
-    each cell the component with most sets is settled within itself: its
-    members have side 0 and visit no region.
+    A member's ``linked`` has a bit for each pivot that it links to or is, and
+    one for what was settled before. Members whose bits meet, at once or by
+    way of others, are one component. Of each cell the component with most sets
+    is settled within itself: its members have side 0 and visit no region.
     """
-    rows = placed.join(joined, placed["d"] == joined["node"], "left").withColumn("label", F.coalesce("label", "d"))
-    counts = rows.groupBy("cell", "label").agg(F.count("*").alias("k")).groupBy("cell").agg(F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("parent"))
-    rows = rows.join(counts.select("cell", F.col("m.label").alias("main"), "parent"), "cell").withColumn("side", (F.col("label") != F.col("main")).cast("int"))
+    seen = placed.groupBy("cell", "linked").agg(F.count("*").alias("k")).groupBy("cell").agg(F.collect_list(F.struct("linked", "k")).alias("seen"), F.sum("k").alias("parent"))
+
+    def grown(acc: Column, x: Column) -> Column:
+        """Disjoint unions of bits, and the next bits joined to those that they meet."""
+        meets = lambda y: y.bitwiseAND(x["linked"]) != 0
+        joined = F.aggregate(F.filter(acc, meets), x["linked"], lambda a, y: a.bitwiseOR(y))
+        return F.concat(F.filter(acc, lambda y: ~meets(y)), F.array(joined))
+
+    unions = F.aggregate("seen", F.array().cast("array<long>"), grown)
+    counted = F.transform(unions, lambda u: F.struct(F.aggregate(F.filter("seen", lambda x: x["linked"].bitwiseAND(u) != 0), F.lit(0).cast("long"), lambda a, x: a + x["k"]).alias("k"), u.alias("bits")))
+    main = kept(seen.select(F.col("cell").alias("of"), F.array_max(counted)["bits"].alias("main"), "parent"))
+    rows = placed.join(main, placed["cell"] == main["of"]).withColumn("side", (F.col("linked").bitwiseAND(F.col("main")) == 0).cast("int"))
     at = F.explode(F.when(F.col("side") > 0, F.col("near")).otherwise(F.array("home")))
-    rows = rows.select(F.col("cell").alias("of"), "d", "n", "text", "side", "parent", at.alias("region"))
-    return rows.select(F.xxhash64("of", "region").alias("cell"), "d", "n", "text", "side", "of", "parent")
+    return rows.select("of", "d", "n", "text", "side", "parent", at.alias("region")).select(F.xxhash64("of", "region").alias("cell"), "d", "n", "text", "side", "of", "parent")
 
 
 def blocks(rows: DataFrame, cell: int) -> DataFrame:
@@ -545,9 +559,7 @@ def join_large(members: DataFrame, how: Shingling, cell: int, pivots: int, depth
     for level in range(depth):
         placed = kept(to_pivots(rows, how, pivots))
         links = placed.select(F.col("d").alias("a"), F.explode("links").alias("b"))
-        before, found = found, kept(links if found is None else found.union(links).distinct())
-        done, parts = parts, kept(regions(placed, components(found)))
-        drop(placed, *([done, before] if level else []))
+        done, parts = parts, kept(regions(placed))
         sizes = parts.groupBy("cell").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.sum("side").alias("guests"), F.sum(F.col("n") * F.col("side")).alias("guest_weight"), F.max("of").alias("of"), F.max("parent").alias("parent"))
         sizes = sizes.filter("guests > 0")
         fits = (F.col("size") <= cell) & ((F.col("weight") <= CELL_SHINGLES) | (F.col("size") <= 2))
@@ -556,8 +568,9 @@ def join_large(members: DataFrame, how: Shingling, cell: int, pivots: int, depth
         together = F.sum(F.when(F.col("next") == "regions", F.col("size"))).over(Window.partitionBy("of"))
         sizes = kept(sizes.withColumn("next", F.when((F.col("next") == "regions") & (together > 2 * F.col("parent")), "blocks").otherwise(F.col("next"))).drop("of", "parent"))
         sized = parts.join(sizes, "cell")
-        before, found = found, kept(found.union(join_cells(sized.filter("next = 'join'"), how)).union(join_cells(blocks(sized.filter("next = 'blocks'"), cell), how)).distinct())
-        drop(before)
+        links = links.union(join_cells(sized.filter("next = 'join'"), how)).union(join_cells(blocks(sized.filter("next = 'blocks'"), cell), how))
+        before, found = found, kept((links if found is None else found.union(links)).distinct())
+        drop(placed, *([done, before] if level else []))
         if not sizes.filter("next = 'regions'").take(1):
             break
         rows = sized.filter("next = 'regions'").select("cell", "d", "n", "text", "side")
