@@ -1,7 +1,7 @@
 """Connected components of a graph of links, by alternating large and small stars.
 
 Each round joins every node to the least node around it; a handful of rounds
-are enough, and each is written to the shared folder so that a lost executor
+are enough, one where the links are stars already, and each is written to the shared folder so that a lost executor
 costs one round. No link or label reaches the driver.
 """
 
@@ -25,17 +25,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, label) of every node of ``links`` (a, b): label is the least node of its component."""
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    before = held = None
+
+    def seen(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    edges = kept(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    now = seen(edges)
     for _ in range(rounds):
-        edges = kept(_star(_star(edges, True), False).distinct())
-        seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if held is not None:
-            drop(held)
-        held = edges
-        if before == (seen.n, seen.h):
+        before, held = now, edges
+        edges = kept(_star(_star(held, True), False).distinct())
+        now = seen(edges)
+        drop(held)
+        if before == now:
             break
-        before = (seen.n, seen.h)
     else:
         raise RuntimeError("components did not settle")
     # every node but the labels points at its label, which points at itself

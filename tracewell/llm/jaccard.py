@@ -18,8 +18,8 @@ linked sets x, y lie within t = 1 - r of each other, and:
    stands for them, and its components are the groups in which links can lie.
    So far no text has moved; now each text that has a candidate moves, once.
 4. *Joins.* A group is joined exactly in one task. Distances to pivots give
-   windows: |d(x, p) - d(y, p)| > t rules a pair out. Links are returned as a
-   spanning forest, so a group of n sets gives fewer than n rows.
+   windows: |d(x, p) - d(y, p)| > t rules a pair out. Links are returned as the
+   stars of their components, so a group of n sets gives fewer than n rows.
 5. *Recursion.* A group of more than ``CELL`` sets gets document pivots, drawn
    from it. Links to them join most of its sets to one component, whose inner
    pairs need no comparison. Each set has its home in the Voronoi region of its
@@ -64,6 +64,8 @@ HOT = 1 << 16
 PIVOTS, DEPTH = 16, 6
 #: distance to the nearest pivot from which a set is in no pivot's region
 FAR = 0.5
+#: links that a task holds before it tells their components
+EDGES = 100_000
 #: members of a crowded cell that are streamed past its pivots in one part
 PART = 1024
 
@@ -256,6 +258,23 @@ class Forest:
             self.up = up
 
 
+def stars(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    """The same components as stars: (a, b) of every node a but the least of its component, b."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([root(x) for x in list(up)], pa.int64())], ["a", "b"])
+
+
 def bit_forest(n: np.ndarray, bits: list[bytes], how: Shingling) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of sets that may link, by size and parity bits; leaves no link out."""
     if len(n) < 2:
@@ -371,7 +390,7 @@ def _link_rows(batches: Iterable[pa.RecordBatch], how: Shingling) -> Iterator[pa
             links.append((names[i], names[j]))
 
     def told() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
+        made = stars(links)
         links.clear()
         return made
 
@@ -382,7 +401,7 @@ def _link_rows(batches: Iterable[pa.RecordBatch], how: Shingling) -> Iterator[pa
             if cell[i] != at:
                 solve(rows)
                 at, rows = cell[i], {}
-                if len(links) > 10_000:
+                if len(links) > EDGES:
                     yield told()
             # a set may come as home member and as visitor, or in repeated rows
             if ds[i] not in rows or side[i] > rows[ds[i]][1]:
@@ -402,13 +421,13 @@ def whole_cells(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def join_cells(members: DataFrame, how: Shingling) -> DataFrame:
-    """Links (a, b) of sets within each cell of (cell, d, text, side)."""
+    """The components of the links of sets within each cell of (cell, d, text, side), as stars (a, b)."""
     dealt = whole_cells(members, "cell", "d", "text", "side")
     return dealt.mapInArrow(textscan.tidy(lambda batches: _link_rows(batches, how)), "a long, b long")
 
 
 def candidates(found: DataFrame, first: DataFrame, how: Shingling, thin: int) -> DataFrame:
-    """(a, b): a forest of the pairs in each cell of ``found`` (d, cell) that sizes and parity bits do not rule out.
+    """(a, b): stars of the components of the pairs in the cells of ``found`` (d, cell) that sizes and parity bits do not rule out.
 
     A cell of more than ``thin`` sets is one group as it is, without a task that sees all of it.
     """
@@ -416,12 +435,12 @@ def candidates(found: DataFrame, first: DataFrame, how: Shingling, thin: int) ->
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (cell, d, n, bits) come sorted by cell."""
         held: pa.Table | None = None
+        edges: list[tuple[int, int]] = []
 
-        def told(t: pa.Table) -> pa.RecordBatch:
+        def add(t: pa.Table) -> None:
             c, d, n, bits = t["cell"].to_numpy(), t["d"].to_pylist(), t["n"].to_numpy(), t["bits"].to_pylist()
             cuts = np.concatenate([[0], np.flatnonzero(c[1:] != c[:-1]) + 1, [len(c)]])
-            edges = [(d[i + x], d[i + y]) for i, j in zip(cuts[:-1], cuts[1:], strict=True) for x, y in bit_forest(n[i:j], bits[i:j], how)]
-            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+            edges.extend((d[i + x], d[i + y]) for i, j in zip(cuts[:-1], cuts[1:], strict=True) for x, y in bit_forest(n[i:j], bits[i:j], how))
 
         for b in batches:
             t = pa.Table.from_batches([b])
@@ -429,10 +448,15 @@ def candidates(found: DataFrame, first: DataFrame, how: Shingling, thin: int) ->
             c = t["cell"].to_numpy()
             whole = int(np.searchsorted(c, c[-1])) if len(c) else 0
             if whole:
-                yield told(t.slice(0, whole))
+                add(t.slice(0, whole))
             held = t.slice(whole)
+            if len(edges) > EDGES:
+                yield stars(edges)
+                edges.clear()
         if held is not None and held.num_rows:
-            yield told(held)
+            add(held)
+        if edges:
+            yield stars(edges)
 
     crowded = kept(found.groupBy("cell").agg(F.count("*").alias("size")).filter(F.col("size") > thin).select("cell"))
     rows, edges = found, None
@@ -548,7 +572,7 @@ def blocks(rows: DataFrame, cell: int) -> DataFrame:
 
 
 def join_large(members: DataFrame, how: Shingling, cell: int, pivots: int, depth: int = DEPTH) -> DataFrame:
-    """Links (a, b) of sets within groups of any size, (cell, d, n, text), by Voronoi regions, recursively.
+    """Pairs (a, b) with the components of the links of sets within groups of any size, (cell, d, n, text), by Voronoi regions, recursively.
 
     A region is joined at once when it has at most ``cell`` members. A larger
     one gets pivots of its own while it has at most three quarters of its
