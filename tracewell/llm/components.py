@@ -1,8 +1,9 @@
 """Connected components of a graph of links, by alternating large and small stars.
 
 Each round joins every node to the least node around it; a handful of rounds
-are enough, one where the links are stars already, and each is written to the shared folder so that a lost executor
-costs one round. No link or label reaches the driver.
+are enough, one where the links are stars already. Each is written to the
+shared folder, so that a lost executor costs one round. No link or label
+reaches the driver.
 """
 
 from __future__ import annotations
