@@ -110,3 +110,19 @@ def test_lap_match_in_a_crowd(spark, crowd):
     mine, theirs, df = in_crowd(spark, crowd, "lap_match")
     assert mine == theirs and len(mine) > 1000
     assert lists_no_pairs(df)
+
+
+def test_greedy_in_a_crowd(spark, crowd):
+    mine, theirs, df = in_crowd(spark, crowd, "det_match_global_greedy")
+    assert mine == theirs and len(mine) > 900
+    assert lists_no_pairs(df)
+
+
+@pytest.mark.parametrize("in_order", [False, True])
+def test_greedy_boxes_is_greedy_of_their_pairs(spark, in_order):
+    rng = np.random.default_rng(8)
+    rows = [(int(f), k, tuple(map(int, (*rng.integers(0, 50, 2), 30, 40)))) for f in range(1, 9) for k in range(1, 12)]
+    d, g = boxes(spark, "det_idx", rows[::2]), boxes(spark, "gt_idx", rows[1::2])
+    want = matching.greedy(matching.box_pairs(d, g, ["det_idx"], ["gt_idx"]), 0.2, in_order)
+    mine = matching.greedy_boxes(d, g, 0.2, in_order)
+    assert mine.schema == want.schema and sorted(map(tuple, mine.collect())) == sorted(map(tuple, want.collect())) != []

@@ -14,7 +14,7 @@ import numpy as np
 from tracewell.functions.assignment import assign
 
 #: pairs looked at in one go; up to so many in all, no index is asked; neighbours remembered in a search
-BLOCK, FEW, KNOWN = 1 << 20, 1 << 14, 1 << 22
+BLOCK, FEW, KNOWN = 1 << 16, 1 << 14, 1 << 22
 #: bounds of the index are widened by so much of a coordinate; pairs are then tested exactly
 SLACK = 1e-9
 #: the best partner of a box is looked for at these overlaps first
