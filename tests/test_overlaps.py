@@ -128,7 +128,7 @@ def test_greedy_boxes_is_greedy_of_their_pairs(spark, in_order):
     assert mine.schema == want.schema and sorted(map(tuple, mine.collect())) == sorted(map(tuple, want.collect())) != []
 
 
-@pytest.mark.parametrize("name", ["det_metrics_global", "det_metrics_in_order"])
+@pytest.mark.parametrize("name", ["det_metrics_global", "det_metrics_in_order", "frame_union"])
 def test_metrics_in_a_crowd(spark, crowd, name):
     mine, theirs, df = in_crowd(spark, crowd, name)
     assert [pytest.approx(r) for r in theirs] == mine
