@@ -140,3 +140,10 @@ def test_unmatched_in_a_crowd(spark, crowd):
     mine, theirs, df = in_crowd(spark, crowd, "unmatched_detections")
     assert mine == theirs and len(mine) > 500
     assert lists_no_pairs(df)
+
+
+def test_report_in_a_crowd(spark, crowd):
+    mine, theirs, df = in_crowd(spark, crowd, "report_json")
+    assert [r[:2] for r in mine] == [r[:2] for r in theirs] and [r[2] for r in mine] == pytest.approx([r[2] for r in theirs])
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1 and "array_append" not in plan
