@@ -147,3 +147,33 @@ def test_report_in_a_crowd(spark, crowd):
     assert [r[:2] for r in mine] == [r[:2] for r in theirs] and [r[2] for r in mine] == pytest.approx([r[2] for r in theirs])
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapCoGroupsInArrow") == 1 and "array_append" not in plan
+
+
+@pytest.mark.parametrize("in_order", [False, True])
+def test_greedy_never_lists_pairs_of_boxes_that_are_gone(monkeypatch, in_order):
+    rng = np.random.default_rng(5)
+    corner = rng.random((1200, 2)) * 60
+    boxes_ = np.column_stack([corner, corner + (40, 80)])
+    a, b = boxes_[:600], boxes_[600:]
+    every, listed, test = len(overlaps._by_left(a, b, 0.5)[0]), [], overlaps._by_left
+    monkeypatch.setattr(overlaps, "_by_left", lambda *args: listed.append(out := test(*args)) or out)
+    i, j = overlaps.greedy_pairs(a, b, np.arange(600), np.arange(600), 0.5, in_order)
+    assert sum(len(x[0]) for x in listed) < 0.6 * every
+    monkeypatch.setattr(overlaps, "FEW", 1 << 20)  # all pairs at once
+    k, m = overlaps.greedy_pairs(a, b, np.arange(600), np.arange(600), 0.5, in_order)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(k.tolist(), m.tolist(), strict=True)) and len(i) > 500
+
+
+@pytest.mark.parametrize("in_order", [False, True])
+def test_greedy_frames_counts_every_frame(spark, in_order):
+    rng = np.random.default_rng(9)
+    rows = [(int(f), k, tuple(map(int, (*rng.integers(0, 50, 2), 30, 40)))) for f in range(1, 7) for k in range(1, 9)]
+    d, g = boxes(spark, "det_idx", [*rows[::2], (20, 1, (0, 0, 5, 5))]), boxes(spark, "gt_idx", [*rows[1::2], (30, 1, (0, 0, 5, 5))])  # frames of one side alone
+    want = matching.per_frame(d, g, matching.greedy_boxes(d, g, 0.2, in_order))
+    mine = matching.greedy_frames(d, g, 0.2, in_order)
+    assert mine.dtypes == want.dtypes and sorted(map(tuple, mine.collect())) == sorted(map(tuple, want.collect())) and mine.count() == 8
+
+
+def test_frame_union_reads_each_side_once(spark, crowd):
+    plan = catalog.frame_union(spark, crowd[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2

@@ -19,6 +19,8 @@ BLOCK, FEW, KNOWN = 1 << 16, 1 << 14, 1 << 22
 SLACK = 1e-9
 #: the best partner of a box is looked for at these overlaps first
 LEVELS = (0.9, 0.5, 0.0)
+#: a greedy choice by IoU lists pairs from these overlaps on first; one in the left one's order, those of so many shares of the boxes in turn
+STEPS, SHARES = (0.9, 0.8, 0.7, 0.6), 16
 
 
 def spans(start: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -70,7 +72,8 @@ class Overlaps:
         xs = np.sort(x)
         key = strip * (len(rows) + 1) + np.searchsorted(xs, x)
         order = np.argsort(key, kind="stable")
-        return rows[order], key[order], strips, xs, step, (w[rows].min(), w[rows].max()), (h[rows].min(), h[rows].max())
+        rows = rows[order]
+        return rows, _columns(self.boxes[rows]), key[order], strips, xs, step, (w[rows].min(), w[rows].max()), (h[rows].min(), h[rows].max())
 
     def meeting(self, boxes: np.ndarray, least: float = 0.0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(i, j, iou) of the pairs boxes[i], self.boxes[j] whose IoU is positive and at least ``least``, in blocks."""
@@ -78,10 +81,10 @@ class Overlaps:
         if len(boxes) * len(self.boxes) <= FEW:
             ours = np.flatnonzero(sides(self.boxes)[2])
             asked = np.flatnonzero(ok)
-            yield self._tested(boxes, np.repeat(asked, len(ours)), np.tile(ours, len(asked)), least)
+            yield _tested(_columns(boxes), _columns(self.boxes), np.repeat(asked, len(ours)), np.tile(ours, len(asked)), None, least)
             return
-        part, more = 1 - least, 1 + SLACK
-        for rows, key, strips, xs, step, (w0, w1), (h0, h1) in self.kinds():
+        part, more, asked = 1 - least, 1 + SLACK, _columns(boxes)
+        for rows, held, key, strips, xs, step, (w0, w1), (h0, h1) in self.kinds():
             q = np.flatnonzero(ok & (w * more >= least * w0) & (w1 * more >= least * w) & (h * more >= least * h0) & (h1 * more >= least * h))
             x, y, u, v = boxes[q, 0], boxes[q, 1], w[q], h[q]
             dx, dy = SLACK * (np.abs(x) + u + w1), SLACK * (np.abs(y) + v + h1)
@@ -90,17 +93,25 @@ class Overlaps:
             for k, strip in spans(top, bottom):
                 base = strip * (len(rows) + 1)
                 for m, at in spans(np.searchsorted(key, base + left[k]), np.searchsorted(key, base + right[k])):
-                    yield self._tested(boxes, q[k[m]], rows[at], least)
+                    yield _tested(asked, held, q[k[m]], at, rows, least)
 
-    def _tested(self, boxes: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b = boxes[i].T, self.boxes[j].T
-        ow, oh = np.minimum(a[2], b[2]) - np.maximum(a[0], b[0]), np.minimum(a[3], b[3]) - np.maximum(a[1], b[1])
-        near = np.flatnonzero((ow > 0) & (oh > 0))
-        a, b, both = a[:, near], b[:, near], ow[near] * oh[near]
-        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
-            iou = both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both)
-        keep = (iou > 0) & (iou >= least)
-        return i[near[keep]], j[near[keep]], iou[keep]
+
+def _columns(boxes: np.ndarray) -> np.ndarray:
+    """x1, y1, x2, y2 and area, a row each."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        return np.vstack([boxes.T, (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])])
+
+
+def _tested(a: np.ndarray, b: np.ndarray, i: np.ndarray, at: np.ndarray, rows: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, iou) of those of the pairs a[:, i], b[:, at] that overlap enough; j is rows[at]."""
+    ow = np.minimum(a[2][i], b[2][at]) - np.maximum(a[0][i], b[0][at])
+    oh = np.minimum(a[3][i], b[3][at]) - np.maximum(a[1][i], b[1][at])
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        both = ow * oh
+        iou = both / (a[4][i] + b[4][at] - both)
+        keep = np.flatnonzero((ow > 0) & (oh > 0) & (iou > 0) & (iou >= least))
+    at = at[keep]
+    return i[keep], at if rows is None else rows[at], iou[keep]
 
 
 def _listed(blocks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,12 +122,11 @@ def _listed(blocks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tupl
 
 def taken(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Places of the pairs that are taken where each one in order is, unless one of its sides is gone."""
-    _, li = np.unique(left, return_inverse=True)
-    _, ri = np.unique(right, return_inverse=True)
-    gone, lost, out = bytearray(len(left)), bytearray(len(right)), []
-    for k, (a, b) in enumerate(zip(li.tolist(), ri.tolist(), strict=True)):
-        if not (gone[a] or lost[b]):
-            gone[a] = lost[b] = 1
+    gone, lost, out = set(), set(), []
+    for k, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
+        if a not in gone and b not in lost:
+            gone.add(a)
+            lost.add(b)
             out.append(k)
     return np.array(out, np.int64)
 
@@ -127,11 +137,34 @@ def greedy_order(left: np.ndarray, right: np.ndarray, iou: np.ndarray, in_left_o
 
 
 def greedy_pairs(left: np.ndarray, right: np.ndarray, left_ids: np.ndarray, right_ids: np.ndarray, threshold: float, in_left_order: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of the boxes that a greedy one-to-one choice joins."""
-    i, j, iou = _by_left(left, right, threshold)
-    order = greedy_order(left_ids[i], right_ids[j], iou, in_left_order)
-    k = order[taken(left_ids[i[order]], right_ids[j[order]])]
-    return i[k], j[k]
+    """Places (i, j) of the boxes that a greedy one-to-one choice joins.
+
+    Those of its pairs that come first are chosen from first, and pairs of
+    boxes that are then gone are never listed: by IoU from the highest one
+    down, or share by share in the left one's order.
+    """
+    _, li = np.unique(left_ids, return_inverse=True)
+    _, ri = np.unique(right_ids, return_inverse=True)
+    gone, lost = np.zeros(len(left), bool), np.zeros(len(right), bool)
+    parts = [(0, len(left), threshold)]
+    if len(left) * len(right) > FEW:
+        if in_left_order:
+            cuts = np.linspace(0, len(left), SHARES + 1).astype(int)
+            parts = [(lo, hi, threshold) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+        else:
+            parts = [(0, len(left), least) for least in (*(s for s in STEPS if s > threshold), threshold)]
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for lo, hi, least in parts:
+        a, b = np.flatnonzero((li >= lo) & (li < hi) & ~gone[li]), np.flatnonzero(~lost[ri])
+        i, j, iou = _by_left(left[a], right[b], least)
+        i, j = a[i], b[j]
+        order = greedy_order(li[i], ri[j], iou, in_left_order)
+        i, j = i[order], j[order]
+        k = taken(li[i], ri[j])
+        gone[li[i[k]]] = lost[ri[j[k]]] = True
+        out.append((i[k], j[k]))
+    i, j = zip(*out, strict=True)
+    return np.concatenate(i), np.concatenate(j)
 
 
 def _by_left(left: np.ndarray, right: np.ndarray, least: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
