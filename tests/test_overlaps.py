@@ -1,5 +1,7 @@
 """Boxes of one frame matched without a table of pairs: against brute force, and with crowds of copies."""
 
+import re
+
 import duckdb
 import numpy as np
 import pytest
@@ -177,3 +179,16 @@ def test_greedy_frames_counts_every_frame(spark, in_order):
 def test_frame_union_reads_each_side_once(spark, crowd):
     plan = catalog.frame_union(spark, crowd[0])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 2
+
+
+def test_report_has_methods_that_the_jvm_compiles(spark, crowd):
+    """HotSpot leaves methods of over 8,000 bytes to its interpreter."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = catalog.report_json(spark, crowd[0])._jdf.queryExecution().executedPlan()
+        code = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenString(plan)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert len(sizes) > 10 and max(sizes) < 8000

@@ -13,11 +13,16 @@ KEYS = ("seq_id", "track_id")
 def project(points: DataFrame, calibration: Calibration) -> DataFrame:
     """Each foot point on the ground, with its image coordinates kept as provenance. Nine literals, no UDF.
 
-    The generator of one row a point keeps the optimizer from writing the
-    projection out again wherever a later step reads its result.
+    The generators of one row a point, of its sums, its quotients and then of
+    the rest, keep the optimizer from writing these out again wherever a later
+    step reads them: the JVM does not compile a method of over 8,000 bytes.
     """
     g = points.select(*KEYS, "frame_index", F.col("x").alias("source_x"), F.col("y").alias("source_y"))
-    g = g.select("*", F.inline(F.array(calibration.project(F.col("source_x"), F.col("source_y")))))
+    x, y, sums, held = F.col("source_x"), F.col("source_y"), "uvw", ("sound", "denominator", "gx", "gy")
+    also = lambda names, cols: g.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in zip(names, cols, strict=True)]))))
+    g = also(sums, calibration.sums(x, y))
+    g = also(held, calibration.quotients(x, y, *map(F.col, sums)))
+    g = g.select("*", F.inline(F.array(calibration.project(x, y, tuple(map(F.col, held))))))
     return g.select(*KEYS, "frame_index", "x", "y", "is_valid", "is_extrapolated", "error_code", "frame", "source_x", "source_y")
 
 
