@@ -68,3 +68,32 @@ def test_every_text_is_trained_on(spark):
         assert docs.count()
         start = pseudo_lm.Model.new(pseudo_lm.vocabulary(docs)[1])
         assert not np.array_equal(pseudo_lm.fit(docs)[1].flat(), start.flat())
+
+
+def test_a_step_adds_up_its_gradients_at_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, pseudo_lm.VOCAB, 2 * pseudo_lm.STEP)
+    around = pseudo_lm.windows(ids, np.array([0, 100, len(ids)]))
+    model, calls, count = pseudo_lm.Model.new(np.bincount(ids, minlength=pseudo_lm.VOCAB)), [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *args, **more: calls.append(1) or count(*args, **more))
+    before = model.log_probs(ids, around).sum()
+    model.train(ids, around)
+    assert len(calls) == 2  # one a step, not one a place and column
+    assert model.log_probs(ids, around).sum() > before
+
+
+def test_large_logits_are_shifted():
+    rng = np.random.default_rng(6)
+    ids = rng.integers(0, pseudo_lm.VOCAB, 500)
+    around = pseudo_lm.windows(ids, np.array([0, len(ids)]))
+    model = pseudo_lm.Model.new(np.ones(pseudo_lm.VOCAB))
+    assert model.is_plain()
+    flat = model.flat()
+    big, small = pseudo_lm.Model.of(flat), pseudo_lm.Model.of(flat)
+    big.classes[:, -1] += 200  # the same distribution
+    big.outer[:, :, -1] -= 200
+    assert not big.is_plain()
+    assert np.allclose(big.log_probs(ids, around), model.log_probs(ids, around), atol=1e-3)
+    big.train(ids, around)
+    small.train(ids, around)
+    assert np.isfinite(big.flat()).all() and np.allclose(big.inner, small.inner, atol=0.05)

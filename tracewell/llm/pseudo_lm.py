@@ -36,9 +36,11 @@ EDGE = VOCAB
 WIDTH = 16
 SIDE = 2
 ROUNDS = 2
-BATCH = 8192
+BATCH = 4096
 #: tokens of a training step
 STEP = 4096
+#: logits within this bound need no shift before their exponentials
+PLAIN = 80.0
 
 
 @dataclass
@@ -78,22 +80,32 @@ class Model:
         np.tanh(h[:, :WIDTH], out=h[:, :WIDTH])
         return h
 
+    def by_class(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of the tokens by class, and where each class begins in it."""
+        group = (ids // MEMBERS).astype(np.int16)
+        order = np.argsort(group, kind="stable")
+        return order, np.searchsorted(group[order], np.arange(CLASSES + 1))
+
+    def logits(self, h: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the classes, and of the members of each token's own class; the tokens are in order of their classes."""
+        b = np.empty((len(h), MEMBERS), np.float32)
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
+            np.matmul(h[cuts[c] : cuts[c + 1]], self.outer[c].T, out=b[cuts[c] : cuts[c + 1]])
+        return h @ self.classes.T, b
+
+    def is_plain(self) -> bool:
+        """Whether no logit can pass PLAIN: hidden values are within 1."""
+        return max(np.abs(self.classes).sum(1).max(), np.abs(self.outer).sum(2).max()) < PLAIN
+
     def log_probs(self, ids: np.ndarray, around: np.ndarray) -> np.ndarray:
         """Log conditional probability of each token given those around it."""
-        out = np.empty(len(ids), np.float64)
+        out, plain = np.empty(len(ids), np.float64), self.is_plain()
         for at in range(0, len(ids), BATCH):
-            y, h = ids[at : at + BATCH], self.hidden(around[at : at + BATCH])
-            group = y // MEMBERS
-            a = h @ self.classes.T
-            lp = a[np.arange(len(y)), group] - _log_sum(a)
-            order = np.argsort(group, kind="stable")
-            cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
-            for c in range(CLASSES):
-                rows = order[cuts[c] : cuts[c + 1]]
-                if len(rows):
-                    b = h[rows] @ self.outer[c].T
-                    lp[rows] += b[np.arange(len(rows)), y[rows] % MEMBERS] - _log_sum(b)
-            out[at : at + BATCH] = lp
+            order, cuts = self.by_class(ids[at : at + BATCH])
+            y = ids[at : at + BATCH][order]
+            a, b = self.logits(self.hidden(around[at : at + BATCH][order]), cuts)
+            n = np.arange(len(y))
+            out[at + order] = a[n, y // MEMBERS] - _log_sum(a, plain) + (b[n, y % MEMBERS] - _log_sum(b, plain))
         return out
 
     def squares(self) -> list[np.ndarray]:
@@ -104,46 +116,44 @@ class Model:
         """One pass of AdaGrad over the tokens, in order; ``sums`` carries its state from call to call."""
         sums = sums or self.squares()
         for at in range(0, len(ids), STEP):
-            y, near = ids[at : at + STEP], around[at : at + STEP]
+            order, cuts = self.by_class(ids[at : at + STEP])
+            y, near = ids[at : at + STEP][order], around[at : at + STEP][order]
             n = len(y)
-            vectors = self.inner[near]
             h = self.hidden(near)
-            group = y // MEMBERS
-            a = _softmax(h @ self.classes.T)
-            a[np.arange(n), group] -= 1
+            plain, rows = self.is_plain(), np.arange(n)
+            a, b = (_softmax(x, plain) for x in self.logits(h, cuts))
+            a[rows, y // MEMBERS] -= 1
+            b[rows, y % MEMBERS] -= 1
             g_classes = a.T @ h
             g_h = a @ self.classes
             g_outer = np.zeros_like(self.outer)
-            order = np.argsort(group, kind="stable")
-            cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
-            for c in range(CLASSES):
-                rows = order[cuts[c] : cuts[c + 1]]
-                if len(rows):
-                    b = _softmax(h[rows] @ self.outer[c].T)
-                    b[np.arange(len(rows)), y[rows] % MEMBERS] -= 1
-                    g_outer[c] = b.T @ h[rows]
-                    g_h[rows] += b @ self.outer[c]
+            for c in np.flatnonzero(np.diff(cuts)).tolist():
+                own = slice(cuts[c], cuts[c + 1])
+                np.matmul(b[own].T, h[own], out=g_outer[c])
+                g_h[own] += b[own] @ self.outer[c]
             g_sum = g_h[:, :WIDTH] * (1 - h[:, :WIDTH] ** 2)
-            g_place = np.einsum("njd,nd->jd", vectors, g_sum)
-            g_inner = np.zeros_like(self.inner)
-            for j in range(2 * SIDE):
-                part = g_sum * self.place[j]
-                for d in range(WIDTH):
-                    g_inner[:, d] += np.bincount(near[:, j], part[:, d], VOCAB + 1)
+            g_place = np.einsum("njd,nd->jd", self.inner[near], g_sum)
+            # one count over (vector, column) adds up what each context vector gets
+            cells = (near * WIDTH)[:, :, None] + np.arange(WIDTH, dtype=near.dtype)
+            g_inner = np.bincount(cells.ravel(), (g_sum[:, None, :] * self.place).ravel(), (VOCAB + 1) * WIDTH).astype(np.float32).reshape(VOCAB + 1, WIDTH)
             for x, g, s in zip((self.inner, self.place, self.classes, self.outer), (g_inner, g_place, g_classes, g_outer), sums, strict=True):
                 g /= n**0.5
                 s += g * g
                 x -= rate * g / np.sqrt(s)
 
 
-def _log_sum(a: np.ndarray) -> np.ndarray:
+def _log_sum(a: np.ndarray, plain: bool) -> np.ndarray:
+    """Log of each row's sum of exponentials, shifted by its largest one unless they are ``plain``."""
+    if plain:
+        return np.log(np.exp(a) @ np.ones(a.shape[1], np.float32))
     top = a.max(1)
     return top + np.log(np.exp(a - top[:, None]).sum(1))
 
 
-def _softmax(a: np.ndarray) -> np.ndarray:
-    e = np.exp(a - a.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+def _softmax(a: np.ndarray, plain: bool) -> np.ndarray:
+    e = np.exp(a if plain else a - a.max(1, keepdims=True), out=a)
+    e /= (e @ np.ones(a.shape[1], np.float32))[:, None]
+    return e
 
 
 def word_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
