@@ -1,5 +1,6 @@
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 from hypothesis import given, settings
@@ -195,3 +196,28 @@ def test_components(spark):
     have = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     for k in {x for e in edges for x in e}:
         assert have.get(k, k) == f.root(k)
+
+
+def test_few_files_whatever_the_partitions(spark, monkeypatch):
+    """Small tables go in few files: each file of a local folder is two processes forked from the JVM."""
+    texts = near_copies(60, 300, 6) | {1000 * c + k: v for c in range(1, 30) for k, v in near_copies(4, 60, 3, c).items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    files, real = [], jaccard.kept
+
+    def counted(*a):
+        out = real(*a)
+        files.append(len(list(Path(out.kept_at.removeprefix("file://").removeprefix("file:")).glob("part-*"))))
+        return out
+
+    monkeypatch.setattr(jaccard, "kept", counted)
+    monkeypatch.setattr("tracewell.llm.components.kept", counted)
+    forced = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in forced}
+    try:
+        for k, v in forced.items():
+            spark.conf.set(k, v)
+        assert got(docs, cell=24, pivots=4) == plain_components(texts)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) > 15 and max(files) <= 8, files

@@ -571,13 +571,14 @@ def blocks(rows: DataFrame, cell: int) -> DataFrame:
     return a.union(b).select(F.xxhash64("cell", "block", "party").alias("cell"), "d", "text", "side")
 
 
-def join_large(members: DataFrame, how: Shingling, cell: int, pivots: int, depth: int = DEPTH) -> DataFrame:
+def join_large(members: DataFrame, how: Shingling, cell: int, pivots: int, depth: int = DEPTH, count: int | None = None) -> DataFrame:
     """Pairs (a, b) with the components of the links of sets within groups of any size, (cell, d, n, text), by Voronoi regions, recursively.
 
     A region is joined at once when it has at most ``cell`` members. A larger
     one gets pivots of its own while it has at most three quarters of its
     parent's members, and such regions together at most twice as many as it;
-    else it is joined by blocks. A region without open members goes.
+    else it is joined by blocks. A region without open members goes. ``count``:
+    about how many sets there are.
     """
     rows, found, parts = members.withColumn("side", F.lit(1)), None, None
     for level in range(depth):
@@ -593,7 +594,7 @@ def join_large(members: DataFrame, how: Shingling, cell: int, pivots: int, depth
         sizes = kept(sizes.withColumn("next", F.when((F.col("next") == "regions") & (together > 2 * F.col("parent")), "blocks").otherwise(F.col("next"))).drop("of", "parent"))
         sized = parts.join(sizes, "cell")
         links = links.union(join_cells(sized.filter("next = 'join'"), how)).union(join_cells(blocks(sized.filter("next = 'blocks'"), cell), how))
-        before, found = found, kept((links if found is None else found.union(links)).distinct())
+        before, found = found, kept((links if found is None else found.union(links)).distinct(), count)
         drop(placed, *([done, before] if level else []))
         if not sizes.filter("next = 'regions'").take(1):
             break
@@ -639,16 +640,14 @@ def groups(docs: DataFrame, how: Shingling = Shingling(), cell: int = CELL, pivo
     whole = kept(signatures(docs, how))
     signed = whole.filter("block is null").drop("block", "counts")
     real = signed.filter((F.col("n") > 0) & part)
-    levels = commonness(whole)
+    levels, count = commonness(whole), whole.count()
     # each distinct set once, with the row that stands for it and a text of it
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     first = real.groupBy("d").agg(F.min(row).alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("rep"))
-    near = kept(cells(docs.filter(part), how, levels))
-    maybe = kept(candidates(near, first, how, THIN * cell).distinct())
+    near = kept(cells(docs.filter(part), how, levels), count)
+    grouped = components(candidates(near, first, how, THIN * cell), rows=count)
     drop(near)
-    grouped = components(maybe)
-    drop(maybe)
-    wanted = kept(grouped.join(first.drop("bits"), grouped["node"] == first["d"]).select("d", "n", F.col("least.text_hash").alias("text_hash"), F.col("label").alias("cell")))
+    wanted = kept(grouped.join(first.drop("bits"), grouped["node"] == first["d"]).select("d", "n", F.col("least.text_hash").alias("text_hash"), F.col("label").alias("cell")), count)
     sizes = wanted.groupBy("cell").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
     large = kept(sizes.filter((F.col("size") > cell) | (F.col("weight") > CELL_SHINGLES) & (F.col("size") > 2)).select("cell", F.lit(True).alias("large")))
     texts = _fetched(docs, wanted.select("d", "text_hash"), how).withColumnRenamed("d", "at")
@@ -656,19 +655,18 @@ def groups(docs: DataFrame, how: Shingling = Shingling(), cell: int = CELL, pivo
     if large.take(1):
         members = kept(members.join(large, "cell", "left"))
         few = members.filter("large is null")
-        edges = join_cells(few.withColumn("side", F.lit(1)), how).union(join_large(members.filter("large").drop("large").dropDuplicates(["cell", "d"]), how, cell, pivots))
+        edges = join_cells(few.withColumn("side", F.lit(1)), how).union(join_large(members.filter("large").drop("large").dropDuplicates(["cell", "d"]), how, cell, pivots, count=count))
     else:
         edges = join_cells(members.withColumn("side", F.lit(1)), how)
-    edges = kept(edges)
-    linked = components(edges)
-    drop(edges, wanted, large, *([members] if hasattr(members, "kept_at") else []))
+    linked = components(edges, rows=count)
+    drop(wanted, large, *([members] if hasattr(members, "kept_at") else []))
     # the least row of each component stands for it
     known = first.select(F.col("d"), "least", "rep")
-    inside = kept(linked.join(known, linked["node"] == known["d"]).select("d", "label", "least", "rep"))
+    inside = kept(linked.join(known, linked["node"] == known["d"]).select("d", "label", "least", "rep"), count)
     ends = inside.groupBy("label").agg(F.min("least").alias("end"), F.min("rep").alias("component_id"))
     inside = inside.join(ends, "label").select(F.col("d").alias("of"), "end", "component_id")
     told = known.join(inside, F.col("d") == F.col("of"), "left").select(F.col("d").alias("set"), F.coalesce("end", "least").alias("end"), F.coalesce("component_id", "rep").alias("component_id"))
-    told = kept(told)
+    told = kept(told, count)
     # both sides are read anew, so Spark may split the rows of one set that many documents have
     done = real.join(told, F.col("d") == F.col("set")).select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), "component_id", (F.col("doc_id").eqNullSafe(F.col("end.doc_id")) & (F.col("text_hash") == F.col("end.text_hash"))).alias("stays"))
     rest = signed.filter(~((F.col("n") > 0) & part))
@@ -700,7 +698,7 @@ def one_of_each(docs: DataFrame, how: Shingling = Shingling()) -> DataFrame:
     rows = docs.select(row.alias("row")).select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("text_hash"))
     found = kept(groups(docs, how, unnamed=True))
     keys = found.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash")).agg(F.max("stays").alias("stays"), F.count("*").alias("rows"))
-    keys = kept(keys.filter("rows > 1 or not stays"))
+    keys = kept(keys.filter("rows > 1 or not stays"), found.count())
     named = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text_hash")
     asked = KeyFilter.of(keys.select(F.xxhash64(F.coalesce(F.col("found_id").cast("string"), F.lit("")), "found_hash").alias("key")), "key")
     sure, unsure = asked.split(rows.withColumn("key", named), "key")

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import textscan
 
+#: thin rows that go in a file, where a table's size is known
+FILE_ROWS = 50_000
+
 
 @functools.cache
 def _own() -> str:
@@ -31,8 +34,17 @@ def shared_path(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The same rows, written to and read from the shared folder: lineage ends here."""
+def kept(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The same rows, written to and read from the shared folder: lineage ends here.
+
+    ``rows`` tells about how many thin rows there are: they go in few files,
+    more as they grow, whatever the number of shuffle partitions. In a local
+    folder each file takes two processes, forked from the JVM to set its
+    permissions; until such a one is another program, it counts with all of
+    the JVM's memory.
+    """
+    if rows is not None:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     path = shared_path(df.sparkSession)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
